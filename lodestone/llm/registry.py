@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scan
+from . import decontamination, packing, quality_rules, secret_scan, simhash, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 SQL = {"op7_quality_rules": quality_rules.OP7_SQL}
