@@ -17,9 +17,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def whole_texts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``text`` alone; a null text counts as empty, and other columns are left behind."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def whole_texts(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``doc_id`` and ``text`` alone; a null text counts as empty. Other columns are left behind, or go along in the struct ``_row``."""
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    row = [F.struct(*others, F.lit(None).cast("int").alias("_")).alias("_row")] if carry else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row)
+
+
+def with_columns_of(carried: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, doc_id and text as they are now."""
+    return carried.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def words_of(text: Column) -> Column:

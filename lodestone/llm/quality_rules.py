@@ -31,13 +31,14 @@ def broken(rule: tuple) -> Column:
     return (F.col("n_words") >= words) & F.coalesce(reduce(or_, out), F.lit(False))
 
 
-def quality_rules(docs: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: list[tuple] = RULES, carry: bool = False) -> DataFrame:
     """doc_id, text, the counts, ``base_failed``, ``failed_rules`` (names) and ``kept`` for each row of docs.
 
     Nulls: a null text is empty, so it has no words and fails the base rule; a null doc_id stays null. Repeated rows and ties are
-    judged row by row; an empty table gives an empty table; columns besides doc_id and text are left behind, so none can clash.
+    judged row by row; an empty table gives an empty table; columns besides doc_id and text are
+    left behind or, with carry, go along in the struct ``_row``, so none can clash.
     """
-    counted = with_base_counts(whole_texts(docs)).withColumn("n_stop_words", stop_word_count(F.col("_words")))
+    counted = with_base_counts(whole_texts(docs, carry)).withColumn("n_stop_words", stop_word_count(F.col("_words")))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     names = F.filter(F.array(*[F.when(broken(r), F.lit(r[0])) for r in rules]), lambda x: x.isNotNull())
     judged = counted.withColumns({"base_failed": base, "failed_rules": names})
