@@ -17,7 +17,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from .common import read_table, remainder, whole_texts
-from .text_stats import stop_word_count, with_base_counts
+from .text_stats import stop_word_count, with_counts
 
 MAX_ROWS = 20_000
 HELD_OUT, THRESHOLD = 0, 0.3
@@ -29,6 +29,13 @@ def _per(top: Column, below: Column) -> Column:
     return F.coalesce(top.cast("double") / F.nullif(below, F.lit(0)), F.lit(0.0))
 
 
+COUNTS = {
+    "n_stop_words": lambda: stop_word_count(F.col("_words")),
+    "n_distinct": lambda: F.size(F.array_distinct("_words")),
+    "n_digits": lambda: F.regexp_count("text", F.lit("[0-9]")),
+    "n_capitals": lambda: F.regexp_count("text", F.lit("[A-Z]")),
+    "n_stops": lambda: F.regexp_count("text", F.lit("[.!?]")),
+}
 #: Statistics by name; a ratio with nothing below is 0.
 STATISTICS = {
     "log_words": lambda: F.log1p(F.col("n_words").cast("double")),
@@ -36,18 +43,18 @@ STATISTICS = {
     "symbols": lambda: _per(F.col("n_symbols"), F.col("n_words")),
     "dup_lines": lambda: _per(F.col("n_dup_lines"), F.col("n_lines")),
     "repeats": lambda: _per(F.col("n_repeat_words"), F.col("n_words")),
-    "stop_words": lambda: _per(stop_word_count(F.col("_words")), F.col("n_words")),
-    "distinct_words": lambda: _per(F.size(F.array_distinct("_words")), F.col("n_words")),
-    "digits": lambda: _per(F.regexp_count("text", F.lit("[0-9]")), F.col("word_chars")),
-    "capitals": lambda: _per(F.regexp_count("text", F.lit("[A-Z]")), F.col("word_chars")),
-    "stops": lambda: _per(F.regexp_count("text", F.lit("[.!?]")), F.col("n_words")),
+    "stop_words": lambda: _per(F.col("n_stop_words"), F.col("n_words")),
+    "distinct_words": lambda: _per(F.col("n_distinct"), F.col("n_words")),
+    "digits": lambda: _per(F.col("n_digits"), F.col("word_chars")),
+    "capitals": lambda: _per(F.col("n_capitals"), F.col("word_chars")),
+    "stops": lambda: _per(F.col("n_stops"), F.col("n_words")),
     "line_words": lambda: _per(F.col("n_words"), F.col("n_lines")),
 }
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and STATISTICS for each row of docs."""
-    counted = with_base_counts(whole_texts(docs))
+    counted = with_counts(whole_texts(docs), {name: make() for name, make in COUNTS.items()})
     return counted.select("doc_id", *[make().alias(name) for name, make in STATISTICS.items()])
 
 
@@ -123,7 +130,7 @@ def grow(x: dict[str, np.ndarray], y: np.ndarray, rng: np.random.Generator) -> s
 
     for _ in range(TREES):
         rows = rng.choice(len(y), max(1, len(y) // 2), replace=False)
-        split(np.sort(rows), [], 0, list(rng.choice(names, max(1, 2 * len(names) // 3), replace=False)))
+        split(np.sort(rows), [], 0, [str(n) for n in rng.choice(names, max(1, 2 * len(names) // 3), replace=False)])
     return rules
 
 

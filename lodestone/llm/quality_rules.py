@@ -9,7 +9,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from .common import read_table, whole_texts
-from .text_stats import STOP_WORDS, stop_word_count, with_base_counts
+from .text_stats import STOP_WORDS, stop_word_count, with_counts
 
 #: (rule, numerator, denominator, least, most, words needed before the rule applies). None: no bound on that side.
 RULES = [
@@ -38,11 +38,11 @@ def quality_rules(docs: DataFrame, rules: list[tuple] = RULES, carry: bool = Fal
     judged row by row; an empty table gives an empty table; columns besides doc_id and text are
     left behind or, with carry, go along in the struct ``_row``, so none can clash.
     """
-    counted = with_base_counts(whole_texts(docs, carry)).withColumn("n_stop_words", stop_word_count(F.col("_words")))
+    counted = with_counts(whole_texts(docs, carry), {"n_stop_words": stop_word_count(F.col("_words"))})
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     names = F.filter(F.array(*[F.when(broken(r), F.lit(r[0])) for r in rules]), lambda x: x.isNotNull())
     judged = counted.withColumns({"base_failed": base, "failed_rules": names})
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("_words", "_lines")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

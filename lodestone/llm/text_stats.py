@@ -35,7 +35,8 @@ def _covered(hashes: Column) -> Column:
 
 def repeated_words(words: Column) -> Column:
     """Words inside 5-word windows that occur at least twice. The ordered pass runs only where some hash repeats."""
-    return bind(_window_hashes(words), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(F.lit(0)))
+    found = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _covered(h)).otherwise(F.lit(0))
+    return bind(words, lambda w: bind(_window_hashes(w), found))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -44,8 +45,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_words": words_of(F.col("text")), "_lines": lines})
 
 
-def with_base_counts(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_lines (lines with a word), all long."""
+def with_counts(docs: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (lines with a word) and more, all long; more may
+    speak of ``text`` and of its words in ``_words``.
+
+    The counts leave through a generator: filters and projections on them aren't merged into the expressions that make them.
+    """
     w, lines = F.col("_words"), F.col("_lines")
     counts = {
         "n_words": F.size(w),
@@ -54,8 +59,9 @@ def with_base_counts(docs: DataFrame) -> DataFrame:
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": repeated_words(w),
+        **more,
     }
-    return _keyed(docs).withColumns({k: v.cast("long") for k, v in counts.items()})
+    return _keyed(docs).select(*docs.columns, F.inline(F.array(F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]))))
 
 
 def stop_word_count(words: Column) -> Column:
