@@ -78,8 +78,8 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
     def encode(batches):
         encoder, task, seen = word_encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
                 ids, begins = encoder.encode(part.column("text"))
                 sizes = np.diff(begins) + 1
                 pieces = -(-sizes // capacity)
