@@ -35,32 +35,37 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Lines:
-    """The lines of a chunk's documents that have enough words: owner (row), number, words, and hashes of stretches of them."""
+    """The lines of a chunk's documents; of those with enough words (``used``) the words, and hashes of stretches of them."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, hashed: bool = True):
         texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
         split = pc.split_pattern(texts, "\n")
         n = np.diff(split.offsets.to_numpy())
         self.strings = split.flatten()
         self.row = np.repeat(np.arange(len(n)), n)
         self.number = ragged(np.zeros(len(n), np.int64), n)
-        words, begins = word_hashes(self.strings, lower=False)
-        sizes = np.diff(begins)
-        self.used = np.flatnonzero(sizes >= MIN_WORDS)
-        self.size, self.begin = sizes[self.used], begins[:-1][self.used]
-        self.sums = []
-        top = int(self.size.max(initial=0)) + 2
-        for odd, seed in ((ODD, 0), (ODD_2, 1)):
-            values = mix(words ^ np.uint64(seed))
-            place = np.zeros(len(words), np.int64)
-            place[ragged(self.begin, self.size)] = ragged(np.zeros(len(self.size), np.int64), self.size)
-            power = _powers(odd, top)
-            self.sums.append((np.concatenate([[np.uint64(0)], np.cumsum(values * power[place])]), _powers(pow(odd, -1, 1 << 64), top), values * power[place]))
-        self.id = table.column("doc_id").to_numpy(zero_copy_only=False) if not table.column("doc_id").null_count else table.column("doc_id").fill_null(NONE).to_numpy()
+        ids = table.column("doc_id")
+        self.id = (ids.fill_null(NONE) if ids.null_count else ids).to_numpy()
+        if hashed:
+            self.words, begins = word_hashes(self.strings, lower=False)
+            sizes = np.diff(begins)
+            self.used = np.flatnonzero(sizes >= MIN_WORDS)
+            self.size, self.begin = sizes[self.used], begins[:-1][self.used]
+            self.place = np.arange(len(self.words)) - np.repeat(begins[:-1], sizes)
+            self.kept_sums: dict = {}
+
+    def sums(self, h: int) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of word hash times a power for each place in the line, and the inverse powers that move a stretch to place 0."""
+        if h not in self.kept_sums:
+            odd = (ODD, ODD_2)[h]
+            top = int(self.place.max(initial=0)) + 2
+            values = self.words if h == 0 else mix(self.words)
+            self.kept_sums[h] = (np.concatenate([[np.uint64(0)], np.cumsum(values * _powers(odd, top)[self.place])]), _powers(pow(odd, -1, 1 << 64), top))
+        return self.kept_sums[h]
 
     def stretch(self, start: np.ndarray, n: np.ndarray, line: np.ndarray, h: int = 0) -> np.ndarray:
         """Hash of the n words from the start-th of each line."""
-        total, back, _ = self.sums[h]
+        total, back = self.sums(h)
         at = self.begin[line] + start
         return (total[at + n] - total[at]) * back[start]
 
@@ -85,7 +90,7 @@ class Lines:
         n = self.size[lines]
         line = np.repeat(lines, n)
         place = ragged(np.zeros(len(n), np.int64), n)
-        total, back, own = self.sums[h]
+        total, back = self.sums(h)
         first, at = self.begin[line], self.begin[line] + place
         before, after = total[at] - total[first], total[first + self.size[line]] - total[at + 1]
         return line, place, mix(before + after * back[np.minimum(1, self.size[line])] + (self.size[line] - 1).astype(np.uint64))
@@ -137,100 +142,88 @@ K, D, S = 0, 1, 2
 
 def _entries(lines: Lines, live: np.ndarray):
     """key, check, kind and line of the neighbourhood of live lines that stand for themselves (the first of the chunk's equal ones), and (dropped, for which) of the others."""
-    whole, check = lines.whole(), lines.whole(1)
+    whole = lines.whole()
     row, number = lines.row[lines.used], lines.number[lines.used]
     order = np.lexsort((number[live], row[live], whole[live]))
     live = live[order]
     begin = _groups(whole[live])
     first = live[begin]
-    copies = np.setdiff1d(live, first)
+    at = np.cumsum(np.isin(np.arange(len(live)), begin)) - 1
+    copies = np.flatnonzero(np.diff(at, prepend=-1) == 0)
     line, place, key = lines.without(first, 0)
     check_d = lines.without(first, 1)[2]
     parts = (
-        (whole[first], check[first], np.full(len(first), K), first),
+        (whole[first], lines.whole(1)[first], np.full(len(first), K), first),
         (key, check_d, np.full(len(key), D), line),
         (mix(key + place.astype(np.uint64) + np.uint64(1 << 40)), check_d, np.full(len(key), S), line),
     )
-    return [np.concatenate([p[k] for p in parts]) for k in range(4)], copies
+    return [np.concatenate([p[k] for p in parts]) for k in range(4)], (live[copies], first[at[copies]])
 
 
 def _neighbour_questions(table: pa.Table, bodies: dict[int, bytes], slots):
+    """To each shard its entries and their lines. The first shard also gets the chunk's equal lines, to hand back."""
     lines = Lines(table)
-    (key, check, kind, line), _ = _entries(lines, _live(lines, bodies, slots))
-    order = np.lexsort((line, kind, check, key))
-    key, check, kind, line = key[order], check[order], kind[order], line[order]
+    (key, check, kind, line), (copies, first) = _entries(lines, _live(lines, bodies, slots))
+    order = np.argsort(key)
+    key, check, kind, line = key[order], (check[order] >> np.uint64(32)).astype(np.uint32), kind[order].astype(np.uint8), line[order]
     doc, number = lines.id[lines.row[lines.used]], lines.number[lines.used]
-    for shard, a, b in split_by_shard(key, slots):
+    for k, (shard, a, b) in enumerate(split_by_shard(key, slots)):
         own = np.unique(line[a:b])
-        # Documents come in order, so a line's rank in its chunk is its order there.
-        yield shard, packed(steps(key[a:b]), (check[a:b] >> np.uint64(32)).astype(np.uint32), kind[a:b].astype(np.uint8), np.searchsorted(own, line[a:b]).astype(np.uint32), doc[own], number[own].astype(np.uint32), own.astype(np.uint32))
+        pairs = np.concatenate([lines.used[copies], lines.used[first]]) if k == 0 else np.zeros(0, np.int64)
+        yield shard, packed(steps(key[a:b]), check[a:b], kind[a:b], np.searchsorted(own, line[a:b]).astype(np.uint32), doc[own], number[own].astype(np.uint32), lines.used[own], pairs)
 
 
 def _neighbour_answers(bodies: list[bytes]) -> list[bytes]:
-    """Each body's lines that an earlier line of any chunk makes redundant."""
+    """Each body's lines that an earlier line of any chunk makes redundant, and the equal lines it came with."""
     parts = [unpacked(b) for b in bodies]
     if not parts:
         return []
-    lengths = [len(p[0]) for p in parts]
     key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     check, kind = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-    doc = np.concatenate([p[4][p[3]] for p in parts])
-    number = np.concatenate([p[5][p[3]] for p in parts]).astype(np.int64)
-    order = np.lexsort((number, doc, check, key))
-    k, c, o_kind, o_doc, o_number = key[order], check[order], kind[order], doc[order], number[order]
-    begin = _groups(k)
-    group = np.zeros(len(k), np.int64)
-    new = np.zeros(len(k), bool)
-    if len(k):
-        new[begin] = True
-        new[1:] |= c[1:] != c[:-1]
-        group = np.cumsum(new) - 1
+    doc, number = (np.concatenate([p[k] for p in parts]) for k in (4, 5))
+    by_order = np.lexsort((number, doc))
+    doc, number = doc[by_order], number[by_order]
+    rank = np.empty(len(doc), np.int64)  # lines of one document id and number share a rank
+    rank[by_order] = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])) if len(doc) else 0
+    base = np.cumsum([0, *(len(p[4]) for p in parts)])
+    rank = np.concatenate([rank[b + p[3]] for b, p in zip(base.tolist(), parts)])
+    order = np.argsort(key)
+    k, c = key[order], check[order]
+    if np.any((k[1:] == k[:-1]) & (c[1:] != c[:-1])):  # hashes that meet by chance
+        order = np.lexsort((check, key))
+        k, c = key[order], check[order]
     gone = np.zeros(len(k), bool)
-    at = np.flatnonzero(new)
-
-    def earliest(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the first member with ``of`` in each group (rows come ordered)."""
-        d, n = np.full(len(at), NONE), np.full(len(at), NONE)
-        places = np.flatnonzero(of)[::-1]
-        d[group[places]], n[group[places]] = o_doc[places], o_number[places]
-        return d[group], n[group]
-
-    for of, told in (((o_kind == K) | (o_kind == D), o_kind == K), (o_kind == K, o_kind == D), (o_kind == S, o_kind == S)):
-        d, n = earliest(of)
-        gone |= told & ((d < o_doc) | ((d == o_doc) & (n < o_number)))
+    if len(k):
+        begin = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
+        sizes = np.diff(np.append(begin, len(k)))
+        met = np.repeat(sizes > 1, sizes)
+        order, sizes = order[met], sizes[sizes > 1]
+        gone = np.zeros(len(order), bool)
+        begin = np.cumsum(sizes) - sizes
+        o_kind, o_rank = kind[order], rank[order]
+        for of, told in (((o_kind == K) | (o_kind == D), o_kind == K), (o_kind == K, o_kind == D), (o_kind == S, o_kind == S)):
+            if len(begin):
+                gone |= told & (np.repeat(np.minimum.reduceat(np.where(of, o_rank, NONE), begin), sizes) < o_rank)
     hit = np.zeros(len(key), bool)
-    hit[order] = gone
+    hit[order[gone] if len(k) else order] = True
     out, a = [], 0
-    for p, n in zip(parts, lengths):
-        own = np.unique(p[3][hit[a : a + n]])
-        out.append(packed(p[6][own]))
+    for p in parts:
+        n = len(p[0])
+        out.append(packed(p[6][np.unique(p[3][hit[a : a + n]])], p[7]))
         a += n
     return out
 
 
 def _rebuilt(table: pa.Table, bodies: dict[int, bytes]) -> pa.Table:
-    lines = Lines(table)
-    whole = lines.whole()
-    gone = np.unique(np.concatenate([unpacked(b)[0] for b in bodies.values()] or [np.zeros(0, np.uint32)]).astype(np.int64))
-    # Equal lines of the chunk beyond the first share no fate with it: an earlier one exists.
-    order = np.lexsort((lines.number[lines.used], lines.row[lines.used], whole))
-    begin = _groups(whole[order])
-    stays = np.zeros(len(whole), bool)
-    stays[order[begin]] = True
-    row, number = lines.row[lines.used], lines.number[lines.used]
-    # Rows of one id and line number are equally early: a copy in the first's place is no later.
-    first = order[begin][np.cumsum(np.isin(np.arange(len(order)), begin)) - 1] if len(order) else order
-    same = (lines.id[row[order]] == lines.id[row[first]]) & (number[order] == number[first])
-    tied = np.zeros(len(whole), bool)
-    tied[order] = same
-    drop = ~stays & ~tied
-    drop[gone] = True
-    # A tied copy goes where the first goes.
-    lost = np.zeros(len(whole), bool)
-    lost[gone] = True
-    drop[order] |= same & lost[first]
+    lines = Lines(table, hashed=False)
+    told = [unpacked(b) for b in bodies.values()]
     keep = np.ones(len(lines.row), bool)
-    keep[lines.used[drop]] = False
+    for gone, _ in told:
+        keep[gone] = False
+    for _, pairs in told:  # a line equal to an earlier one of the chunk goes; where it is no later, it goes if that one does
+        copies, first = pairs[: len(pairs) // 2], pairs[len(pairs) // 2 :]
+        tied = (lines.id[lines.row[copies]] == lines.id[lines.row[first]]) & (lines.number[copies] == lines.number[first])
+        keep[copies[~tied | ~keep[first]]] = False
     n = np.bincount(lines.row, minlength=table.num_rows)
     kept = np.bincount(lines.row[keep], minlength=table.num_rows)
     offsets = pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32())
