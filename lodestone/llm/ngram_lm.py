@@ -7,8 +7,9 @@ They add up to one over V words and one unknown word.
 A chunk of documents sends its distinct n-grams, with what its training documents count of them, to shards. A shard adds the counts
 up, builds its trie level by level, and looks up all n-grams that were asked for. A node holds the quantised log10 of its n-gram's
 relative frequency (times N, a constant); its smoothing needs a context's count and the order below, which lie in other shards, so the
-chunk, which hears all of them, puts the three orders together. n-grams are told apart by 64 bits of which 48 tell them apart in a
-shard (24 of the context, 24 of the word, and 16 choose the shard); words by 64 bits. A context's children are dealt to 16 places, so a
+chunk, which hears all of them, puts the three orders together. n-grams are told apart in a shard by 40 bits
+(22 of the context, 18 of the word; 16 more choose the shard): of a shard of some million n-grams an unknown one meets a known one once in
+some hundred thousand times. Words are told apart by 64 bits. A context's children are dealt to 16 places, so a
 frequent context is no hot key.
 """
 
@@ -30,7 +31,7 @@ M2, M3 = 2000.0, 2.0
 DECADE = 4096
 HELD_OUT = 1
 START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
-CONTEXT_BITS = WORD_BITS = 24
+CONTEXT_BITS, WORD_BITS = 22, 18
 SPREAD = np.uint64(15)
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -50,7 +51,7 @@ def restored(codes: np.ndarray) -> np.ndarray:
 def _keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     c, w = mix(context), mix(word + np.uint64(1))
     place = mix(c ^ (w & SPREAD))
-    return ((place >> np.uint64(48)) << np.uint64(48)) | ((c >> np.uint64(40)) << np.uint64(WORD_BITS)) | (w >> np.uint64(40))
+    return ((place >> np.uint64(48)) << np.uint64(48)) | ((c >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS)) | (w >> np.uint64(64 - WORD_BITS))
 
 
 class Sequences:
