@@ -1,6 +1,388 @@
-"""Queries of the index by name, and SQL that gives the same rows."""
+"""Queries of the index by name, and SQL that gives the same rows.
+
+The fixture: arity 3, buckets and buffer of 30 rows, rows inserted by vec_id, and as router of a level of n buckets the vectors of the
+first n ids (softmax of 8 times the dot product). Searches query every row whose id is divisible by 100. The SQL has the placement as
+literals, so it doesn't depend on the planner.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyspark.sql.functions as F
+from pyspark.sql import DataFrame, SparkSession, Window
+
+from ..config import IndexConfig
+from ..functions import distance
+from ..index import VectorIndex, half_column
+from ..operators import leveling
+from ..operators.evaluate import recall
+from ..operators.exact import knn
+from ..operators.router import CentroidRouter, sample_size
+from ..sources.storage import shared_folder
+from ..streaming.ingest import ingest
+
+CONFIG = IndexConfig(arity=3, bucket_size=30, buffer_size=30, input_shape=64)
+BUDGET, K = 100, 10
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def queries_of(vectors: DataFrame) -> DataFrame:
+    return vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+
+
+def first_rows_router(vectors: DataFrame):
+    def factory(rows: DataFrame, n_rows: int, level: int, config: IndexConfig) -> CentroidRouter:
+        n = config.n_buckets(level)
+        found = vectors.where(F.col("vec_id") < n).orderBy("vec_id").select("embedding").limit(n).collect()
+        return CentroidRouter(np.array([r["embedding"] for r in found]))
+
+    return factory
+
+
+_built: dict[tuple, VectorIndex] = {}
+
+
+def fixture(spark: SparkSession, sf_dir: str, **changes) -> VectorIndex:
+    """The fixture's index; built once a session and folder, and copied, as deletions change what they are called on."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    vectors = embeddings(spark, sf_dir)
+    if key not in _built:
+        _built[key] = VectorIndex(spark, CONFIG, first_rows_router(vectors)).insert(vectors)
+    done, out = _built[key], VectorIndex(spark, CONFIG.with_(**changes), first_rows_router(vectors))
+    out.records, out.levels, out.buffered, out.routers = done.records, list(done.levels), done.buffered, list(done.routers)
+    return out
+
+
+def _rounded(found: DataFrame, digits: int = 6) -> DataFrame:
+    return found.withColumn("score", F.round("score", digits))
+
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT vec_id AS qid, v AS qv FROM e WHERE vec_id % 100 = 0)"
+INDEX = (
+    "WITH "
+    + E
+    + """, n AS (SELECT count(*) AS c FROM embeddings),
+lv AS (SELECT level, nb FROM (VALUES (0, 3), (1, 9), (2, 27), (3, 81)) t(level, nb) WHERE level < 3 OR (SELECT c FROM n) = 2000),
+place AS (SELECT vec_id, v, CASE WHEN (SELECT c FROM n) = 500 THEN CASE WHEN vec_id < 360 THEN 2 WHEN vec_id < 480 THEN 1 ELSE -1 END
+  ELSE CASE WHEN vec_id < 1080 THEN 3 WHEN vec_id < 1800 THEN 2 WHEN vec_id < 1920 THEN 1 WHEN vec_id < 1980 THEN 0 ELSE -1 END END AS level FROM e),
+cen AS (SELECT lv.level, CAST(e.vec_id AS INTEGER) AS bucket, e.v AS cv FROM lv JOIN e ON e.vec_id < lv.nb),
+asg AS (SELECT vec_id, level, bucket, v FROM (SELECT p.vec_id, p.level, p.v, c.bucket, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_dot_product(p.v, c.cv) DESC, c.bucket) AS rn
+  FROM place p JOIN cen c ON c.level = p.level) WHERE rn = 1 UNION ALL SELECT vec_id, -1, 0, v FROM place WHERE level = -1),
+occ AS (SELECT level, bucket, count(*) AS occ FROM asg GROUP BY level, bucket),
+pr AS (SELECT qid, level, bucket, exp(8 * d) / sum(exp(8 * d)) OVER (PARTITION BY qid, level) AS prob FROM (SELECT q.qid, c.level, c.bucket, list_dot_product(q.qv, c.cv) AS d
+  FROM q CROSS JOIN cen c WHERE c.level IN (SELECT level FROM place))),
+cand AS (SELECT pr.qid, pr.level, pr.bucket, round(pow(CAST(3 AS DOUBLE), pr.level) * prob, 9) AS priority, occ.occ FROM pr JOIN occ ON occ.level = pr.level AND occ.bucket = pr.bucket
+  UNION ALL SELECT qid, CAST((SELECT count(*) FROM lv) AS INTEGER), CAST((SELECT sum(nb) FROM lv) AS INTEGER), CAST(1 AS DOUBLE), (SELECT count(*) FROM place WHERE level = -1) FROM q),
+cut AS (SELECT *, CAST(coalesce(sum(occ) OVER (PARTITION BY qid ORDER BY priority DESC, level, bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM cand)
+"""
+)
+
+
+def _found(budget: int | str, records: str = "asg", where: str = "true", k: int = 10, start: str = INDEX) -> str:
+    return f"""{start}, sel AS (SELECT qid, CASE WHEN level = (SELECT count(*) FROM lv) THEN -1 ELSE level END AS level, CASE WHEN level = (SELECT count(*) FROM lv) THEN 0 ELSE bucket END AS bucket FROM cut WHERE before < {budget}),
+hit AS (SELECT s.qid, a.vec_id, list_dot_product(a.v, q.qv) AS d FROM sel s JOIN {records} a ON a.level = s.level AND a.bucket = s.bucket JOIN q ON q.qid = s.qid WHERE {where}),
+res AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d DESC, vec_id) AS rank, vec_id, round(d, 6) AS score FROM hit)
+SELECT qid, rank, vec_id, score FROM res WHERE rank <= {k}"""
+
+
+def _exact(value: str, order: str, vectors: str = E, k: int = 10) -> str:
+    return f"WITH {vectors}, d AS (SELECT q.qid, e.vec_id, {value} AS s FROM q CROSS JOIN e), r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY {order}, vec_id) AS rank, vec_id, round(s, 6) AS score FROM d) SELECT * FROM r WHERE rank <= {k}"
+
+
+L2_SQL = "list_sum(list_transform(list_zip(e.v, q.qv), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+
+
+@query(_exact("list_dot_product(e.v, q.qv)", "s DESC"))
+def knn_exact_dot(spark, sf_dir):
+    vectors = embeddings(spark, sf_dir)
+    return _rounded(knn(vectors, queries_of(vectors), K))
+
+
+@query(_exact(L2_SQL, "s"))
+def knn_exact_l2(spark, sf_dir):
+    vectors = embeddings(spark, sf_dir)
+    return _rounded(knn(vectors, queries_of(vectors), K, "l2"))
+
+
+_SCALED = "e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (1 + vec_id % 5)) AS v FROM embeddings), q AS (SELECT vec_id AS qid, v AS qv FROM e WHERE vec_id % 100 = 0)"
+
+
+@query(_exact(L2_SQL, "s", _SCALED))
+def knn_exact_l2_scaled(spark, sf_dir):
+    vectors = embeddings(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 5)).alias("embedding"))
+    return _rounded(knn(vectors, queries_of(vectors), K, "l2"))
+
+
+@query(_exact("list_dot_product(e.v, q.qv)", "s DESC", _SCALED.replace("list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (1 + vec_id % 5))", "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))")))
+def normalize_then_knn(spark, sf_dir):
+    scaled = embeddings(spark, sf_dir).select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 5)).alias("embedding"))
+    vectors = scaled.select("vec_id", distance.normalized(F.col("embedding")).alias("embedding"))
+    return _rounded(knn(vectors, queries_of(vectors), K))
+
+
+_SELF = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), r AS (SELECT a.vec_id AS qid, a.label AS own, b.vec_id, b.label, list_dot_product(b.v, a.v) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(b.v, a.v) DESC, b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
+
+
+def _nearest_others(spark, sf_dir):
+    vectors = embeddings(spark, sf_dir)
+    return vectors, knn(vectors, vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), 1, exclude_self=True)
+
+
+@query(_SELF + " SELECT qid, vec_id, round(s, 6) AS score FROM r WHERE rank = 1")
+def knn_self_join(spark, sf_dir):
+    return _rounded(_nearest_others(spark, sf_dir)[1]).select("qid", "vec_id", "score")
+
+
+@query(_SELF + " SELECT round(avg(CASE WHEN own = label THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS agreement FROM r WHERE rank = 1")
+def knn_label_agreement(spark, sf_dir):
+    vectors, near = _nearest_others(spark, sf_dir)
+    own = vectors.select(F.col("vec_id").alias("qid"), F.col("label").alias("own"))
+    return near.join(own, "qid").join(vectors.select("vec_id", "label"), "vec_id").agg(F.round(F.avg((F.col("own") == F.col("label")).cast("double")), 6).alias("agreement"))
+
+
+@query(INDEX + "SELECT vec_id, CAST(level AS INTEGER) AS level FROM place")
+def level_placement(spark, sf_dir):
+    return fixture(spark, sf_dir).records.select("vec_id", "level")
+
+
+@query(INDEX + "SELECT vec_id, CAST(level AS INTEGER) AS level, bucket FROM asg")
+def bucket_assign_linear(spark, sf_dir):
+    return fixture(spark, sf_dir).records.select("vec_id", "level", "bucket")
+
+
+_FRAME = ", frame AS (SELECT level, CAST(unnest(range(nb)) AS INTEGER) AS bucket FROM lv), bs AS (SELECT CAST(f.level AS INTEGER) AS level, f.bucket, coalesce(o.occ, 0) AS occupied FROM frame f LEFT JOIN occ o ON o.level = f.level AND o.bucket = f.bucket)"
+_LEVELS = ", ls AS (SELECT bs.level, count(*) AS n_buckets, count(*) * 30 AS capacity, CAST(sum(occupied) AS BIGINT) AS occupied, count(*) FILTER (WHERE occupied = 0) AS n_empty FROM bs GROUP BY bs.level)"
+
+
+@query(INDEX + _FRAME + " SELECT * FROM bs")
+def bucket_stats(spark, sf_dir):
+    return fixture(spark, sf_dir).bucket_stats()
+
+
+@query(INDEX + _FRAME + _LEVELS + " SELECT * FROM ls")
+def level_stats(spark, sf_dir):
+    return fixture(spark, sf_dir).level_stats()
+
+
+@query(INDEX + _FRAME + _LEVELS + " SELECT count(*) AS n_levels, CAST(sum(n_buckets) AS BIGINT) AS n_buckets, CAST(sum(capacity) + 30 AS BIGINT) AS size, CAST(sum(occupied) + (SELECT count(*) FROM place WHERE level = -1) AS BIGINT) AS occupied, (SELECT count(*) FROM place WHERE level = -1) AS buffer_occupied, CAST(sum(n_empty) AS BIGINT) AS n_empty_buckets FROM ls")
+def index_stats(spark, sf_dir):
+    return fixture(spark, sf_dir).stats()
+
+
+@query(INDEX + "SELECT qid, CAST(level AS INTEGER) AS level, bucket, round(prob, 9) AS prob FROM pr")
+def route_softmax(spark, sf_dir):
+    return fixture(spark, sf_dir).predictions(queries_of(embeddings(spark, sf_dir))).withColumn("prob", F.round("prob", 9))
+
+
+@query(INDEX + "SELECT qid, CAST(level AS INTEGER) AS level, bucket, priority, occ FROM cand")
+def priority_candidates(spark, sf_dir):
+    return fixture(spark, sf_dir).candidates(queries_of(embeddings(spark, sf_dir))).drop("before")
+
+
+@query(INDEX + f"SELECT qid, CAST(level AS INTEGER) AS level, bucket, occ, before FROM cut WHERE before < {BUDGET}")
+def budget_cut(spark, sf_dir):
+    return fixture(spark, sf_dir).selected(queries_of(embeddings(spark, sf_dir)), BUDGET).drop("priority")
+
+
+@query(_found(BUDGET))
+def search_budgeted(spark, sf_dir):
+    return _rounded(fixture(spark, sf_dir).search(queries_of(embeddings(spark, sf_dir)), K, BUDGET))
+
+
+@query(_exact("list_dot_product(e.v, q.qv)", "s DESC"))
+def search_full_budget(spark, sf_dir):
+    return _rounded(fixture(spark, sf_dir).search(queries_of(embeddings(spark, sf_dir)), K, 10_000_000))
+
+
+@query(_found(BUDGET).replace("vec_id % 100 = 0", "vec_id = 0"))
+def search_single(spark, sf_dir):
+    one = embeddings(spark, sf_dir).where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    return _rounded(fixture(spark, sf_dir).search(one, K, BUDGET))
+
+
+BUDGETS = (0, 50, 100, 200, 10_000)
+_RECALL = f"""{INDEX}, b AS (SELECT unnest([{', '.join(map(str, BUDGETS))}]) AS budget),
+sel AS (SELECT b.budget, c.qid, CASE WHEN c.level = (SELECT count(*) FROM lv) THEN -1 ELSE c.level END AS level, CASE WHEN c.level = (SELECT count(*) FROM lv) THEN 0 ELSE c.bucket END AS bucket FROM cut c JOIN b ON c.before < b.budget),
+hit AS (SELECT s.budget, s.qid, a.vec_id, row_number() OVER (PARTITION BY s.budget, s.qid ORDER BY list_dot_product(a.v, q.qv) DESC, a.vec_id) AS r FROM sel s JOIN asg a ON a.level = s.level AND a.bucket = s.bucket JOIN q ON q.qid = s.qid),
+gt AS (SELECT q.qid, e.vec_id, row_number() OVER (PARTITION BY q.qid ORDER BY list_dot_product(e.v, q.qv) DESC, e.vec_id) AS r FROM q CROSS JOIN e)
+SELECT CAST(b.budget AS BIGINT) AS budget, round((SELECT count(*) FROM hit JOIN gt ON gt.qid = hit.qid AND gt.vec_id = hit.vec_id WHERE hit.budget = b.budget AND hit.r <= 10 AND gt.r <= 10) / (CAST(10 AS DOUBLE) * (SELECT count(*) FROM q)), 6) AS recall FROM b"""
+
+
+@query(_RECALL)
+def recall_by_budget(spark, sf_dir):
+    index, vectors = fixture(spark, sf_dir), embeddings(spark, sf_dir)
+    asked = queries_of(vectors)
+    truth, out = knn(vectors, asked, K), None
+    for n in BUDGETS:
+        one = recall(index.search(asked, K, n), truth, asked, K).select(F.lit(n).cast("long").alias("budget"), F.round("recall", 6).alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_LEFT = INDEX.replace("occ AS (SELECT level, bucket, count(*) AS occ FROM asg GROUP BY", "liv AS (SELECT * FROM asg WHERE vec_id % 7 <> 0),\nocc AS (SELECT level, bucket, count(*) AS occ FROM liv GROUP BY").replace("(SELECT count(*) FROM place WHERE level = -1) FROM q", "(SELECT count(*) FROM liv WHERE level = -1) FROM q")
+
+
+def _sevenths(spark, sf_dir):
+    return embeddings(spark, sf_dir).where(F.col("vec_id") % 7 == 0).select("vec_id")
+
+
+@query(_found(BUDGET, "liv", start=_LEFT))
+def delete_then_search(spark, sf_dir):
+    index = fixture(spark, sf_dir)
+    index.delete(_sevenths(spark, sf_dir))
+    return _rounded(index.search(queries_of(embeddings(spark, sf_dir)), K, BUDGET))
+
+
+@query(_LEFT + ", l AS (SELECT lv.level, count(liv.vec_id) AS occupied FROM lv LEFT JOIN liv ON liv.level = lv.level GROUP BY lv.level) SELECT CAST(level AS INTEGER) AS level, occupied, occupied < 30 * pow(3, level) AS underutilized FROM l")
+def delete_underutilized(spark, sf_dir):
+    index = fixture(spark, sf_dir)
+    index.delete(_sevenths(spark, sf_dir))
+    return spark.createDataFrame([(i, n, leveling.underutilized(CONFIG, i, n)) for i, n in enumerate(index.levels)], "level int, occupied long, underutilized boolean")
+
+
+_MOVED = """, gone AS (SELECT vec_id FROM place WHERE level = 1 ORDER BY vec_id LIMIT 31), p2 AS (SELECT vec_id, v, CASE WHEN level = 1 THEN 2 ELSE level END AS level FROM place WHERE vec_id NOT IN (SELECT vec_id FROM gone))
+SELECT vec_id, CAST(level AS INTEGER) AS level, bucket FROM (SELECT p.vec_id, p.level, c.bucket, row_number() OVER (PARTITION BY p.vec_id ORDER BY list_dot_product(p.v, c.cv) DESC, c.bucket) AS rn FROM p2 p JOIN cen c ON c.level = p.level) WHERE rn = 1
+UNION ALL SELECT vec_id, -1, 0 FROM p2 WHERE level = -1"""
+
+
+def _rebuilt(spark, sf_dir, strategy):
+    index = fixture(spark, sf_dir, rebuild_strategy=strategy)
+    index.delete(index.records.where("level = 1").orderBy("vec_id").limit(31).select("vec_id"))
+    return index.records.select("vec_id", "level", "bucket")
+
+
+@query(INDEX + _MOVED)
+def rebuild_basic(spark, sf_dir):
+    return _rebuilt(spark, sf_dir, "basic_rebuild")
+
+
+@query(INDEX + _MOVED.replace("WHEN level = 1 THEN 2", "WHEN level = 1 OR level = 0 THEN 2"))
+def rebuild_greedy(spark, sf_dir):
+    return _rebuilt(spark, sf_dir, "greedy_rebuild")
+
+
+def _lloyd(spark, sf_dir, spherical):
+    vectors = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    first = np.array([r["embedding"] for r in vectors.where("vec_id < 6").orderBy("vec_id").collect()], np.float64)
+    centre = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in first])
+    near = (lambda c: -distance.dot(F.col("embedding"), c)) if spherical else (lambda c: distance.l2(F.col("embedding"), c))
+    best = F.array_min(F.transform(centre, lambda c, i: F.named_struct(F.lit("d"), F.round(near(c), 12), F.lit("label"), i)))["label"]
+    means = vectors.select(best.alias("label"), F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    if spherical:
+        means = means.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("label"))))
+    return means.select("label", "dim", F.round("x", 6).alias("x"))
+
+
+def _lloyd_sql(near: str, value: str) -> str:
+    return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT CAST(vec_id AS INTEGER) AS label, v AS qv FROM e WHERE vec_id < 6),
+a AS (SELECT vec_id, v, label FROM (SELECT e.vec_id, e.v, q.label, row_number() OVER (PARTITION BY e.vec_id ORDER BY {near}, q.label) AS r FROM e CROSS JOIN q) WHERE r = 1),
+m AS (SELECT label, dim, avg(v[dim + 1]) AS x FROM (SELECT label, v, unnest(range(64)) AS dim FROM a) GROUP BY label, dim)
+SELECT label, CAST(dim AS INTEGER) AS dim, round({value}, 6) AS x FROM m"""
+
+
+@query(_lloyd_sql("round(" + L2_SQL + ", 12)", "x"))
+def kmeans_step(spark, sf_dir):
+    return _lloyd(spark, sf_dir, False)
+
+
+@query(_lloyd_sql("round(-list_dot_product(e.v, q.qv), 12)", "x / sqrt(sum(x * x) OVER (PARTITION BY label))"))
+def kmeans_step_spherical(spark, sf_dir):
+    return _lloyd(spark, sf_dir, True)
+
+
+@query("SELECT vec_id, label, round(CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY label), 9) AS weight FROM embeddings")
+def class_weights(spark, sf_dir):
+    counts = embeddings(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return embeddings(spark, sf_dir).join(counts, "label").select("vec_id", "label", F.round(F.lit(1.0) / F.col("n"), 9).alias("weight"))
+
+
+@query("SELECT CAST(level AS INTEGER) AS level, CAST(least((SELECT count(*) FROM embeddings), greatest(100, 40 * nb)) AS BIGINT) AS n FROM (VALUES (0, 3), (1, 9), (2, 27)) t(level, nb)")
+def sample_size_rule(spark, sf_dir):
+    rows = embeddings(spark, sf_dir).count()
+    return spark.createDataFrame([(i, sample_size(rows, CONFIG.n_buckets(i), 100)) for i in range(3)], "level int, n long")
+
+
+@query("SELECT vec_id FROM embeddings ORDER BY (vec_id * 7919) % 1009, vec_id LIMIT 100")
+def deterministic_sample(spark, sf_dir):
+    return embeddings(spark, sf_dir).orderBy((F.col("vec_id") * 7919) % 1009, "vec_id").limit(100).select("vec_id")
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+h AS (SELECT vec_id, list_transform(range(4), lambda j: greatest(CAST(0 AS DOUBLE), list_sum(list_transform(range(64), lambda i: v[i + 1] * ((i * 7 + j * 3) % 5 - 2))))) AS h FROM e)
+SELECT vec_id, CAST(o AS INTEGER) AS output, round(list_sum(list_transform(range(4), lambda j: h[j + 1] * ((j * 5 + o * 2) % 3 - 1))), 6) AS value FROM (SELECT vec_id, h, unnest(range(3)) AS o FROM h)""")
+def relu_mlp_forward(spark, sf_dir):
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    hidden = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.greatest(F.lit(0.0), total(F.transform("embedding", lambda x, i: x.cast("double") * ((i * 7 + j * 3) % 5 - 2)))))
+    out = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda o: total(F.transform("h", lambda x, j: x * ((j * 5 + o * 2) % 3 - 1))))
+    made = embeddings(spark, sf_dir).select("vec_id", hidden.alias("h")).select("vec_id", F.posexplode(out).alias("output", "value"))
+    return made.withColumn("value", F.round("value", 6))
+
+
+@query()
+def f16_round_trip(spark, sf_dir):
+    return embeddings(spark, sf_dir).select("vec_id", half_column(F.col("embedding")).alias("embedding"))
+
+
+@query("SELECT count(*) AS rows, CAST(count(*) * (4 * 64 + 4) AS BIGINT) AS bytes FROM embeddings")
+def memory_usage(spark, sf_dir):
+    return fixture(spark, sf_dir).records.agg(F.count(F.lit(1)).alias("rows"), F.sum(4 * F.size("embedding") + 4).alias("bytes"))
+
+
+@query("SELECT CAST(d AS BIGINT) AS dim, CAST((65536 - 4) // (d * 2 + 4) AS BIGINT) AS records, CAST(greatest(1, 1048576 // (30 * (d * 4 + 4))) AS BIGINT) AS cached FROM (SELECT unnest([3, 64, 768]) AS d)")
+def block_capacity(spark, sf_dir):
+    return spark.createDataFrame([(d, distance.records_per_block(d), distance.cached_buckets(1 << 20, 30, d)) for d in (3, 64, 768)], "dim long, records long, cached long")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids FROM embeddings")
+def upsert(spark, sf_dir):
+    index = fixture(spark, sf_dir)
+    index.upsert(_sevenths(spark, sf_dir).join(embeddings(spark, sf_dir), "vec_id"))
+    return index.records.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("vec_id").alias("ids"))
+
+
+@query(INDEX + "SELECT vec_id, CAST(level AS INTEGER) AS level, bucket FROM asg WHERE level = 2 AND bucket IN (0, 1, 2)")
+def cold_scan_pruned(spark, sf_dir):
+    index = fixture(spark, sf_dir, cold_storage_dir=f"{shared_folder(spark)}/cold", cold_threshold_level=1)
+    return index.cool().scan([(2, 0), (2, 1), (2, 2)]).select("vec_id", "level", "bucket")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids, CAST(sum(vec_id) AS BIGINT) AS id_sum FROM embeddings")
+def streaming_ingest(spark, sf_dir):
+    vectors = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    index = VectorIndex(spark, CONFIG, first_rows_router(vectors))
+    stream = spark.readStream.schema(vectors.schema).parquet(f"{sf_dir}/embeddings.parquet*")
+    ingest(stream, index, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").awaitTermination()
+    return index.records.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("vec_id").alias("ids"), F.sum("vec_id").alias("id_sum"))
+
+
+@query()
+def mlp_search(spark, sf_dir):
+    vectors = embeddings(spark, sf_dir)
+    return VectorIndex(spark, CONFIG).insert(vectors).search(queries_of(vectors), K, BUDGET)
+
+
+@query("SELECT CAST(n AS BIGINT) AS ncandidates, total / elapsed AS qps, elapsed / total * 1000 AS avg_ms, r * 100 AS avg_recall FROM (VALUES (1000, CAST(10000 AS DOUBLE), CAST(20 AS DOUBLE), CAST(0.625 AS DOUBLE)), (5000, CAST(10000 AS DOUBLE), CAST(40 AS DOUBLE), CAST(0.875 AS DOUBLE))) t(n, total, elapsed, r)")
+def metrics_rollup(spark, sf_dir):
+    rows = spark.createDataFrame([(1000, 10000.0, 20.0, 0.625), (5000, 10000.0, 40.0, 0.875)], "ncandidates long, total double, elapsed double, r double")
+    return rows.select("ncandidates", (F.col("total") / F.col("elapsed")).alias("qps"), (F.col("elapsed") / F.col("total") * 1000).alias("avg_ms"), (F.col("r") * 100).alias("avg_recall"))
+
+
