@@ -103,6 +103,7 @@ def hear(chunks: DataFrame, answers: DataFrame, use, schema: str) -> DataFrame:
     """use(documents, bodies by shard) gives a table; chunks without documents give nothing."""
 
     def with_answers(key, left, right):
+        pa.default_memory_pool().release_unused()
         return use(ordered(left), dict(zip(right.column("shard").to_pylist(), right.column("body").to_pylist())))
 
     n = partitions(chunks.sparkSession)
@@ -113,6 +114,7 @@ def ask_again(chunks: DataFrame, answers: DataFrame, question) -> DataFrame:
     """question(documents, bodies by shard) gives (shard, bytes) pairs."""
 
     def to(key, left, right):
+        pa.default_memory_pool().release_unused()
         bodies = dict(zip(right.column("shard").to_pylist(), right.column("body").to_pylist()))
         return _messages(list(question(ordered(left), bodies)), key[0].as_py())
 

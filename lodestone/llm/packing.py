@@ -101,6 +101,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
                 if with_ids:
                     cols["ids"] = pa.array([x.astype(np.int32) for x in cuts], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(cols)
+                pa.default_memory_pool().release_unused()
 
     return whole_texts(docs).mapInArrow(encode, PIECES + (", ids array<int>" if with_ids else ""))
 

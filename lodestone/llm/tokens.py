@@ -40,14 +40,14 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.ids, self.starts, self.lengths, self.n_ids = [], np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-    def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def _learn(self, new: pa.Array) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.known = pa.concat_arrays([self.known, new])
         self.starts = np.concatenate([self.starts, self.n_ids + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids.append(flat)
@@ -60,15 +60,20 @@ class WordEncoder:
             texts = pc.ascii_lower(texts)
         runs = pc.ascii_split_whitespace(texts)
         coded = runs.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary
         if len(self.known) + len(distinct) > self.most:
             self.forget()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self._learn(new)
+        at = pc.index_in(distinct, value_set=self.known)
+        if at.null_count:
+            before = len(self.known)
+            self._learn(distinct.filter(at.is_null()))
+            at = at.to_numpy(zero_copy_only=False).astype(float)
+            at[np.isnan(at)] = np.arange(before, len(self.known))
+            at = at.astype(np.int64)
+        else:
+            at = at.to_numpy().astype(np.int64)
         if len(self.ids) > 1:
             self.ids = [np.concatenate(self.ids)]
-        at = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))
         place = at[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
         lengths = self.lengths[place]
         ids = (self.ids[0] if self.ids else np.zeros(0, np.uint32))[ragged(self.starts[place], lengths)]
