@@ -65,6 +65,13 @@ def test_suffix_arrays():
         assert suffix_array.suffix_array(a) == sorted(range(len(a)), key=lambda i: a[i:])
 
 
+def test_suffix_arrays_side_by_side():
+    rng = random.Random(2)
+    texts = [[rng.randint(0, rng.choice([1, 2, 3, 26])) for _ in range(rng.randint(0, 60))] + [-1] for _ in range(800)] + [[1] * 900 + [-1], [1, 2] * 700 + [-1]]
+    for a, found in zip(texts, suffix_array.suffix_arrays([np.array(x, np.int16) for x in texts])):
+        assert found.tolist() == sorted(range(len(a)), key=lambda i: a[i:])
+
+
 def test_substrings_by_brute_force(spark, docs):
     first = {}
     for i, t in docs:
