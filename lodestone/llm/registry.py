@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts
+from . import decontamination, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, secret_scan, simhash, sql, substring_dedup, token_counts
 
 QUERIES = {
     "op1_lm_scoring": ngram_lm.op1_lm_scoring,
@@ -16,4 +16,10 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_decontamination": decontamination.op10_decontamination,
 }
-SQL = {"op7_quality_rules": quality_rules.OP7_SQL}
+SQL = {
+    "op3_substring_dedup": sql.OP3_SQL,
+    "op5_secret_scan": sql.OP5_SQL,
+    "op6_line_dedup": sql.OP6_SQL,
+    "op7_quality_rules": quality_rules.OP7_SQL,
+    "op10_decontamination": sql.OP10_SQL,
+}
