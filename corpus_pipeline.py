@@ -10,8 +10,8 @@ import uuid
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import WORD, ensure_checkpoint_dir, read_table, with_columns_of
-from lodestone.llm.decontamination import contaminated
+from lodestone.llm.common import WORD, ensure_checkpoint_dir, named, read_table, with_columns_of
+from lodestone.llm.decontamination import uncontaminated
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.packing import VOCABULARY, pack
 from lodestone.llm.quality_rules import quality_rules
@@ -32,16 +32,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-copies, once; rows without an id stay, as none can be named."""
-    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """The document with the smallest id of each group of near-copies, once: of rows that share the id the least, by text and then the
+    other columns. Rows without an id stay, as none can be named."""
+    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    smallest = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
+    rows = whole_rows(smallest).groupBy("doc_id").agg(F.min("row").alias("row"))
+    return rows.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """doc_id and the struct ``row`` of all other columns, text first."""
+    return docs.select("doc_id", F.struct("text", *[named(c) for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return uncontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

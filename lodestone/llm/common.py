@@ -17,10 +17,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of that very name, dots and blanks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def whole_texts(docs: DataFrame, carry: bool = False) -> DataFrame:
     """``doc_id`` and ``text`` alone; a null text counts as empty. Other columns are left behind, or go along in the struct ``_row``."""
-    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    row = [F.struct(*others, F.lit(None).cast("int").alias("_")).alias("_row")] if carry else []
+    others = [named(c) for c in docs.columns if c not in ("doc_id", "text")]
+    row = [F.struct(*(others or [F.lit(None).cast("int").alias("_")])).alias("_row")] if carry else []
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row)
 
 

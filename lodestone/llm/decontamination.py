@@ -185,5 +185,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they stand, of which no passage holds an item as ``contaminated`` has it.
+
+    Rows are judged by their texts alone, so ids that are null or recur don't matter. A null text stays; so does everything where
+    the benchmark is empty.
+    """
+    spark, names, text = docs.sparkSession, docs.columns, docs.columns.index("text")
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])  # mapInArrow takes no names with dots
+    for index in indexes(benchmark):
+        shipped = spark.sparkContext.broadcast(index)
+
+        def sift(batches, shipped=shipped):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    texts = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows), pa.int64()), part.column(text)], ["doc_id", "text"])
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[row[0] for row in _search(shipped.value, texts)]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(sift, docs.schema)
+    return docs.toDF(*names)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

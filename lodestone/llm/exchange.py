@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from .common import partitions, whole_texts
 
@@ -99,7 +100,7 @@ def answer(messages: DataFrame, reply) -> DataFrame:
     return messages.repartition(n, "shard").groupBy("shard").applyInArrow(give, MESSAGE)
 
 
-def hear(chunks: DataFrame, answers: DataFrame, use, schema: str) -> DataFrame:
+def hear(chunks: DataFrame, answers: DataFrame, use, schema: str | StructType) -> DataFrame:
     """use(documents, bodies by shard) gives a table; chunks without documents give nothing."""
 
     def with_answers(key, left, right):

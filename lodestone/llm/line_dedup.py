@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from .common import read_table
 from .exchange import answer, ask, ask_again, hear, in_chunks, mix, packed, shards, split_by_shard, steps, unpacked, word_hashes
@@ -247,7 +248,8 @@ def line_dedup(docs: DataFrame, carry: bool = False) -> DataFrame:
     chunks = in_chunks(docs, carry)
     met = answer(ask(chunks, lambda t: _half_questions(t, slots)), _half_answers)
     gone = answer(ask_again(chunks, met, lambda t, b: _neighbour_questions(t, b, slots)), _neighbour_answers)
-    return hear(chunks, gone, _rebuilt, OUT + (f", _row {chunks.schema['_row'].dataType.simpleString()}" if carry else ""))
+    out = StructType.fromDDL(OUT)
+    return hear(chunks, gone, _rebuilt, out.add(chunks.schema["_row"]) if carry else out)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

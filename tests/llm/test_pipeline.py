@@ -25,3 +25,28 @@ def test_edges_pass_through(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     assert [r["doc_id"] for r in docs.collect()] == [2]
+
+
+def test_clashing_names_null_ids_and_ties(spark, tmp_path):
+    """Columns named like those inside the stages, ids that are null or recur, and an item in a row without id."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    plain = "the first of some words that stand here and of which there are quite a few in this line so that it stays in the end"
+    rows = [(None, f"{plain} {item}"), (None, None), (5, plain), (5, plain), (5, plain.replace("quite", "rather").replace("line", "row")), (6, plain.upper()), (7, None), (8, "")]
+    names = ["kept_id", "_id", "_row", "_", "a.b", "x y", "row", "chunk", "component_id", "n_words", "kept", "n_chars"]
+    docs = spark.createDataFrame([(i, t, *(None if k % 2 else k for k in range(len(names) - 1)), 1) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert docs.columns == columns
+        got = sorted((r["doc_id"] or 0) for r in docs.collect())
+        assert got == {"quality rules": [0, 5, 5, 5, 6], "line dedup": [0, 5, 5, 5, 6], "near copies": [0, 5], "decontamination": [5], "packing": [5]}[name], name
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.count() == 0
