@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 
 REBUILDS = ("no_rebuild", "basic_rebuild", "greedy_rebuild")
@@ -117,3 +117,16 @@ def from_yaml(path: str) -> IndexConfig:
 
     with open(path) as f:
         return from_dict(yaml.safe_load(f) or {})
+
+
+def to_dict(config: IndexConfig) -> dict[str, Any]:
+    """The nested form, as from_dict reads it."""
+    model = {"layers": [{"type": k, "value": n} for k, n in config.layers], "train_params": asdict(config.train), "quantize": config.quantize, "seed": config.seed}
+    out = {f.name: getattr(config, f.name) for f in fields(config) if f.name not in ("layers", "train", "rebuild_strategy", "bucket_size", "quantize", "seed")}
+    return {**out, "compaction_strategy": {"type": "bentley_saxe", "rebuild_strategy": config.rebuild_strategy}, "levels": {"bucket_size": config.bucket_size, "model": model}}
+
+
+def to_yaml(config: IndexConfig) -> str:
+    import yaml
+
+    return yaml.safe_dump(to_dict(config), sort_keys=False)

@@ -24,6 +24,8 @@ from .sources.storage import numbered, read_text, settled, shared_folder, write_
 BUFFER = -1
 RECORDS = "level int, bucket int, vec_id long, embedding array<float>"
 DEFAULT_K, DEFAULT_CANDIDATES = 10, 30_000
+#: Ways to choose the buckets of a search: by the routers' predictions.
+STRATEGIES = ("model",)
 #: Bucket pairs listed as a partition filter of a cold scan; beyond that the join alone selects.
 MOST_LISTED = 200
 
@@ -194,8 +196,10 @@ class VectorIndex:
     def selected(self, queries: DataFrame, n_candidates: int) -> DataFrame:
         return self.candidates(queries).where(F.col("before") < n_candidates)
 
-    def search(self, queries: DataFrame, k: int = DEFAULT_K, n_candidates: int = DEFAULT_CANDIDATES) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = DEFAULT_K, n_candidates: int = DEFAULT_CANDIDATES, search_strategy: str = "model") -> DataFrame:
         """(qid, rank, vec_id, score) for each of queries (qid, qv): the k nearest among the buckets that the budget reaches, ties by vec_id."""
+        if search_strategy not in STRATEGIES:
+            raise ValueError(f"unknown search strategy {search_strategy!r}")
         last, n = len(self.levels), sum(self.config.n_buckets(i) for i in range(len(self.levels)))
         stored = F.when(F.col("level") == last, F.lit(BUFFER)).otherwise(F.col("level")).alias("level"), F.when(F.col("level") == last, F.lit(0)).otherwise(F.col("bucket")).alias("bucket")
         chosen = self.selected(queries, n_candidates).select("qid", *stored)
@@ -250,7 +254,8 @@ class VectorIndex:
 
         path = f"{c.cold_storage_dir.rstrip('/')}/{uuid.uuid4().hex}"
         cold = F.col("level") >= c.cold_threshold_level
-        self.records.where(cold).repartition("level", "bucket").write.partitionBy("level", "bucket").parquet(path)
+        # a rebalance, not a repartition: a bucket of many rows is split over several tasks and files
+        self.records.where(cold).hint("rebalance", "level", "bucket").write.partitionBy("level", "bucket").parquet(path)
         read = self.spark.read.schema("vec_id long, embedding array<float>, level int, bucket int").parquet(path).select("level", "bucket", "vec_id", "embedding")
         self.records = settled(self.records.where(~cold)).unionByName(read)
         return self

@@ -20,6 +20,13 @@ def read_hdf5(spark: SparkSession, path: str, name: str) -> DataFrame:
         return spark.createDataFrame(((i, [float(x) for x in row]) for i, row in enumerate(f[name])), "vec_id long, embedding array<float>")
 
 
+def default_catalogue() -> str:
+    """The usual names, as a catalogue in YAML."""
+    import yaml
+
+    return yaml.safe_dump({k: {"type": "parquet", "value": {"path": v}} for k, v in DEFAULTS.items()}, sort_keys=False)
+
+
 def catalogue(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """config.yaml names each part's type, path and name; without it the parts have their usual names."""
     parts = {k: {"type": "parquet", "value": {"path": v}} for k, v in DEFAULTS.items()}

@@ -92,3 +92,46 @@ def test_configuration_is_checked():
         with pytest.raises(ConfigError):
             from_dict(bad)
     assert records_per_block(768) == 42
+
+
+def test_configurations_survive_yaml(tmp_path):
+    from lodestone import config as c
+
+    for one in (c.IndexConfig(), c.IndexConfig(input_shape=3, bucket_size=7, buffer_size=9, rebuild_strategy="greedy_rebuild", layers=(("linear", 5),), seed=4, train=c.TrainParams(epochs=9))):
+        (tmp_path / "one.yaml").write_text(c.to_yaml(one))
+        assert c.from_yaml(str(tmp_path / "one.yaml")) == one
+
+
+def test_unknown_search_strategy(spark):
+    with pytest.raises(ValueError):
+        VectorIndex(spark, IndexConfig(input_shape=2)).search(spark.createDataFrame([(0, [1.0, 2.0])], "qid long, qv array<float>"), search_strategy="knn")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestone import cli
+    from lodestone.operators.exact import knn
+    from lodestone.sources.datasets import read_logs
+
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(240)], "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id % 12 = 0").selectExpr("vec_id AS qid", "embedding AS qv")
+    vectors.write.parquet(f"{tmp_path}/data.parquet")
+    queries.write.parquet(f"{tmp_path}/queries.parquet")
+    knn(vectors, queries, 10, "dot").write.parquet(f"{tmp_path}/gt.parquet")
+    cli.main(["defaults", "index"])
+    config = tmp_path / "index.yaml"
+    config.write_text(capsys.readouterr().out.replace("input_shape: 768", "input_shape: 4").replace("buffer_size: 5000", "buffer_size: 20").replace("bucket_size: 5000", "bucket_size: 20"))
+    command = ["experiment", "one", str(tmp_path), "-i", str(config), "-e", f"{tmp_path}/runs", "--validate-after-n", "150", "--include-each-n-val", "50", "-n", "40", "100000", "-o", f"{tmp_path}/saved"]
+    cli.main(command)
+    metrics = {r["ncandidates"]: r for r in read_logs(spark, f"{tmp_path}/runs/one/logs.jsonl").collect() if r["message"] == "metrics"}
+    assert metrics[100000]["recall10"] == 1.0 and metrics[40]["recall10"] <= 1.0
+    checks = spark.read.json(f"{tmp_path}/runs/one/logs.jsonl").where("message = 'validation' and ncandidates = 100000").collect()
+    assert [(r["inserted"], r["total"], r["recall1"]) for r in checks] == [(150, 3, 1.0), (240, 5, 1.0)]
+    assert VectorIndex.load(spark, f"{tmp_path}/saved").stats().first()["occupied"] == 240
+    with pytest.raises(FileExistsError):
+        cli.main(command)
+    cli.main([*command[:-2], "--force", "--skip-validation", "--limit", "50", "--skip-search"])
+    assert not {"validation", "metrics"} & {r["message"] for r in spark.read.json(f"{tmp_path}/runs/one/logs.jsonl").collect()}
+    cli.main(["test", str(tmp_path)])
+    cli.main(["defaults", "dataset"])
+    assert "ground_truth" in capsys.readouterr().out
