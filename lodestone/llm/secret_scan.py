@@ -21,6 +21,8 @@ BASE = [
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 ]
 WINDOW = 20
+#: Matches laid out at a time: what has been laid is copied for each match, so a text's many matches go in blocks.
+BLOCK = 256
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Character class (kind, what a candidate must match): bits of entropy that some window must reach.
 CLASSES = [("entropy_hex", r"^[0-9A-Fa-f]+$", 3.0), ("entropy_base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", 3.9)]
@@ -37,7 +39,13 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
             acc["at"] + F.length(F.get(gaps, i)),
             lambda a: F.struct((a + F.length(F.get(whole, i))).alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), (a + F.length(F.get(whole, i))).alias("end"), F.get(found, i).alias("found")))).alias("out")),
         )
-        return F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        block = lambda k: F.sequence(k * BLOCK, F.least((k + 1) * BLOCK, F.size(whole)) - 1)
+        blocks = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / BLOCK).cast("int"))
+        width = lambda i: F.length(F.get(gaps, i)) + F.length(F.get(whole, i))
+        sums = F.transform(blocks, lambda k: F.aggregate(block(k), F.lit(0), lambda s, i: s + width(i)))
+        begins = F.aggregate(sums, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)))
+        spans = lambda at, k: F.aggregate(block(k), F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        return bind(begins, lambda known: F.flatten(F.transform(blocks, lambda k: spans(F.get(known, k), k))))
 
     find = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     full = bind(F.split(text, pattern, -1), lambda gaps: bind(find(0), lambda whole: bind(find(group), lambda found: laid(gaps, whole, found))))
