@@ -313,6 +313,9 @@ def test_leaks_by_brute_force(spark, docs):
                 expected.add((d, i))
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(read(spark), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert found == expected and expected
+    left = decontamination.uncontaminated(read(spark), spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert left.columns == read(spark).columns
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted({i for i, _ in docs} - {d for d, _ in expected})
 
 
 def test_leaks_with_edges(spark, edges):
