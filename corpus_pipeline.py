@@ -1,4 +1,4 @@
-"""A pipeline of five stages over the documents: quality rules, line dedup, SimHash near-dedup, benchmark decontamination, packing.
+"""A pipeline of five stages over the documents: quality rules, line dedup, near-copy dedup, benchmark decontamination, packing.
 
 Each stage works on what its predecessor kept, written as Parquet and read again. All but the last return the columns of documents.
 """
@@ -8,14 +8,14 @@ from __future__ import annotations
 import uuid
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from lodestone.llm.common import WORD, ensure_checkpoint_dir, named, read_table, with_columns_of
 from lodestone.llm.decontamination import uncontaminated
 from lodestone.llm.line_dedup import line_dedup
+from lodestone.llm.near_copies import near_copy_components
 from lodestone.llm.packing import VOCABULARY, pack
 from lodestone.llm.quality_rules import quality_rules
-from lodestone.llm.simhash import simhash_components
 from lodestone.llm.tokens import vocabulary
 
 
@@ -32,17 +32,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-copies, once: of rows that share the id the least, by text and then the
-    other columns. Rows without an id stay, as none can be named."""
-    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    smallest = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
-    rows = whole_rows(smallest).groupBy("doc_id").agg(F.min("row").alias("row"))
-    return rows.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
-
-
-def whole_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and the struct ``row`` of all other columns, text first."""
-    return docs.select("doc_id", F.struct("text", *[named(c) for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
+    """One row of each group of near copies: that with the smallest id, ids before none. Of rows that share an id the least stays, by
+    text and then the other columns. Texts link at 0.8 of their 5-word shingles or by SimHash, whatever the ids of their rows."""
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    texts = docs.select(key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = near_copy_components(texts)
+    least = docs.select(key.alias("node"), F.col("doc_id").cast("long").alias("id")).groupBy("node").agg(F.min("id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    kept = least.join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min(order).alias("least")).select(F.col("least.node").alias("key"), F.col("least.id").alias("id"))
+    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id"), "doc_id", whole_row(docs).alias("row"))
+    same = (rows["key"] == kept["key"]) & rows["id"].eqNullSafe(kept["id"])
+    chosen = rows.join(kept, same, "left_semi").groupBy("id", F.when(F.col("id").isNull(), F.col("key"))).agg(F.min(F.struct("row", "doc_id")).alias("least"))
+    return chosen.select(*[F.col("least.doc_id").alias(c) if c == "doc_id" else F.col("least.row")[c].alias(c) for c in docs.columns])
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """The struct of all columns but doc_id, text first."""
+    return F.struct("text", *[named(c) for c in docs.columns if c not in ("doc_id", "text")])
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
