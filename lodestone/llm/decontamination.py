@@ -26,6 +26,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Items of one index, and items of one of its blocks. A larger benchmark is queried index by index.
 INDEX_ITEMS, BLOCK_ITEMS = 20_000, 8
 PUNCTUATION = ".,;:!?\"'()[]{}*#"
+#: What else words lose at their ends: all but letters, their marks and digits of any script. Words of nothing else stay as they are.
+EDGES = r"^[^\pL\pM\pN]+|[^\pL\pM\pN]+$"
 OUT = "doc_id long, item_id long, n_passages long, question_overlap double, answer_overlap double"
 
 
@@ -34,7 +36,9 @@ def words_flat(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     runs = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
     offsets = runs.offsets.to_numpy()
     coded = runs.flatten().dictionary_encode()
-    trimmed = pc.utf8_trim(coded.dictionary, PUNCTUATION)
+    plain = pc.utf8_trim(coded.dictionary, PUNCTUATION)
+    bare = pc.replace_substring_regex(plain, EDGES, "")
+    trimmed = pc.if_else(pc.equal(bare, ""), plain, bare)
     words = pa.DictionaryArray.from_arrays(coded.indices, trimmed)
     return words, offsets - offsets[0]
 
@@ -55,12 +59,16 @@ def parts(words: list[str]) -> tuple[list[str], list[str]]:
 
 
 class Index:
-    """Postings, list maxima and block maxima of one block of test items: (item_id, question words, answer words)."""
+    """Postings, list maxima and block maxima of one block of test items: (item_id, question words, answer words).
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]]):
+    Where the parts aren't the items' own (``own``), an item is also found by its shingles as a whole.
+    """
+
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], own: bool = True):
         self.ids = [i for i, _, _ in items]
         self.parts = [(shingles(q), shingles(a)) for _, q, a in items]
         words = [q + a for _, q, a in items]
+        self.whole = [None if own else shingles(x) for x in words]
         self.longest = max(map(len, words), default=0)
         df = Counter(w for x in words for w in set(x))
         mean = sum(map(len, words)) / max(1, len(words))
@@ -69,6 +77,7 @@ class Index:
         for n, x in enumerate(words):
             weight = {w: math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(x) / mean)) for w, c in Counter(x).items()}
             missed = sum(int((1 - SIMILARITY) * len(p) + 1e-9) for p in self.parts[n])
+            missed = max(missed, int((1 - SIMILARITY) * len(self.whole[n] or ()) + 1e-9))
             least = sum(sorted(weight.values())[: max(1, len(weight) - missed)])
             rows += [(self.terms[w], n, v / least) for w, v in weight.items()]
         rows.sort()
@@ -131,6 +140,7 @@ def _search(index: Index, batch: pa.RecordBatch) -> list[tuple]:
     known = term >= 0
     distinct = np.unique(owner[known] * len(index.terms) + term[known])
     found: dict[tuple[int, int], list] = {}
+    as_whole: dict[tuple[int, int], list] = {}
     strings = None
     for p, item in zip(*(x.tolist() for x in index.retrieve(distinct // max(1, len(index.terms)), distinct % max(1, len(index.terms))))):
         strings = words.dictionary if strings is None else strings
@@ -138,10 +148,13 @@ def _search(index: Index, batch: pa.RecordBatch) -> list[tuple]:
         question, answer = index.parts[item]
         # A part of fewer words than a shingle is looked for as it stands.
         whole = lambda part: {s for s in part if len(s) < SHINGLE and any(s == x[k : k + len(s)] for x in have for k in range(len(x)))}
-        overlap = [len(part & have | whole(part)) / len(part) if part else 1.0 for part in (question, answer)]
-        if min(overlap) >= SIMILARITY:
-            row = found.setdefault((int(doc[p]), item), [0, 0.0, 0.0])
+        share = lambda part: len(part & have | whole(part)) / len(part) if part else 1.0
+        overlap = [share(question), share(answer)]
+        if min(overlap) >= SIMILARITY or (index.whole[item] and share(index.whole[item]) >= SIMILARITY):
+            into = found if min(overlap) >= SIMILARITY else as_whole
+            row = into.setdefault((int(doc[p]), item), [0, 0.0, 0.0])
             row[:] = [row[0] + 1, max(row[1], overlap[0]), max(row[2], overlap[1])]
+    found = as_whole | found  # passages count by the parts where these are found, else by the whole
     ids = batch.column("doc_id").to_pylist()
     return [(ids[d], index.ids[i], *v) for (d, i), v in sorted(found.items())]
 
@@ -156,14 +169,15 @@ def indexes(benchmark: DataFrame):
         if question or answer:
             block.append((row["item_id"], question, answer))
         if len(block) == INDEX_ITEMS:
-            yield Index(block)
+            yield Index(block, own)
             block = []
-    yield Index(block)
+    yield Index(block, own)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each row of docs and item of which some passage holds at least SIMILARITY of the question's and of the answer's 5-word shingles.
 
+    An item without these fields is also found by SIMILARITY of its shingles as a whole, as its parts are invented.
     ``item_id`` is the item's, ``n_passages`` counts such passages (they overlap), the overlaps are the greatest. Nulls: a null text
     is empty and matches nothing, null or empty items match nothing, a null doc_id or item_id stays null. Repeated rows match each,
     ties all count, empty tables on either side give an empty table, other columns are left behind. An index is shipped to the

@@ -322,3 +322,13 @@ def test_leaks_with_edges(spark, edges):
     items = spark.createDataFrame([(1, LINE, "x"), (2, None, "y"), (3, "", "z"), (4, "never seen words stand here for the test", "w")], "item_id long, text string, doc_id string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(edges, items).collect()} == {(3, 1), (5, 1)}
     assert decontamination.contaminated(edges, items.limit(0)).count() == 0
+
+
+def test_leaks_with_marks_of_any_script_and_short_answers(spark):
+    """Items verbatim but for what is glued to their last word, and one of whose last third one word differs."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    ends = ["%%%", "&&&", "\u201d", "\u00bb", "|~<>$", "\u3002"]
+    rows = [(k, f"before {item}{x} after") for k, x in enumerate(ends)] + [(10, item.replace(" mu", " nu")), (11, item.replace("eta theta", "x y")), (12, item.replace("zeta", "\u00abzeta\u2026"))]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontamination.contaminated(docs, items).collect()) == [0, 1, 2, 3, 4, 5, 10, 12]
+    assert [r["doc_id"] for r in decontamination.uncontaminated(docs, items).collect()] == [11]
