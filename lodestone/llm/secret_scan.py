@@ -24,10 +24,15 @@ WINDOW = 20
 #: Matches laid out at a time: what has been laid is copied for each match, so a text's many matches go in blocks.
 BLOCK = 256
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Character class (kind, what a candidate must match): bits of entropy that some window must reach.
-CLASSES = [("entropy_hex", r"^[0-9A-Fa-f]+$", 3.0), ("entropy_base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", 3.9)]
-#: Candidates that are never added: documented examples, UUIDs, dated paths, rulers, words joined by hyphens or underscores.
-ALLOW = [r"(?i)example", r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"^[A-Za-z/_-]+[0-9]{0,4}$", r"^[0-9/_=+-]+$", r"(.)\1{7}"]
+#: Character class (kind, what a candidate must match): bits of entropy that some window must reach. The first that matches counts.
+CLASSES = [
+    ("entropy_hex", r"^[0-9A-Fa-f]+$", 3.0), ("entropy_base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", 3.9), ("entropy_lower", r"^(?=.*[0-9])(?=.*[a-z])", 3.7),
+    ("entropy_upper", r"^(?=.*[0-9])(?=.*[A-Z])", 3.6), ("entropy_letters", r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+$", 4.0),
+]
+#: Candidates that are never added: UUIDs, dated paths and words joined by hyphens or underscores (letters alone have a class), rulers.
+ALLOW = [r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"^(?=.*[0-9/_-])[A-Za-z/_-]+[0-9]{0,4}$", r"^[0-9/_=+-]+$"]
+#: What is cut out of a candidate, as base spans are, with its length: documented examples and runs of a character.
+COVERED = [(r"(?i)example", 7), (r"(.)\1{7}", 8)]
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -79,20 +84,29 @@ def peak_entropy(candidate: Column) -> Column:
 
 
 def _added(text: Column, base: Column) -> Column:
-    """Candidates of a class with a window of that much entropy, which neither the allow-list names nor a base span overlaps."""
+    """Candidates, less what base spans and COVERED take of them, of a class with a window of that much entropy and not of ALLOW."""
 
-    def kind(x: Column) -> Column:
-        allowed = F.lit(False)
+    def kind(found: Column) -> Column:
+        allowed, name, bits = F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("double")
         for p in ALLOW:
-            allowed = allowed | x["found"].rlike(p)
-        overlaps = F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        choice = F.lit(None).cast("string")
-        for name, pattern, bits in reversed(CLASSES):
-            choice = F.when(x["found"].rlike(pattern) & (peak_entropy(x["found"]) >= bits), F.lit(name)).otherwise(choice)
-        return F.when(~allowed & ~overlaps, choice)
-
-    looked = F.transform(_matches(text, CANDIDATE, 0), lambda x: F.struct(x["start"], F.lit(len(BASE)).alias("k"), x["end"], kind(x).alias("kind")))
-    return F.filter(looked, lambda x: x["kind"].isNotNull())
+            allowed = allowed | found.rlike(p)
+        for k, pattern, least in reversed(CLASSES):
+            name, bits = F.when(found.rlike(pattern), F.lit(k)).otherwise(name), F.when(found.rlike(pattern), F.lit(least)).otherwise(bits)
+        return F.when(~allowed & bits.isNotNull(), F.when(peak_entropy(found) >= bits, name))
+
+    def uncovered(x: Column) -> Column:
+        """The candidate with blanks for what is taken."""
+        over = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        blank = lambda acc, b: F.overlay(acc, F.repeat(F.lit(" "), F.least(b["end"], x["end"]) - F.greatest(b["start"], x["start"])), F.greatest(b["start"] - x["start"], F.lit(0)) + 1)
+        out = F.when(F.size(over) > 0, F.aggregate(over, x["found"], blank)).otherwise(x["found"])
+        for pattern, n in COVERED:
+            out = F.regexp_replace(out, pattern, " " * n)
+        return out
+
+    def pieces(x: Column) -> Column:
+        return bind(uncovered(x), lambda left: F.transform(_matches(left, CANDIDATE, 0), lambda y: F.struct((x["start"] + y["start"]).alias("start"), F.lit(len(BASE)).alias("k"), (x["start"] + y["end"]).alias("end"), kind(y["found"]).alias("kind"))))
+
+    return F.filter(F.flatten(F.transform(_matches(text, CANDIDATE, 0), pieces)), lambda x: x["kind"].isNotNull())
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:

@@ -332,3 +332,15 @@ def test_leaks_with_marks_of_any_script_and_short_answers(spark):
     docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
     assert sorted(r["doc_id"] for r in decontamination.contaminated(docs, items).collect()) == [0, 1, 2, 3, 4, 5, 10, 12]
     assert [r["doc_id"] for r in decontamination.uncontaminated(docs, items).collect()] == [11]
+
+
+def test_secrets_of_other_classes_and_what_is_left_beside_allowed_parts(spark):
+    lower, upper, letters, mixed = "x7k2m9q4w1z8r5t3v6b0n2c4y7h9", "MZXW6YTBOI7QK3N5PJ2HDGL4VSRCAE", "qWeRtYuIoPaSdFgHjKlZxCvBnM", "Zx9Qm2Lr7Tb4Wn8Kc3Vh6Yp1"
+    rows = [
+        (lower, [("entropy_lower", 0, 28)]), (upper, [("entropy_upper", 0, 30)]), (letters, [("entropy_letters", 0, 26)]),
+        (f"{mixed}AAAAAAAA{mixed}", [("entropy_base64", 0, 24), ("entropy_base64", 32, 56)]), (f"{mixed}/example", [("entropy_base64", 0, 25)]),
+        (f"{mixed}Zdeadbeefdeadbeef{mixed[:15]}+{mixed}", [("entropy_base64", 0, 25), ("entropy_base64", 41, 81)]),
+        ("Donaudampfschifffahrtsgesellschaft", []), ("some-long-slug-of-words-2024", []), ("0f8fad5b-d9cb-469f-a165-70867728950e", []), ("EXAMPLEEXAMPLEEXAMPLE12345", []),
+    ]
+    found = secret_scan.secret_scan(spark.createDataFrame([(k, f"\u00e9 {t} x") for k, (t, _) in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[(x["kind"], x["start"] - 2, x["end"] - 2) for x in r["added"]] for r in found] == [spans for _, spans in rows]
