@@ -1,7 +1,7 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, found without a miss, and SimHash links.
 
-Candidates by prefix filter: two sets that similar share a shingle among the first fifth (and one) of each, in any order that is the same
-for all. The order has shingles that a sample of the texts finds common last, so those rarely bring texts together; what they are
+Candidates by prefix filter: two sets that similar share shingles among the first fifth (and one) of each, in any order that is the same
+for all, and how many at least follows from their sizes. The order has shingles that a sample of the texts finds common last, so those rarely bring texts together; what they are
 changes the work and not the links. Of texts that share a shingle neighbours are compared first, and then only what isn't connected yet.
 """
 
@@ -128,26 +128,45 @@ def _shared(batches):
 
 
 def _pairs(batches, neighbours: bool):
-    """Pairs of keys of a shingle whose sizes and labels allow a link: each and the next greater one, or all."""
+    """Rows of PAIR for each shingle that two keys share and whose sizes and labels allow a link: each and the next greater one, or all."""
     for _, n, key, label in _groups(batches, 2):
         if neighbours:
             near = (5 * n[:-1] >= 4 * n[1:]) & (label[:-1] != label[1:])
             if near.any():
-                yield _longs("a b", np.minimum(key[:-1], key[1:])[near], np.maximum(key[:-1], key[1:])[near])
+                yield _longs("a b m n", key[:-1][near], key[1:][near], n[:-1][near], n[1:][near])
             continue
         if (label == label[0]).all():
             continue
         for k in range(len(n) - 1):
             end = int(np.searchsorted(n, 5 * n[k] // 4, "right"))  # n is sorted
-            other = key[k + 1 : end][label[k + 1 : end] != label[k]]
-            if len(other):
-                yield _longs("a b", np.minimum(key[k], other), np.maximum(key[k], other))
+            other = label[k + 1 : end] != label[k]
+            if other.any():
+                many = np.ones(np.count_nonzero(other), np.int64)
+                yield _longs("a b m n", key[k] * many, key[k + 1 : end][other], n[k] * many, n[k + 1 : end][other])
+
+
+PAIR = "a long, b long, m long, n long"
+
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share as many shingles of their prefixes as similar sets must.
+
+    Sets of m and n need m + n - (m + n) * 5 // 9 shingles in common, so at most (m + n) * 5 // 9 - n of the m are missed; the prefix that
+    ends first holds the rest of itself within the other prefix.
+    """
+    need = lambda x, other: F.expr(f"{x} - cast(ceil(4 * {x} / 5) as long) + 1 - ((m + n) * 5 div 9 - {other})")
+    return pairs.groupBy("a", "b", "m", "n").count().where(F.col("count") >= F.least(need("m", "n"), need("n", "m"))).select("a", "b")
+
+
+#: Keys of candidates that are sent to every task; more are joined.
+SENT = 1_000_000
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose texts (key, text) are similar, as edges (u, v)."""
-    asked = cut(pairs.distinct())
-    ends = asked.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    asked = cut(_enough(pairs))
+    ends = cut(asked.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    ends = F.broadcast(ends) if ends.count() <= SENT else ends
 
     def sets(batches):
         for batch in _sliced(batches):
@@ -189,10 +208,10 @@ def jaccard_edges(texts: DataFrame) -> DataFrame:
         return rows.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "n", "key")
 
     shared = cut(sorted_by_shingle(texts.mapInArrow(prefixes, ROW)).mapInArrow(_shared, ROW))
-    edges = _verified(sorted_by_shingle(shared).mapInArrow(lambda b: _pairs(b, True), "a long, b long"), texts)
+    edges = _verified(sorted_by_shingle(shared).mapInArrow(lambda b: _pairs(b, True), PAIR), texts)
     reached = components(edges).select(F.col("node").alias("key"), "component")
     labelled = shared.join(reached, "key", "left").select("shingle", "n", "key", F.coalesce("component", "label").alias("label"))
-    return edges.union(_verified(sorted_by_shingle(labelled).mapInArrow(lambda b: _pairs(b, False), "a long, b long"), texts))
+    return edges.union(_verified(sorted_by_shingle(labelled).mapInArrow(lambda b: _pairs(b, False), PAIR), texts))
 
 
 def simhash_edges(texts: DataFrame) -> DataFrame:
