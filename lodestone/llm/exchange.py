@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from .common import partitions, whole_texts
+from .common import give_back, partitions, whole_texts
 
 MESSAGE = "shard int, chunk int, body binary"
 
@@ -84,7 +84,11 @@ def _messages(rows: list[tuple], chunk: int) -> pa.Table:
 
 def ask(chunks: DataFrame, question) -> DataFrame:
     """question(documents) gives (shard, bytes) pairs."""
-    to = lambda key, table: _messages(list(question(ordered(table))), key[0].as_py())
+
+    def to(key, table):
+        give_back()
+        return _messages(list(question(ordered(table))), key[0].as_py())
+
     return chunks.groupBy("chunk").applyInArrow(to, MESSAGE)
 
 
@@ -92,6 +96,7 @@ def answer(messages: DataFrame, reply) -> DataFrame:
     """reply(bodies) gives a body for each body, in order. A shard's bodies come ordered by chunk."""
 
     def give(key, table):
+        give_back()
         table = table.sort_by("chunk")
         out = reply([x.as_py() for x in table.column("body")])
         return pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "body": pa.array(out, pa.binary())})
@@ -104,7 +109,7 @@ def hear(chunks: DataFrame, answers: DataFrame, use, schema: str | StructType) -
     """use(documents, bodies by shard) gives a table; chunks without documents give nothing."""
 
     def with_answers(key, left, right):
-        pa.default_memory_pool().release_unused()
+        give_back()
         return use(ordered(left), dict(zip(right.column("shard").to_pylist(), right.column("body").to_pylist())))
 
     n = partitions(chunks.sparkSession)
@@ -115,7 +120,7 @@ def ask_again(chunks: DataFrame, answers: DataFrame, question) -> DataFrame:
     """question(documents, bodies by shard) gives (shard, bytes) pairs."""
 
     def to(key, left, right):
-        pa.default_memory_pool().release_unused()
+        give_back()
         bodies = dict(zip(right.column("shard").to_pylist(), right.column("body").to_pylist()))
         return _messages(list(question(ordered(left), bodies)), key[0].as_py())
 

@@ -18,8 +18,8 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 
-from .common import cut, read_table, whole_texts
-from .tokens import vocabulary, word_encoder
+from .common import cut, give_back, read_table, whole_texts
+from .tokens import slices, vocabulary, word_encoder
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -78,8 +78,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
     def encode(batches):
         encoder, task, seen = word_encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for part in slices(batch):
                 ids, begins = encoder.encode(part.column("text"))
                 sizes = np.diff(begins) + 1
                 pieces = -(-sizes // capacity)
@@ -101,7 +100,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_
                 if with_ids:
                     cols["ids"] = pa.array([x.astype(np.int32) for x in cuts], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(cols)
-                pa.default_memory_pool().release_unused()
+            give_back()
 
     return whole_texts(docs).mapInArrow(encode, PIECES + (", ids array<int>" if with_ids else ""))
 

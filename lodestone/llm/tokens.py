@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,33 +26,57 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
+#: Texts encoded at a time hold about so many bytes (a longer one goes alone), and new words are encoded so many at a time.
+SLICE_BYTES, NEW_WORDS = 1 << 22, 4096
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
+    """batch in runs of rows whose texts hold at most so many bytes, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")) - at)
+        yield batch.slice(at, n)
+        at += n
+
+
 class WordEncoder:
     """Ids of whole texts under a word-level BPE, each distinct run of non-white-space encoded once.
 
-    Sound where the tokenizer normalises, splits and merges within such runs, as ``word_bpe_49k.json`` does. At most ``most`` runs
-    are remembered; beyond that the memory starts anew.
+    Sound where the tokenizer normalises, splits and merges within such runs, as ``word_bpe_49k.json`` does. Between ``most`` and twice
+    as many runs are remembered, those that were met last, if they are no longer than LONGEST: what is remembered is bounded.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    LONGEST = 64
+
+    def __init__(self, path: str, most: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = pa.array([], pa.string())
-        self.ids, self.starts, self.lengths, self.n_ids = [], np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-    def _learn(self, new: pa.Array) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(lengths.sum()))
-        self.known = pa.concat_arrays([self.known, new])
-        self.starts = np.concatenate([self.starts, self.n_ids + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids.append(flat)
-        self.n_ids += len(flat)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as 32-bit numbers."""
+        out = list(map(self.known.get, words))
+        for k in [k for k, x in enumerate(out) if x is None]:
+            out[k] = self.older.get(words[k])
+            if out[k] is not None:
+                self._remember(words[k], out[k])
+        new = [k for k, x in enumerate(out) if x is None]
+        for at in range(0, len(new), NEW_WORDS):
+            part = new[at : at + NEW_WORDS]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False)):
+                out[k] = array("I", e.ids).tobytes()
+                self._remember(words[k], out[k])
+        return out
+
+    def _remember(self, word: str, ids: bytes) -> None:
+        if len(word) <= self.LONGEST:
+            if len(self.known) >= self.most:
+                self.known, self.older = {}, self.known
+            self.known[word] = ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin (one more entry than texts)."""
@@ -60,23 +85,12 @@ class WordEncoder:
             texts = pc.ascii_lower(texts)
         runs = pc.ascii_split_whitespace(texts)
         coded = runs.flatten().dictionary_encode()
-        distinct = coded.dictionary
-        if len(self.known) + len(distinct) > self.most:
-            self.forget()
-        at = pc.index_in(distinct, value_set=self.known)
-        if at.null_count:
-            before = len(self.known)
-            self._learn(distinct.filter(at.is_null()))
-            at = at.to_numpy(zero_copy_only=False).astype(float)
-            at[np.isnan(at)] = np.arange(before, len(self.known))
-            at = at.astype(np.int64)
-        else:
-            at = at.to_numpy().astype(np.int64)
-        if len(self.ids) > 1:
-            self.ids = [np.concatenate(self.ids)]
-        place = at[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
-        lengths = self.lengths[place]
-        ids = (self.ids[0] if self.ids else np.zeros(0, np.uint32))[ragged(self.starts[place], lengths)]
+        found = self._encoded(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[place] if len(found) else np.zeros(0, np.int64)
+        starts = np.cumsum(sizes) - sizes
+        ids = np.frombuffer(b"".join(found), np.uint32)[ragged(starts[place], lengths)] if len(found) else np.zeros(0, np.uint32)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         offsets = runs.offsets.to_numpy()
         return ids, ends[offsets - offsets[0]]
