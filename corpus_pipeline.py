@@ -8,9 +8,9 @@ from __future__ import annotations
 import uuid
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import WORD, ensure_checkpoint_dir, named, read_table, with_columns_of
+from lodestone.llm.common import WORD, cut, ensure_checkpoint_dir, named, read_table, with_columns_of
 from lodestone.llm.decontamination import uncontaminated
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.near_copies import near_copy_components
@@ -32,23 +32,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: that with the smallest id, ids before none. Of rows that share an id the least stays, by
-    text and then the other columns. Texts link at 0.8 of their 5-word shingles or by SimHash, whatever the ids of their rows."""
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    texts = docs.select(key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = near_copy_components(texts)
-    least = docs.select(key.alias("node"), F.col("doc_id").cast("long").alias("id")).groupBy("node").agg(F.min("id").alias("id"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "node")
-    kept = least.join(found, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min(order).alias("least")).select(F.col("least.node").alias("key"), F.col("least.id").alias("id"))
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id"), "doc_id", whole_row(docs).alias("row"))
-    same = (rows["key"] == kept["key"]) & rows["id"].eqNullSafe(kept["id"])
-    chosen = rows.join(kept, same, "left_semi").groupBy("id", F.when(F.col("id").isNull(), F.col("key"))).agg(F.min(F.struct("row", "doc_id")).alias("least"))
-    return chosen.select(*[F.col("least.doc_id").alias(c) if c == "doc_id" else F.col("least.row")[c].alias(c) for c in docs.columns])
-
-
-def whole_row(docs: DataFrame) -> Column:
-    """The struct of all columns but doc_id, text first."""
-    return F.struct("text", *[named(c) for c in docs.columns if c not in ("doc_id", "text")])
+    """One row of each group of near copies: that with the smallest id, ids before none, then by hashes of text and other columns.
+
+    Texts link at 0.8 of their 5-word shingles or by SimHash, whatever the ids of their rows; rows that share an id and aren't near
+    copies all stay. Of rows that are the same in all columns one stays. A null text is empty, and empty texts are copies of each other.
+    """
+    others = [named(c) for c in docs.columns if c not in ("doc_id", "text")]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct(F.xxhash64(text).alias("key"), F.col("doc_id").cast("long").alias("id"), (F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")).alias("rest"))
+    found = near_copy_components(docs.select(row["key"].alias("key"), text.alias("text")))
+    same = docs.select(row.alias("row")).select("row.*").groupBy("key", "id", "rest").agg(F.count(F.lit(1)).alias("n"))
+    order = lambda *more: F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "rest", "n", *more)).alias("least")
+    texts = same.groupBy("key").agg(order())
+    grouped = texts.join(found, texts["key"] == found["node"], "left").groupBy(F.coalesce("component", "key").alias("group")).agg(F.min("least").alias("least"))
+    kept = cut(grouped.select(*[F.col("least")[c].alias(f"_{c}") for c in ("key", "id", "rest", "n")]))
+    names = docs.columns
+    rows = docs.select(row.alias("row"), *[named(c).alias(f"c{k}") for k, c in enumerate(names)])
+    at = (F.col("row.key") == F.col("_key")) & F.col("row.id").eqNullSafe(F.col("_id")) & (F.col("row.rest") == F.col("_rest"))
+    chosen = rows.join(kept, at)
+    if not kept.where("_n > 1").isEmpty():  # some rows are the same in all columns
+        chosen = chosen.where("_n = 1").unionByName(chosen.where("_n > 1").dropDuplicates(["_key", "_id", "_rest"]))
+    return chosen.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
