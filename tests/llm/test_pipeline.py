@@ -41,7 +41,16 @@ def test_clashing_names_null_ids_and_ties(spark, tmp_path):
         if k < 4:
             assert docs.columns == columns
         got = sorted((r["doc_id"] or 0) for r in docs.collect())
-        assert got == {"quality rules": [0, 5, 5, 5, 6], "line dedup": [0, 5, 5, 5, 6], "near copies": [0, 5], "decontamination": [5], "packing": [5]}[name], name
+        assert got == {"quality rules": [0, 5, 5, 5, 6], "line dedup": [0, 5, 5, 5, 6], "near copies": [0, 5, 5], "decontamination": [5, 5], "packing": [5, 5]}[name], name
+
+
+def test_rows_that_share_an_id_and_columns_of_any_type(spark, tmp_path):
+    """Unrelated texts of one id all stay; of rows that are the same throughout one stays, also with columns that have no order."""
+    a, b = ("some words of a text that stands here more than once", "a wholly other text that stands here by itself and on its own")
+    rows = [(1, a, {"k": 1}, b"x"), (1, a, {"k": 1}, b"x"), (1, a, {"k": 2}, None), (1, b, None, b"y"), (2, b, {}, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>, raw binary")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()]
+    assert sorted(got) == sorted([(1, a), (1, b)])
 
 
 def test_stages_on_an_empty_table(spark, tmp_path):
