@@ -33,6 +33,11 @@ def with_columns_of(carried: DataFrame, docs: DataFrame) -> DataFrame:
     return carried.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
+def with_id(texts: DataFrame) -> DataFrame:
+    """Adds ``id``, 0 where doc_id is null, and ``none``, whether it is: keys that joins and orders can take."""
+    return texts.withColumns({"id": F.coalesce("doc_id", F.lit(0).cast("long")), "none": F.col("doc_id").isNull()})
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 

@@ -1,13 +1,14 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
-A line is its words; the edit bound is one word put in, taken out or replaced. Lines within it leave equal words after a deletion
-from either: the same place where a word was replaced, one place of the longer line where a word was put in. Each line emits hashed
-keys: itself (K), its words less each one (D), and the same with the place (S). Lines meet where K = K, S = S, or K of one = D of
-the other, and a second hash of what is left, carried along, must agree too: with the places equal, that is the edit distance.
-Of lines that meet, all but the earliest go.
-
-Most lines resemble no other. One edit leaves the first or the last half alone, so a line asks first whether its halves occur in
-another line, and only those that do emit the neighbourhood.
+A line is its words. The edit bound is one word put in, taken out or replaced for lines of EDIT_WORDS words or more, and none for shorter
+ones, of which a word is too large a part. Lines within the bound leave equal variants after a deletion from either: the same place
+where a word was replaced, one place of the longer line where a word was put in. Each line emits hashed keys: itself (K), its words less
+each one (D), and the same with the place (S). Lines meet where K = K, S = S, or K of one = D of the other; the words of lines that so
+meet are then compared. Of lines within the bound, all but the earliest go.
+
+Everything is rows that Spark shuffles: a line costs a few rows of hashes, and only distinct lines of which a half also occurs in another
+line (one edit leaves the first or the last half alone) emit the neighbourhood. Groups of equal keys are never gathered: their least line
+comes of an aggregate that combines before the shuffle, and joins bring it back to the members, one row a key on that side.
 """
 
 from __future__ import annotations
@@ -15,18 +16,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
-from .common import read_table
-from .exchange import answer, ask, ask_again, hear, in_chunks, mix, packed, shards, split_by_shard, steps, unpacked, word_hashes
-from .tokens import ragged
+from .common import cut, give_back, read_table, whole_texts, with_id
+from .exchange import mix, word_hashes
+from .tokens import ragged, slices
 
-#: Lines of fewer words are left alone: headings and list items recur without being copies.
-MIN_WORDS = 5
-OUT = "doc_id long, text string, n_lines long, n_dropped long, dropped array<int>"
+#: Fewest words of a line that an edit may join to another.
+EDIT_WORDS = 5
 ODD, ODD_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-NONE = np.iinfo(np.int64).max
+#: Kinds of keys: K the line itself, D the line less a word; S stands under keys of its own.
+K, D, S = 0, 1, 2
+LINES = "id long, none boolean, hash long, number int, k1 long, k2 long, halves array<long>"
+VARIANTS = "v1 long, v2 long, kind int, id long, none boolean, number int, k1 long, k2 long"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -36,24 +39,20 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Lines:
-    """The lines of a chunk's documents; of those with enough words (``used``) the words, and hashes of stretches of them."""
+    """The lines of some texts that hold a word: whose they are (``row``), their numbers and sizes in words, and hashes of stretches of them."""
 
-    def __init__(self, table: pa.Table, hashed: bool = True):
-        texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+    def __init__(self, texts: pa.Array):
         split = pc.split_pattern(texts, "\n")
         n = np.diff(split.offsets.to_numpy())
         self.strings = split.flatten()
-        self.row = np.repeat(np.arange(len(n)), n)
-        self.number = ragged(np.zeros(len(n), np.int64), n)
-        ids = table.column("doc_id")
-        self.id = (ids.fill_null(NONE) if ids.null_count else ids).to_numpy()
-        if hashed:
-            self.words, begins = word_hashes(self.strings, lower=False)
-            sizes = np.diff(begins)
-            self.used = np.flatnonzero(sizes >= MIN_WORDS)
-            self.size, self.begin = sizes[self.used], begins[:-1][self.used]
-            self.place = np.arange(len(self.words)) - np.repeat(begins[:-1], sizes)
-            self.kept_sums: dict = {}
+        self.words, begins = word_hashes(self.strings, lower=False)
+        sizes = np.diff(begins)
+        self.used = np.flatnonzero(sizes > 0)
+        self.row = np.repeat(np.arange(len(n)), n)[self.used]
+        self.number = ragged(np.zeros(len(n), np.int64), n)[self.used]
+        self.size, self.begin = sizes[self.used], begins[:-1][self.used]
+        self.place = np.arange(len(self.words)) - np.repeat(begins[:-1], sizes)
+        self.kept_sums: dict = {}
 
     def sums(self, h: int) -> tuple[np.ndarray, np.ndarray]:
         """Running sums of word hash times a power for each place in the line, and the inverse powers that move a stretch to place 0."""
@@ -75,11 +74,11 @@ class Lines:
         return mix(self.stretch(np.zeros(len(every), np.int64), self.size, every, h) + self.size.astype(np.uint64))
 
     def halves(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line, key) of first and last halves. Lines of n and n + 1 words both have those of n // 2 words."""
+        """(line, key) of first and last halves of lines that an edit may join. Lines of n and n + 1 words both have those of n // 2 words."""
         out_line, out_key = [], []
-        every = np.arange(len(self.used))
+        long = np.flatnonzero(self.size >= EDIT_WORDS)
         for k, half in enumerate((self.size // 2, (self.size - 1) // 2)):
-            lines = every if k == 0 else every[half != self.size // 2]
+            lines = long if k == 0 else long[half[long] != self.size[long] // 2]
             m = half[lines]
             for last, start in enumerate((np.zeros(len(lines), np.int64), self.size[lines] - m)):
                 out_line.append(lines)
@@ -97,159 +96,121 @@ class Lines:
         return line, place, mix(before + after * back[np.minimum(1, self.size[line])] + (self.size[line] - 1).astype(np.uint64))
 
 
-def _groups(sorted_keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin."""
-    return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1]) if len(sorted_keys) else np.zeros(0, np.int64)
+def _longs(a: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
-def _half_questions(table: pa.Table, slots):
-    """To each shard its keys, and which of them this chunk has more than once. A line that recurs as it stands has met another."""
-    key, n = np.unique(Lines(table).halves()[1], return_counts=True)
-    for shard, a, b in split_by_shard(key, slots):
-        yield shard, packed(steps(key[a:b]), (n[a:b] > 1).astype(np.uint8))
+def _lines(batches):
+    """LINES of rows (id, none, hash, text)."""
+    for batch in batches:
+        for part in slices(batch):
+            lines = Lines(part.column("text"))
+            of = pa.array(lines.row)
+            line, key = lines.halves()
+            order = np.lexsort((key, line))
+            ends = np.searchsorted(line[order], np.arange(len(lines.used) + 1)).astype(np.int32)
+            halves = pa.ListArray.from_arrays(pa.array(ends), _longs(key[order]))
+            columns = [*(part.column(c).take(of) for c in ("id", "none", "hash")), pa.array(lines.number, pa.int32()), _longs(lines.whole()), _longs(lines.whole(1)), halves]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "none", "hash", "number", "k1", "k2", "halves"])
+        give_back()
 
 
-def _half_answers(bodies: list[bytes]) -> list[bytes]:
-    """For each key: does another line of any chunk have it?"""
-    parts = [unpacked(b) for b in bodies]
-    keys = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-    joint = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    several = np.concatenate([p[1] for p in parts]).astype(bool) if parts else np.zeros(0, bool)
-    distinct, place, n = np.unique(joint, return_inverse=True, return_counts=True)
-    met = n > 1
-    met[place[several]] = True
-    bits, at = met[place], 0
-    out = []
-    for k in keys:
-        out.append(packed(np.packbits(bits[at : at + len(k)])))
-        at += len(k)
-    return out
+def _wanted(part: pa.RecordBatch) -> tuple[Lines, np.ndarray]:
+    """The lines of rows (id, none, hash, text, numbers) that numbers asks for, and their places among Lines."""
+    lines, numbers = Lines(part.column("text")), part.column("numbers")
+    asked = np.repeat(np.arange(part.num_rows, dtype=np.int64), np.diff(numbers.offsets.to_numpy())) << 32 | numbers.flatten().to_numpy().astype(np.int64)
+    return lines, np.flatnonzero(np.isin(lines.row << 32 | lines.number, asked))
 
 
-def _live(lines: Lines, bodies: dict[int, bytes], slots) -> np.ndarray:
-    """The lines of which a half occurs elsewhere."""
-    line, key = lines.halves()
-    distinct = np.unique(key)
-    met = np.zeros(len(distinct), bool)
-    for shard, a, b in split_by_shard(distinct, slots):
-        if b > a:
-            met[a:b] = np.unpackbits(unpacked(bodies[shard])[0], count=b - a).astype(bool)
-    return np.unique(line[met[np.searchsorted(distinct, key)]])
+def _variants(batches):
+    """VARIANTS of the lines that are asked for."""
+    for batch in batches:
+        for part in slices(batch):
+            lines, asked = _wanted(part)
+            k1, k2 = lines.whole(), lines.whole(1)
+            line, place, d1 = lines.without(asked, 0)
+            d2, at = lines.without(asked, 1)[2], place.astype(np.uint64) + np.uint64(1 << 40)
+            kinds = ((k1[asked], k2[asked], K, asked), (d1, d2, D, line), (mix(d1 + at), mix(d2 + at), S, line))
+            of = np.concatenate([x[3] for x in kinds])
+            row = pa.array(lines.row[of])
+            columns = [
+                _longs(np.concatenate([x[0] for x in kinds])), _longs(np.concatenate([x[1] for x in kinds])), pa.array(np.concatenate([np.full(len(x[3]), x[2], np.int32) for x in kinds])),
+                part.column("id").take(row), part.column("none").take(row), pa.array(lines.number[of], pa.int32()), _longs(k1[of]), _longs(k2[of]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in VARIANTS.split(", ")])
+        give_back()
 
 
-#: Kinds of entries under a key: K the line itself, D the line less a word; S stands under keys of its own.
-K, D, S = 0, 1, 2
+def _texts_of_lines(batches):
+    """(k1, k2, line) of the lines that are asked for."""
+    for batch in batches:
+        for part in slices(batch):
+            lines, asked = _wanted(part)
+            yield pa.RecordBatch.from_arrays([_longs(lines.whole()[asked]), _longs(lines.whole(1)[asked]), lines.strings.take(pa.array(lines.used[asked]))], ["k1", "k2", "line"])
+
+
+def within_one(a: list, b: list) -> bool:
+    """Whether one word put in, taken out or replaced, or none, makes a of b."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
+
+
+def _verified(batches):
+    """Of rows (k1, k2, least, a, b) those whose lines a and b are within the bound."""
+    for batch in batches:
+        words = (([w for w in x.encode().split() if w] for x in batch.column(c).to_pylist()) for c in ("a", "b"))
+        yield batch.select(["k1", "k2", "least"]).filter(pa.array([within_one(a, b) for a, b in zip(*words)], pa.bool_()))
 
 
-def _entries(lines: Lines, live: np.ndarray):
-    """key, check, kind and line of the neighbourhood of live lines that stand for themselves (the first of the chunk's equal ones), and (dropped, for which) of the others."""
-    whole = lines.whole()
-    row, number = lines.row[lines.used], lines.number[lines.used]
-    order = np.lexsort((number[live], row[live], whole[live]))
-    live = live[order]
-    begin = _groups(whole[live])
-    first = live[begin]
-    at = np.cumsum(np.isin(np.arange(len(live)), begin)) - 1
-    copies = np.flatnonzero(np.diff(at, prepend=-1) == 0)
-    line, place, key = lines.without(first, 0)
-    check_d = lines.without(first, 1)[2]
-    parts = (
-        (whole[first], lines.whole(1)[first], np.full(len(first), K), first),
-        (key, check_d, np.full(len(key), D), line),
-        (mix(key + place.astype(np.uint64) + np.uint64(1 << 40)), check_d, np.full(len(key), S), line),
-    )
-    return [np.concatenate([p[k] for p in parts]) for k in range(4)], (live[copies], first[at[copies]])
-
-
-def _neighbour_questions(table: pa.Table, bodies: dict[int, bytes], slots):
-    """To each shard its entries and their lines. The first shard also gets the chunk's equal lines, to hand back."""
-    lines = Lines(table)
-    (key, check, kind, line), (copies, first) = _entries(lines, _live(lines, bodies, slots))
-    order = np.argsort(key)
-    key, check, kind, line = key[order], (check[order] >> np.uint64(32)).astype(np.uint32), kind[order].astype(np.uint8), line[order]
-    doc, number = lines.id[lines.row[lines.used]], lines.number[lines.used]
-    for k, (shard, a, b) in enumerate(split_by_shard(key, slots)):
-        own = np.unique(line[a:b])
-        pairs = np.concatenate([lines.used[copies], lines.used[first]]) if k == 0 else np.zeros(0, np.int64)
-        yield shard, packed(steps(key[a:b]), check[a:b], kind[a:b], np.searchsorted(own, line[a:b]).astype(np.uint32), doc[own], number[own].astype(np.uint32), lines.used[own], pairs)
-
-
-def _neighbour_answers(bodies: list[bytes]) -> list[bytes]:
-    """Each body's lines that an earlier line of any chunk makes redundant, and the equal lines it came with."""
-    parts = [unpacked(b) for b in bodies]
-    if not parts:
-        return []
-    key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-    check, kind = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-    doc, number = (np.concatenate([p[k] for p in parts]) for k in (4, 5))
-    by_order = np.lexsort((number, doc))
-    doc, number = doc[by_order], number[by_order]
-    rank = np.empty(len(doc), np.int64)  # lines of one document id and number share a rank
-    rank[by_order] = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (number[1:] != number[:-1])])) if len(doc) else 0
-    base = np.cumsum([0, *(len(p[4]) for p in parts)])
-    rank = np.concatenate([rank[b + p[3]] for b, p in zip(base.tolist(), parts)])
-    order = np.argsort(key)
-    k, c = key[order], check[order]
-    if np.any((k[1:] == k[:-1]) & (c[1:] != c[:-1])):  # hashes that meet by chance
-        order = np.lexsort((check, key))
-        k, c = key[order], check[order]
-    gone = np.zeros(len(k), bool)
-    if len(k):
-        begin = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
-        sizes = np.diff(np.append(begin, len(k)))
-        met = np.repeat(sizes > 1, sizes)
-        order, sizes = order[met], sizes[sizes > 1]
-        gone = np.zeros(len(order), bool)
-        begin = np.cumsum(sizes) - sizes
-        o_kind, o_rank = kind[order], rank[order]
-        for of, told in (((o_kind == K) | (o_kind == D), o_kind == K), (o_kind == K, o_kind == D), (o_kind == S, o_kind == S)):
-            if len(begin):
-                gone |= told & (np.repeat(np.minimum.reduceat(np.where(of, o_rank, NONE), begin), sizes) < o_rank)
-    hit = np.zeros(len(key), bool)
-    hit[order[gone] if len(k) else order] = True
-    out, a = [], 0
-    for p in parts:
-        n = len(p[0])
-        out.append(packed(p[6][np.unique(p[3][hit[a : a + n]])], p[7]))
-        a += n
-    return out
-
-
-def _rebuilt(table: pa.Table, bodies: dict[int, bytes]) -> pa.Table:
-    lines = Lines(table, hashed=False)
-    told = [unpacked(b) for b in bodies.values()]
-    keep = np.ones(len(lines.row), bool)
-    for gone, _ in told:
-        keep[gone] = False
-    for _, pairs in told:  # a line equal to an earlier one of the chunk goes; where it is no later, it goes if that one does
-        copies, first = pairs[: len(pairs) // 2], pairs[len(pairs) // 2 :]
-        tied = (lines.id[lines.row[copies]] == lines.id[lines.row[first]]) & (lines.number[copies] == lines.number[first])
-        keep[copies[~tied | ~keep[first]]] = False
-    n = np.bincount(lines.row, minlength=table.num_rows)
-    kept = np.bincount(lines.row[keep], minlength=table.num_rows)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32())
-    texts = pc.binary_join(pa.ListArray.from_arrays(offsets, lines.strings.filter(pa.array(keep))), "\n")
-    gone_n = pa.array(lines.number[~keep], pa.int32())
-    dropped = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - kept)]), pa.int32()), gone_n)
-    carried = {"_row": table.column("_row")} if "_row" in table.column_names else {}
-    return pa.table({"doc_id": table.column("doc_id"), "text": texts, "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(n - kept, pa.int64()), "dropped": dropped, **carried})
+#: Where a line stands, rows without an id last.
+PLACE = ["none", "id", "number"]
 
 
 def line_dedup(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, the text of the lines that stay, n_lines, n_dropped and the numbers (from 0) of the dropped lines, for each row of docs.
 
-    A line of MIN_WORDS words or more goes if an earlier line (by doc_id, then number) is within one word of it; words are told
-    apart by case and the white space between them isn't looked at. What an earlier line is kept or dropped for doesn't matter.
-    Nulls: a null text is empty; a null doc_id comes after all others and stays null. Repeated rows: lines of one doc_id and number
-    are equally early, so neither makes the other go. An empty table gives an empty table, other columns are
-    left behind or, with carry, go along in the struct ``_row``.
+    A line with a word goes if an earlier line (by doc_id, then number) has the same words or, for lines of EDIT_WORDS words or more, is
+    within one word of it; words are told apart by case and the white space between them isn't looked at. What an earlier line is kept
+    or dropped for doesn't matter. Lines without a word stay.
+    Nulls: a null text is empty; a null doc_id comes after all others and stays null. Repeated rows and ties: lines of one doc_id and
+    number are equally early, so neither makes the other go. Very long texts are cut into lines alone, in memory of their own size.
+    An empty table gives an empty table, other columns are left behind or, with carry, go along in the struct ``_row``. Equal words are
+    told by 128 bits of hash.
     """
-    slots = shards(docs.sparkSession)
-    chunks = in_chunks(docs, carry)
-    met = answer(ask(chunks, lambda t: _half_questions(t, slots)), _half_answers)
-    gone = answer(ask_again(chunks, met, lambda t, b: _neighbour_questions(t, b, slots)), _neighbour_answers)
-    out = StructType.fromDDL(OUT)
-    return hear(chunks, gone, _rebuilt, out.add(chunks.schema["_row"]) if carry else out)
+    texts = with_id(whole_texts(docs, carry)).withColumn("hash", F.xxhash64("text"))
+    lines = cut(texts.select("id", "none", "hash", "text").mapInArrow(_lines, LINES))
+    place = F.struct(*PLACE)
+    first = lines.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE, "hash")).alias("first"))
+    halves = lines.select(F.explode("halves").alias("half"), "k1", "k2")
+    shared = halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
+    live = first.join(halves.join(shared, "half", "left_semi").select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    numbers = cut(live.select("first.*").groupBy("id", "none", "hash").agg(F.collect_set("number").alias("numbers")))
+    asked = texts.select("id", "none", "hash", "text").join(numbers, ["id", "none", "hash"]).select("id", "none", "text", "numbers")
+    variants = asked.mapInArrow(_variants, VARIANTS)
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct(*PLACE, "k1", "k2")))
+    least = variants.groupBy("v1", "v2").agg(of(K).alias("k"), of(D).alias("d"), of(S).alias("s"), F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    other = F.when(F.col("kind") == K, F.col("d")).when(F.col("kind") == D, F.col("k")).otherwise(F.col("s"))
+    met = variants.join(least, ["v1", "v2"]).select("k1", "k2", place.alias("place"), other.alias("o"))
+    earlier = met.where(F.struct(*[F.col("o")[c].alias(c) for c in PLACE]) < F.col("place"))
+    pairs = earlier.select("k1", "k2", F.struct(*[F.col("o")[c].alias(c) for c in PLACE]).alias("least"), F.col("o.k1").alias("o1"), F.col("o.k2").alias("o2")).distinct()
+    words = cut(asked.mapInArrow(_texts_of_lines, "k1 long, k2 long, line string").dropDuplicates(["k1", "k2"]))
+    told = cut(pairs).join(words.withColumnRenamed("line", "a"), ["k1", "k2"])
+    told = told.join(words.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("line").alias("b")), ["o1", "o2"]).select("k1", "k2", "least", "a", "b")
+    near = told.mapInArrow(_verified, "k1 long, k2 long, least struct<none:boolean,id:bigint,number:int>")
+    bound = first.select("k1", "k2", F.struct(*[F.col("first")[c].alias(c) for c in PLACE]).alias("least")).unionByName(near).groupBy("k1", "k2").agg(F.min("least").alias("least"))
+    gone = lines.join(bound, ["k1", "k2"]).where(F.col("least") < place).groupBy("id", "none", "hash").agg(F.array_sort(F.collect_set("number")).alias("dropped"))
+    return _rebuilt(texts.join(gone, ["id", "none", "hash"], "left"), carry)
+
+
+def _rebuilt(told: DataFrame, carry: bool) -> DataFrame:
+    """Texts less the lines that ``dropped`` numbers."""
+    split = F.split("text", "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("dropped"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("_split", i)), "\n")
+    none = F.array().cast("array<int>")
+    return told.withColumn("_split", split).select("doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size("_split").cast("long").alias("n_lines"), F.coalesce(F.size("dropped").cast("long"), F.lit(0)).alias("n_dropped"), F.coalesce("dropped", none).alias("dropped"), *(["_row"] if carry else []))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from .common import LOWER, UPPER
 from .decontamination import PUNCTUATION, SHINGLE, SIMILARITY
-from .line_dedup import MIN_WORDS
+from .line_dedup import EDIT_WORDS
 from .secret_scan import CLASSES, WINDOW
 from .substring_dedup import LENGTH
 
@@ -75,15 +75,16 @@ OP6_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT r, number, line, words, dense_rank() OVER (ORDER BY doc_id, number) AS t, md5(array_to_string(words, ' ')) AS u
   FROM (SELECT r, doc_id, number, line, regexp_extract_all(line, '{WORDS}') AS words FROM (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS number FROM d))),
-first AS (SELECT u, min(t) AS t, any_value(words) AS words FROM l WHERE len(words) >= {MIN_WORDS} GROUP BY u),
-v AS (SELECT u, t, i, md5(array_to_string(list_concat(words[:i - 1], words[i + 1:]), ' ')) AS rest FROM (SELECT u, t, words, unnest(range(1, len(words) + 1)) AS i FROM first)),
+first AS (SELECT u, min(t) AS t, any_value(words) AS words FROM l WHERE len(words) > 0 GROUP BY u),
+long AS (SELECT u, t, words FROM first WHERE len(words) >= {EDIT_WORDS}),
+v AS (SELECT u, t, i, md5(array_to_string(list_concat(words[:i - 1], words[i + 1:]), ' ')) AS rest FROM (SELECT u, t, words, unnest(range(1, len(words) + 1)) AS i FROM long)),
 near AS (
   SELECT u, t FROM first
   UNION ALL SELECT u, min(t) OVER (PARTITION BY rest, i) FROM v
-  UNION ALL SELECT first.u, v.t FROM first JOIN v ON first.u = v.rest
-  UNION ALL SELECT v.u, first.t FROM first JOIN v ON first.u = v.rest),
+  UNION ALL SELECT long.u, v.t FROM long JOIN v ON long.u = v.rest
+  UNION ALL SELECT v.u, long.t FROM long JOIN v ON long.u = v.rest),
 least AS (SELECT u, min(t) AS least FROM near GROUP BY u),
-told AS (SELECT r, number, line, coalesce(least < t, false) AND len(words) >= {MIN_WORDS} AS gone FROM l LEFT JOIN least USING (u)),
+told AS (SELECT r, number, line, coalesce(least < t, false) AND len(words) > 0 AS gone FROM l LEFT JOIN least USING (u)),
 k AS (
   SELECT r, count(*) AS n, sum(gone::INT) AS m, string_agg(line, chr(10) ORDER BY number) FILTER (WHERE NOT gone) AS text, list(number::INT ORDER BY number) FILTER (WHERE gone) AS dropped
   FROM told GROUP BY r)

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyspark.sql.functions as F
 import pytest
 from lodestone.llm import decontamination, elias_fano, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, registry, secret_scan, simhash, substring_dedup, suffix_array, token_counts
 from lodestone.llm.tokens import vocabulary
@@ -138,10 +139,10 @@ def near(a, b):
 def test_lines_by_brute_force(spark, docs):
     some = docs[:120]
     lines = [(i, n, tuple(WORD.findall(x))) for i, t in some for n, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= line_dedup.MIN_WORDS]
+    lines = [x for x in lines if x[2]]
     expected = collections.defaultdict(set)
     for k, (i, n, w) in enumerate(lines):
-        if any(near(w, x) for _, _, x in lines[:k]):
+        if any(w == x or min(len(w), len(x)) >= line_dedup.EDIT_WORDS and near(w, x) for _, _, x in lines[:k]):
             expected[i].add(n)
     found = line_dedup.line_dedup(spark.createDataFrame(some, "doc_id long, text string")).collect()
     assert {r["doc_id"]: set(r["dropped"]) for r in found if r["dropped"]} == expected
@@ -155,6 +156,19 @@ def test_near_lines_of_one_edit(spark):
     assert found == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0}
 
 
+def test_lines_with_ties_blanks_and_null_ids(spark):
+    rows = [(None, "And ornd.\n" + LINE), (3, "\n  \nAnd  ornd."), (3, "x\n\nAnd ornd.\nAnd ornd."), (4, "and ornd.\n" + LINE.replace("seven", "7")), (4, None), (5, "")]
+    found = sorted(((r["doc_id"] or 9, r["text"], r["n_lines"], r["dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    line = LINE.replace("seven", "7")
+    assert found == sorted([(9, "", 2, [0, 1]), (3, "\n  \nAnd  ornd.", 3, []), (3, "x\n\nAnd ornd.", 4, [3]), (4, "and ornd.\n" + line, 2, []), (4, "", 1, []), (5, "", 1, [])], key=str)
+
+
+def test_one_line_in_very_many_rows(spark):
+    """A line that half of the rows hold, and one that all others are within a word of."""
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, F.lit(LINE)).otherwise(F.concat(F.lit(LINE + " "), F.col("id").cast("string"))).alias("text")).withColumnRenamed("id", "doc_id")
+    assert [tuple(r) for r in line_dedup.line_dedup(rows).groupBy("n_dropped").agg(F.count("*"), F.min("doc_id")).orderBy("n_dropped").collect()] == [(0, 1, 0), (1, 19_999, 1)]
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
