@@ -6,7 +6,7 @@ The other queries tokenize, hash with XXH64 or hold a fitted model, which SQL ca
 from __future__ import annotations
 
 from .common import LOWER, UPPER
-from .decontamination import PUNCTUATION, SHINGLE, SIMILARITY
+from .decontamination import EDGES, PUNCTUATION, SHINGLE, SIMILARITY
 from .line_dedup import EDIT_WORDS
 from .secret_scan import CLASSES, WINDOW
 from .substring_dedup import LENGTH
@@ -93,15 +93,18 @@ SELECT doc_id, coalesce(text, '') AS text, n::BIGINT AS n_lines, m::BIGINT AS n_
 
 
 def _item_words(text: str) -> str:
-    return f"list_filter(list_transform(regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORDS}'), lambda x: trim(x, '{PUNCTUATION.replace(chr(39), 2 * chr(39))}')), lambda x: x <> '')"
+    plain = f"trim(x, '{PUNCTUATION.replace(chr(39), 2 * chr(39))}')"
+    bare = f"coalesce(nullif(regexp_replace({plain}, '{EDGES}', '', 'g'), ''), {plain})"
+    return f"list_filter(list_transform(regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORDS}'), lambda x: {bare}), lambda x: x <> '')"
 
 
-#: Of a benchmark of one index. Windows of a document's words as the operator lays them; m is the words of a part's shingles.
+#: Of a benchmark of one index. Windows of a document's words as the operator lays them; part 2 is the whole item; m is the words of a part's shingles.
 OP10_SQL = f"""
 WITH items AS (SELECT row_number() OVER () AS item, item_id, {_item_words("text")} AS w FROM benchmark),
 parts AS (
   SELECT item, 0 AS part, w[:len(w) - len(w) // 3] AS w FROM items WHERE len(w) > 0
-  UNION ALL SELECT item, 1, w[len(w) - len(w) // 3 + 1:] FROM items WHERE len(w) // 3 > 0),
+  UNION ALL SELECT item, 1, w[len(w) - len(w) // 3 + 1:] FROM items WHERE len(w) // 3 > 0
+  UNION ALL SELECT item, 2, w FROM items WHERE len(w) > 0),
 grams AS (SELECT DISTINCT item, part, m, array_to_string(w[i:i + m - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT *, least({SHINGLE}, len(w)) AS m FROM parts))),
 totals AS (SELECT item, part, count(*) AS total FROM grams GROUP BY ALL),
 laid AS (SELECT greatest(64, 2 * max(len(w))) AS width, greatest(64, 2 * max(len(w))) - max(len(w)) + 1 AS stride FROM items),
@@ -112,8 +115,11 @@ hits AS (
   FROM have JOIN grams USING (m, gram), laid),
 share AS (SELECT r, item, passage, part, count(DISTINCT gram) / any_value(total) AS part_share FROM hits JOIN totals USING (item, part) GROUP BY r, item, passage, part),
 pairs AS (
-  SELECT r, item, passage, max(part_share) FILTER (WHERE part = 0) AS q, CASE WHEN item IN (SELECT item FROM totals WHERE part = 1) THEN max(part_share) FILTER (WHERE part = 1) ELSE 1.0::DOUBLE END AS a
-  FROM share GROUP BY r, item, passage)
+  SELECT r, item, passage, coalesce(max(part_share) FILTER (WHERE part = 0), 0) AS q, CASE WHEN item IN (SELECT item FROM totals WHERE part = 1) THEN coalesce(max(part_share) FILTER (WHERE part = 1), 0) ELSE 1.0::DOUBLE END AS a,
+    coalesce(max(part_share) FILTER (WHERE part = 2), 0) AS whole
+  FROM share GROUP BY r, item, passage),
+judged AS (SELECT *, q >= {SIMILARITY}::DOUBLE AND a >= {SIMILARITY}::DOUBLE AS by_parts FROM pairs),
+told AS (SELECT *, bool_or(by_parts) OVER (PARTITION BY r, item) AS any_by_parts FROM judged WHERE by_parts OR whole >= {SIMILARITY}::DOUBLE)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_passages, max(q)::DOUBLE AS question_overlap, max(a)::DOUBLE AS answer_overlap
-FROM pairs JOIN d USING (r) JOIN items USING (item) WHERE q >= {SIMILARITY}::DOUBLE AND a >= {SIMILARITY}::DOUBLE GROUP BY r, item, doc_id, item_id
+FROM told JOIN d USING (r) JOIN items USING (item) WHERE by_parts OR NOT any_by_parts GROUP BY r, item, doc_id, item_id
 """
