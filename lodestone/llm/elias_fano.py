@@ -107,35 +107,34 @@ class EliasFano:
         return a, hit
 
 
-class Level:
-    """n-grams as contexts and words: contexts, pointers to their children and children are monotone sequences, the last made so by
-    counting each child from its context's place on. Each child has a payload (a quantised probability, or a count)."""
-
-    def __init__(self, context: np.ndarray, word: np.ndarray, payload: np.ndarray, context_bits: int, word_bits: int):
-        """Pairs must be distinct and sorted."""
-        begin = np.concatenate([[0], np.flatnonzero(context[1:] != context[:-1]) + 1]) if len(context) else np.zeros(0, np.int64)
-        rank = np.repeat(np.arange(len(begin), dtype=np.uint64), np.diff(np.append(begin, len(context)))) if len(begin) else np.zeros(0, np.uint64)
-        self.word_bits = word_bits
-        self.contexts = EliasFano(context[begin], context_bits)
-        self.pointers = EliasFano(np.append(begin, len(context)), max(1, int(len(context)).bit_length()))
-        self.children = EliasFano((rank << np.uint64(word_bits)) | word, word_bits + max(1, len(begin).bit_length()))
-        sequences = (self.contexts, self.pointers, self.children)
-        parts = mapped([p for s in sequences for p in s.parts] + [payload])
-        for k, s in enumerate(sequences):
-            s.place(parts[3 * k : 3 * k + 3])
-        self.payload = parts[-1]
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The payloads, 0 where there is no such child."""
-        out = np.zeros(len(word), self.payload.dtype)
-        if not len(word):
-            return out
-        new = np.concatenate([[True], context[1:] != context[:-1]])  # neighbours that share a context look it up once
-        at, known = self.contexts.successor(context[new])
-        at, known = at[np.cumsum(new) - 1], known[np.cumsum(new) - 1]
-        q = np.flatnonzero(known)
+class Trie:
+    """n-grams word by word from the root: the nodes of a level are their parent's place and a word, in that order.
+
+    A level's words are one monotone sequence, made so by counting each from its parent's place on; a monotone sequence of pointers
+    says where each node's children begin in the next level; every node has a payload (a quantised probability). All levels lie in one
+    file mapped into memory. A word is sought among its parent's children alone, by the successor of what it would be there.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], word_bits: int):
+        """Of each level the parents' places (0 in the first), words below 2**word_bits and payloads, distinct and sorted by parent and word."""
+        self.bits, n, parts = word_bits, 1, []
+        self.words, self.pointers = [], []
+        for parent, word, _ in levels:
+            self.pointers.append(EliasFano(np.searchsorted(parent, np.arange(n + 1)), max(1, len(word).bit_length())))
+            self.words.append(EliasFano((parent.astype(np.uint64) << np.uint64(word_bits)) | word.astype(np.uint64), word_bits + max(1, n.bit_length())))
+            n = len(word)
+            parts += self.pointers[-1].parts + self.words[-1].parts
+        placed = mapped(parts + [x[2] for x in levels])
+        for k, s in enumerate(x for pair in zip(self.pointers, self.words) for x in pair):
+            s.place(placed[3 * k : 3 * k + 3])
+        self.payload = placed[6 * len(levels) :]
+
+    def children(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places in that level of the children of those parents that have these words, -1 where there is none or the parent is -1."""
+        out = np.full(len(word), -1, np.int64)
+        q = np.flatnonzero(parent >= 0)
         if len(q):
-            begin, end = (self.pointers.access(at[q] + k).astype(np.int64) for k in (0, 1))
-            place, hit = self.children.successor((at[q].astype(np.uint64) << np.uint64(self.word_bits)) | word[q], begin, end)
-            out[q[hit]] = self.payload[place[hit]]
+            begin, end = (self.pointers[level].access(parent[q] + k).astype(np.int64) for k in (0, 1))
+            at, hit = self.words[level].successor((parent[q].astype(np.uint64) << np.uint64(self.bits)) | word[q].astype(np.uint64), begin, end)
+            out[q[hit]] = at[hit]
         return out

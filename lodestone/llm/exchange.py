@@ -1,25 +1,30 @@
 """Questions and answers between chunks of documents and shards of keys.
 
-Documents are dealt once into as many chunks as there are shuffle partitions. A chunk gathers the distinct keys of all its documents,
-sorts them and sends each shard one block of bytes with those that are the shard's; the shard sees the blocks of all chunks,
-answers, and the answers come back to the chunk, where its documents still lie (both sides read the same shuffle files). So a key
-costs a few bytes a chunk, not a row an occurrence, and a hot key weighs no more than any other: once a chunk.
+Documents are dealt once into chunks. A chunk gathers the distinct keys of all its documents, sorts them and sends each shard one block
+of bytes with those that are the shard's; the shard sees the blocks of all chunks, answers, and the answers come back to the chunk, where
+its documents still lie (both sides read the same shuffle files). So a key costs a few bytes a chunk, not a row an occurrence, and a hot
+key weighs no more than any other: once a chunk.
+
+There are as many chunks as shuffle partitions, or more where the input is over CHUNK_BYTES a partition, and as many shards. So a block
+is what one side of a Spark shuffle holds for another, and there are as many blocks as Spark itself would make for that many partitions.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from .common import give_back, partitions, whole_texts
 
 MESSAGE = "shard int, chunk int, body binary"
+#: Most bytes of stored input a chunk, as the planner knows them.
+CHUNK_BYTES = 64 << 20
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -48,29 +53,17 @@ def steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=keys.dtype.type(0))
 
 
-@lru_cache
-def _slots(n: int) -> tuple[int, ...]:
-    """For each of n partitions an int that Spark's hash partitioning sends there."""
-    spark = SparkSession.getActiveSession()
-    found: dict[int, int] = {}
-    size = 16 * n + 64
-    while len(found) < n:
-        for r in spark.range(size).select(F.col("id").cast("int").alias("v"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).collect():
-            found.setdefault(r["p"], r["v"])
-        size *= 2
-    return tuple(found[p] for p in range(n))
-
-
-def shards(spark: SparkSession) -> tuple[int, ...]:
-    """The shards' numbers: one for each shuffle partition, each dealt to a partition of its own."""
-    return _slots(partitions(spark))
-
-
-def in_chunks(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, text (and ``_row``) and chunk, dealt evenly by what the row holds."""
-    slots = shards(docs.sparkSession)
-    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(slots))).cast("int")
-    return whole_texts(docs, carry).withColumn("chunk", F.get(F.array(*map(F.lit, slots)), at)).repartition(len(slots), "chunk")
+def _hashed_to(h: np.ndarray) -> np.ndarray:
+    """The ints that Spark's hash function (Murmur3, 32 bits, seed 42) sends to h."""
+    u = lambda x: np.uint32(x % (1 << 32))
+    undo = lambda factor: u(pow(factor, -1, 1 << 32))
+    turn = lambda x, n: (x >> u(n)) | (x << u(32 - n))
+    x = h.astype(np.uint32)
+    x = (x ^ (x >> u(16))) * undo(0xC2B2AE35)
+    x = (x ^ (x >> u(13)) ^ (x >> u(26))) * undo(0x85EBCA6B)
+    x = (x ^ (x >> u(16)) ^ u(4)) - u(0xE6546B64)
+    x = turn(x * undo(5), 13) ^ u(42)
+    return (turn(x * undo(0x1B873593), 15) * undo(0xCC9E2D51)).view(np.int32)
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -82,50 +75,86 @@ def _messages(rows: list[tuple], chunk: int) -> pa.Table:
     return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "body": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def ask(chunks: DataFrame, question) -> DataFrame:
-    """question(documents) gives (shard, bytes) pairs."""
+def _by_shard(table: pa.Table, n: int) -> list[dict[int, bytes]]:
+    """Of each of n kinds of answers the bodies by shard."""
+    out: list[dict[int, bytes]] = [{} for _ in range(n)]
+    for kind, shard, body in zip(*(table.column(c).to_pylist() for c in ("kind", "shard", "body"))):
+        out[kind][shard] = body
+    return out
+
+
+class Exchange:
+    """The chunks of docs (doc_id, text, and with carry ``_row``), dealt evenly by what the row holds, and their shards."""
+
+    def __init__(self, docs: DataFrame, carry: bool = False):
+        spark = docs.sparkSession
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        large = -(-size // CHUNK_BYTES) if size < 1 << 52 else 0  # beyond: not known, as after a join
+        self.n = max(partitions(spark), large)
+        #: For each partition a number that Spark's hash partitioning sends there.
+        self.slots = tuple(_hashed_to(np.arange(self.n)).tolist())
+        at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n)).cast("int")
+        texts = whole_texts(docs, carry).withColumn("chunk", F.get(F.array(*map(F.lit, self.slots)), at))
+        self.chunks = texts.repartition(self.n, "chunk")
+
+    def _dealt(self, messages: DataFrame, by: str):
+        return messages.repartition(self.n, by).groupBy(by)
+
+    def ask(self, question) -> DataFrame:
+        """question(documents) gives (shard, bytes) pairs."""
+
+        def to(key, table):
+            give_back()
+            return _messages(list(question(ordered(table))), key[0].as_py())
 
-    def to(key, table):
-        give_back()
-        return _messages(list(question(ordered(table))), key[0].as_py())
+        return self.chunks.groupBy("chunk").applyInArrow(to, MESSAGE)
 
-    return chunks.groupBy("chunk").applyInArrow(to, MESSAGE)
+    def answer(self, messages: DataFrame, reply) -> DataFrame:
+        """reply(bodies, shard) gives a body for each body, in order. A shard's bodies come ordered by chunk."""
 
+        def give(key, table):
+            give_back()
+            table = table.sort_by("chunk")
+            out = reply([x.as_py() for x in table.column("body")], key[0].as_py())
+            return pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "body": pa.array(out, pa.binary())})
 
-def answer(messages: DataFrame, reply) -> DataFrame:
-    """reply(bodies) gives a body for each body, in order. A shard's bodies come ordered by chunk."""
+        return self._dealt(messages, "shard").applyInArrow(give, MESSAGE)
 
-    def give(key, table):
-        give_back()
-        table = table.sort_by("chunk")
-        out = reply([x.as_py() for x in table.column("body")])
-        return pa.table({"shard": table.column("shard"), "chunk": table.column("chunk"), "body": pa.array(out, pa.binary())})
+    def answer_both(self, messages: DataFrame, later: DataFrame, reply) -> DataFrame:
+        """reply(bodies, later bodies), both ordered by chunk and from the same chunks, gives a body for each."""
 
-    n = partitions(messages.sparkSession)
-    return messages.repartition(n, "shard").groupBy("shard").applyInArrow(give, MESSAGE)
+        def give(key, left, right):
+            give_back()
+            left, right = left.sort_by("chunk"), right.sort_by("chunk")
+            out = reply(*([x.as_py() for x in t.column("body")] for t in (left, right)))
+            return pa.table({"shard": left.column("shard"), "chunk": left.column("chunk"), "body": pa.array(out, pa.binary())})
 
+        return self._dealt(messages, "shard").cogroup(self._dealt(later, "shard")).applyInArrow(give, MESSAGE)
 
-def hear(chunks: DataFrame, answers: DataFrame, use, schema: str | StructType) -> DataFrame:
-    """use(documents, bodies by shard) gives a table; chunks without documents give nothing."""
+    def _with_answers(self, answers: list[DataFrame]):
+        """Chunks beside the union of their answers."""
+        told = reduce(DataFrame.unionByName, [a.withColumn("kind", F.lit(k)) for k, a in enumerate(answers)])
+        return self.chunks.groupBy("chunk").cogroup(self._dealt(told, "chunk"))
 
-    def with_answers(key, left, right):
-        give_back()
-        return use(ordered(left), dict(zip(right.column("shard").to_pylist(), right.column("body").to_pylist())))
+    def ask_again(self, answers: list[DataFrame], question) -> DataFrame:
+        """question(documents, *bodies by shard of each kind of answers) gives (shard, bytes) pairs."""
+        n = len(answers)
 
-    n = partitions(chunks.sparkSession)
-    return chunks.groupBy("chunk").cogroup(answers.repartition(n, "chunk").groupBy("chunk")).applyInArrow(with_answers, schema)
+        def to(key, left, right):
+            give_back()
+            return _messages(list(question(ordered(left), *_by_shard(right, n))), key[0].as_py())
 
+        return self._with_answers(answers).applyInArrow(to, MESSAGE)
 
-def ask_again(chunks: DataFrame, answers: DataFrame, question) -> DataFrame:
-    """question(documents, bodies by shard) gives (shard, bytes) pairs."""
+    def hear(self, answers: list[DataFrame], use, schema: str | StructType) -> DataFrame:
+        """use(documents, *bodies by shard of each kind of answers) gives a table."""
+        n = len(answers)
 
-    def to(key, left, right):
-        give_back()
-        bodies = dict(zip(right.column("shard").to_pylist(), right.column("body").to_pylist()))
-        return _messages(list(question(ordered(left), bodies)), key[0].as_py())
+        def with_answers(key, left, right):
+            give_back()
+            return use(ordered(left), *_by_shard(right, n))
 
-    n = partitions(chunks.sparkSession)
-    return chunks.groupBy("chunk").cogroup(answers.repartition(n, "chunk").groupBy("chunk")).applyInArrow(to, MESSAGE)
+        return self._with_answers(answers).applyInArrow(with_answers, schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -140,7 +169,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def split_by_shard(keys: np.ndarray, slots: tuple[int, ...]) -> list[tuple[int, int, int]]:
     """Bounds (shard, from, to) in keys sorted by their scaled place among the shards; shards without keys too."""
     n = len(slots)
-    bounds = np.searchsorted(keys >> np.uint64(48), (np.arange(n + 1, dtype=np.uint64) * np.uint64(65536) + np.uint64(n - 1)) // np.uint64(n))
+    bounds = np.searchsorted(keys >> np.uint64(32), ((np.arange(n + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(n - 1)) // np.uint64(n))
     return [(slots[p], int(bounds[p]), int(bounds[p + 1])) for p in range(n)]
 
 

@@ -4,13 +4,14 @@ Tokens are lower-case words and an end; START stands before a text. Estimates ar
 p1(w) = (c(w) + 1/2) / (N + (V + 1) / 2), p(w | v) = (c(vw) + m2 p1(w)) / (c(v) + m2), p(w | uv) = (c(uvw) + m3 p(w | v)) / (c(uv) + m3).
 They add up to one over V words and one unknown word.
 
-A chunk of documents sends its distinct n-grams, with what its training documents count of them, to shards. A shard adds the counts
-up, builds its trie level by level, and looks up all n-grams that were asked for. A node holds the quantised log10 of its n-gram's
-relative frequency (times N, a constant); its smoothing needs a context's count and the order below, which lie in other shards, so the
-chunk, which hears all of them, puts the three orders together. n-grams are told apart in a shard by 40 bits
-(22 of the context, 18 of the word; 16 more choose the shard): of a shard of some million n-grams an unknown one meets a known one once in
-some hundred thousand times. Words are told apart by 64 bits. A context's children are dealt to 16 places, so a
-frequent context is no hot key.
+A chunk of documents first asks shards for the numbers and counts of its distinct words (told apart by 64 bits); frequent words have
+small numbers. Then it sends its distinct trigrams, as numbers and so exactly, to the shard of their last two words, with what its
+training documents count of them, and hears the counts of the bigrams, which are the contexts of other trigrams; those it sends after.
+A shard then builds its trie: last words, the words before them, the words before those. A node holds the quantised log10 of
+its n-gram's smoothed probability. Each trigram that was asked for goes down the trie as far as it leads, and takes the payload found
+there, times m / (c + m) of each context that is longer. The chunk hears one quantised probability a distinct trigram, and adds up.
+
+A frequent word's trigrams are dealt by the word before it too, and a chunk sends each distinct one once, so none makes a hot shard.
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
-from .elias_fano import Level
-from .exchange import answer, ask, hear, in_chunks, mix, packed, shards, split_by_shard, steps, unpacked, word_hashes
+from .elias_fano import Trie
+from .exchange import Exchange, mix, packed, split_by_shard, steps, unpacked, word_hashes
+from .tokens import ragged
 
 #: Weight, in counts, of the order below.
 M2, M3 = 2000.0, 2.0
-#: Codes a decade of the quantised log10; 0 is kept for absence.
-DECADE = 4096
+#: Codes a decade of a quantised probability.
+DECADE = 2048
 HELD_OUT = 1
-START, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
-CONTEXT_BITS, WORD_BITS = 22, 18
-SPREAD = np.uint64(15)
+END = np.uint64(0xC949D7C7509E6557)
+#: The number of what stands before a text; words have greater ones, below 2**WORD_BITS.
+START, WORD_BITS = 0, 40
+ODD = np.uint64(0x9E3779B97F4A7C15)
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -40,102 +43,220 @@ def _is_held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == HELD_OUT
 
 
-def quantised(counts: np.ndarray) -> np.ndarray:
-    return np.where(counts > 0, np.rint(np.log10(np.maximum(counts, 1)) * DECADE) + 1, 0).astype(np.uint16)
+def quantised(p: np.ndarray) -> np.ndarray:
+    """Probabilities as codes: how far below 1, in parts of a decade; what is less than any code stands for is the last."""
+    return np.minimum(np.rint(-np.log10(p) * DECADE), 65535).astype(np.uint16)
 
 
 def restored(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10.0 ** ((codes.astype(np.float64) - 1) / DECADE), 0.0)
+    return 10.0 ** (-codes.astype(np.float64) / DECADE)
+
 
+def unigram(count: np.ndarray, n_tokens: int, n_words: int) -> np.ndarray:
+    return (count + 0.5) / (n_tokens + 0.5 * (n_words + 1))
 
-def _keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    c, w = mix(context), mix(word + np.uint64(1))
-    place = mix(c ^ (w & SPREAD))
-    return ((place >> np.uint64(48)) << np.uint64(48)) | ((c >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS)) | (w >> np.uint64(64 - WORD_BITS))
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the place of each key among them."""
+    order = np.argsort(keys, kind="stable" if len(keys) < 1 << 16 else None)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[new], place
 
-class Sequences:
-    """The tokens of a chunk's documents in a row, and the keys of the n-grams that end in each."""
+
+class Tokens:
+    """The tokens of a chunk's documents in a row."""
 
     def __init__(self, table: pa.Table):
         texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
         words, begins = word_hashes(texts, lower=True)
         n = len(begins) - 1
-        self.tokens = np.insert(words, begins[1:], END) if n else words
-        self.starts = begins[:-1] + np.arange(n)
-        self.sizes = np.diff(begins) + 1
-        before = np.roll(self.tokens, 1)
-        before[self.starts] = START
-        earlier = np.roll(before, 1)
-        earlier[self.starts] = START
-        self.keys = [self.tokens, _keys(before, self.tokens), _keys(before * np.uint64(0x9E3779B97F4A7C15) + mix(earlier), self.tokens)]
-        self.doc_id = table.column("doc_id").to_pylist()
-        self.held_out = np.array([_is_held_out(i) for i in self.doc_id], bool)
-
-
-def _questions(table: pa.Table, slots):
-    text = Sequences(table)
-    train = np.repeat(~text.held_out, text.sizes)
-    sent = {shard: [np.array([np.count_nonzero(~text.held_out), np.count_nonzero(train)], np.int64)] for shard in slots}
-    for keys in text.keys:
-        order = np.argsort(keys)
-        keys, counted = keys[order], train[order]
-        begin = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1]) if len(keys) else np.zeros(0, np.int64)
-        counts = np.add.reduceat(counted, begin, dtype=np.uint32) if len(begin) else np.zeros(0, np.uint32)
-        keys = keys[begin]
-        for shard, a, b in split_by_shard(keys, slots):
-            sent[shard] += [steps(keys[a:b]), counts[a:b]]
-    for shard, arrays in sent.items():
-        yield shard, packed(*arrays)
-
-
-def _answers(bodies: list[bytes]) -> list[bytes]:
+        self.starts, self.sizes = begins[:-1] + np.arange(n), np.diff(begins) + 1
+        self.words, self.place = _distinct(np.insert(words, begins[1:], END) if n else words)
+        self.held_out = np.array([_is_held_out(i) for i in table.column("doc_id").to_pylist()], bool)
+        self.train = np.repeat(~self.held_out, self.sizes)
+
+
+class Trigrams:
+    """The distinct bigrams and trigrams of a chunk, whose words are known by number, in the order they are sent to shards."""
+
+    def __init__(self, table: pa.Table, bodies: dict[int, bytes], slots: tuple[int, ...]):
+        self.text = text = Tokens(table)
+        told = {shard: unpacked(b) for shard, b in bodies.items()}
+        head = np.array([t[0] for t in told.values()], np.int64).reshape(-1, 3)
+        self.n_docs, self.n_tokens, self.n_words = int(head[:, 0].max(initial=0)), int(head[:, 1].max(initial=0)), int(head[:, 2].sum())
+        bounds = split_by_shard(text.words, slots)
+        number, count = (np.concatenate([np.zeros(0, np.int64), *(told[shard][k][: b - a].astype(np.int64) for shard, a, b in bounds if b > a)]) for k in (1, 2))
+        order = np.argsort(number)  # words by number, START first
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(1, len(order) + 1)
+        self.number, self.count = np.append(START, number[order]), np.append(self.n_docs, count[order])
+        last = rank[text.place]
+        before = np.append(0, last)[: len(last)]
+        before[text.starts] = 0
+        earlier = np.append(0, before)[: len(last)]
+        earlier[text.starts] = 0
+        self.token_count, d = self.count[last], len(self.number)
+        pairs, self.pair_of = _distinct(last * d + before)
+        trigrams, self.of = _distinct(self.pair_of * d + earlier)
+        self.last, self.before, self.earlier = pairs // d, pairs % d, trigrams % d
+        self.counted = np.bincount(self.of, text.train, len(trigrams)).astype(np.uint32)
+        begin = np.searchsorted(trigrams // d, np.arange(len(pairs) + 1))
+        n = len(slots)
+        place = mix(self.number[self.last].astype(np.uint64) * ODD + self.number[self.before].astype(np.uint64))
+        shard = ((place >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+        self.pairs = np.argsort(shard, kind="stable")  # in the order they are sent
+        self.sizes = np.diff(begin)[self.pairs]
+        self.trigrams = ragged(begin[:-1][self.pairs], self.sizes)
+        of_pair = np.searchsorted(shard[self.pairs], np.arange(n + 1))
+        of_trigram = np.append(0, np.cumsum(self.sizes))[of_pair]
+        self.bounds = [(slots[k], *of_pair[k : k + 2].tolist(), *of_trigram[k : k + 2].tolist()) for k in range(n)]
+
+    def contexts(self, bodies: dict[int, bytes]) -> np.ndarray:
+        """For each distinct trigram the count of its first two words."""
+        count = np.zeros(len(self.pairs), np.int64)
+        for shard, a, b, _, _ in self.bounds:
+            count[self.pairs[a:b]] = unpacked(bodies[shard])[0]
+        context = np.append(0, count[self.pair_of])[: len(self.pair_of)]
+        context[self.text.starts] = self.n_docs
+        out = np.zeros(len(self.earlier), np.int64)
+        out[self.of] = context
+        return out
+
+
+def _word_questions(table: pa.Table, slots):
+    text = Tokens(table)
+    counts = np.bincount(text.place, text.train, len(text.words)).astype(np.uint32)
+    head = np.array([np.count_nonzero(~text.held_out), np.count_nonzero(text.train)], np.int64)
+    for shard, a, b in split_by_shard(text.words, slots):
+        yield shard, packed(head, steps(text.words[a:b]), counts[a:b])
+
+
+def _word_answers(bodies: list[bytes], n_shards: int, shard: int) -> list[bytes]:
+    """Totals, and of each word its number, the smaller the more frequent in this shard and no other shard's, and count."""
     parts = [unpacked(b) for b in bodies]
-    totals = sum(p[0] for p in parts)
-    replies: list[list[np.ndarray]] = [[] for _ in parts]
-    distinct_words = 0
-    for order in range(3):
-        asked = [np.cumsum(p[1 + 2 * order], dtype=np.uint64) for p in parts]
-        joint = np.concatenate(asked)
-        distinct, place = np.unique(joint, return_inverse=True)
-        counts = np.bincount(place, np.concatenate([p[2 + 2 * order] for p in parts]), len(distinct)).astype(np.int64)
-        known = counts > 0
-        if order == 0:
-            distinct_words = int(np.count_nonzero(known))
-            split = lambda k: (k >> np.uint64(32), k & np.uint64(0xFFFFFFFF))
-            level = Level(*split(distinct[known]), counts[known], 32, 32)
-        else:  # the shard has 16 bits of its own at most; within it they are part of the context
-            split = lambda k: (k >> np.uint64(WORD_BITS), k & np.uint64((1 << WORD_BITS) - 1))
-            level = Level(*split(distinct[known]), quantised(counts[known]), 64 - WORD_BITS, WORD_BITS)
-        found = level.find(*split(distinct))[place]
-        at = 0
-        for reply, keys in zip(replies, asked):
-            reply.append(found[at : at + len(keys)])
-            at += len(keys)
-    head = np.array([totals[0], totals[1], distinct_words], np.int64)
-    return [packed(head, *r) for r in replies]
-
-
-def _scores(table: pa.Table, bodies: dict[int, bytes], slots) -> pa.Table:
-    text = Sequences(table)
-    told = {shard: unpacked(b) for shard, b in bodies.items()}
-    heads = np.array([t[0] for t in told.values()], np.int64).reshape(-1, 3)
-    n_docs, n_tokens, n_words = int(heads[:, 0].max(initial=0)), int(heads[:, 1].max(initial=0)), int(heads[:, 2].sum())
-    values = []
-    for order, keys in enumerate(text.keys):
-        distinct, place = np.unique(keys, return_inverse=True)
-        found = np.concatenate([told[shard][1 + order][: b - a] for shard, a, b in split_by_shard(distinct, slots)]) if len(distinct) else np.zeros(0)
-        values.append((found.astype(np.float64) if order == 0 else restored(found))[place])
-    c1, c2, c3 = values
-    context1 = np.roll(c1, 1)
-    context1[text.starts] = n_docs
-    context2 = np.roll(c2, 1)
-    context2[text.starts] = n_docs
-    p1 = (c1 + 0.5) / (n_tokens + 0.5 * (n_words + 1))
-    p2 = (c2 + M2 * p1) / (context1 + M2)
-    p3 = (c3 + M3 * p2) / (context2 + M3)
+    asked = [np.cumsum(p[1], dtype=np.uint64) for p in parts]
+    distinct, place = _distinct(np.concatenate(asked))
+    counts = np.bincount(place, np.concatenate([p[2] for p in parts]), len(distinct)).astype(np.int64)
+    number = np.empty(len(distinct), np.uint64)
+    number[np.lexsort((distinct, -counts))] = np.arange(len(distinct), dtype=np.uint64) * np.uint64(n_shards) + np.uint64(shard + 1)
+    head = np.append(sum(p[0] for p in parts), np.count_nonzero(counts))
+    out, at = [], 0
+    for keys in asked:
+        here = place[at : at + len(keys)]
+        out.append(packed(head, number[here], counts[here].astype(np.uint64)))
+        at += len(keys)
+    return out
+
+
+def _trigram_questions(table: pa.Table, bodies: dict[int, bytes], slots):
+    chunk = Trigrams(table, bodies, slots)
+    head = np.array([chunk.n_tokens, chunk.n_words], np.int64)
+    last, before, number = chunk.last[chunk.pairs], chunk.before[chunk.pairs], chunk.number.astype(np.uint64)
+    for shard, a, b, c, d in chunk.bounds:
+        words, of = np.unique(last[a:b], return_inverse=True)
+        of_trigram = chunk.trigrams[c:d]
+        yield shard, packed(
+            head, steps(number[words]), chunk.count[words].astype(np.uint64), np.bincount(of, minlength=len(words)).astype(np.uint32),
+            number[before[a:b]], chunk.count[before[a:b]].astype(np.uint64), chunk.sizes[a:b].astype(np.uint32), number[chunk.earlier[of_trigram]], chunk.counted[of_trigram],
+        )
+
+
+class Asked:
+    """What all chunks sent a shard: distinct last words, pairs and trigrams, each with its parent's place, and where each chunk's stand among them."""
+
+    def __init__(self, bodies: list[bytes]):
+        parts = [unpacked(b) for b in bodies]
+        self.head = parts[0][0]
+        join = lambda arrays: np.concatenate([np.zeros(0, np.uint64), *arrays])
+        last = join(np.cumsum(p[1], dtype=np.uint64) for p in parts)
+        self.words, at = _distinct(last)
+        self.word_count = np.zeros(len(self.words), np.int64)
+        self.word_count[at] = join(p[2] for p in parts)
+        before, shift = join(p[4] for p in parts), np.uint64(WORD_BITS)
+        pairs, pair_at = _distinct((np.repeat(at, join(p[3] for p in parts).astype(np.int64)).astype(np.uint64) << shift) | before)
+        self.pair_word, self.before = (pairs >> shift).astype(np.int64), pairs & np.uint64((1 << WORD_BITS) - 1)
+        self.before_count = np.zeros(len(pairs), np.int64)
+        self.before_count[pair_at] = join(p[5] for p in parts)
+        sizes = join(p[6] for p in parts).astype(np.int64)
+        counted = join(p[8] for p in parts)
+        self.pair_count = np.bincount(np.repeat(pair_at, sizes), counted, len(pairs)).astype(np.int64)
+        self.pair_at, self.pair_ends = pair_at, np.cumsum([0, *(len(p[4]) for p in parts)])
+        self.trigram_ends = np.cumsum([0, *(len(p[7]) for p in parts)])
+        self.keys, self.counted = (np.repeat(pair_at, sizes).astype(np.uint64) << shift) | join(p[7] for p in parts), counted
+
+    def trigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the distinct trigrams the pair, the first word, the count; and the place of each that was sent."""
+        distinct, at = _distinct(self.keys)
+        shift = np.uint64(WORD_BITS)
+        return (distinct >> shift).astype(np.int64), distinct & np.uint64((1 << WORD_BITS) - 1), np.bincount(at, self.counted, len(distinct)).astype(np.int64), at
+
+
+def _pair_answers(bodies: list[bytes]) -> list[bytes]:
+    """The count of each pair."""
+    asked = Asked(bodies)
+    counts = asked.pair_count[asked.pair_at].astype(np.uint64)
+    return [packed(counts[a:b]) for a, b in zip(asked.pair_ends[:-1], asked.pair_ends[1:])]
+
+
+def _context_questions(table: pa.Table, bodies: dict[int, bytes], pair_bodies: dict[int, bytes], slots):
+    chunk = Trigrams(table, bodies, slots)
+    context = chunk.contexts(pair_bodies)[chunk.trigrams].astype(np.uint64)
+    for shard, _, _, c, d in chunk.bounds:
+        yield shard, packed(context[c:d])
+
+
+def build(asked: Asked, pair: np.ndarray, first: np.ndarray, count: np.ndarray, context: np.ndarray) -> Trie:
+    """The trie of the n-grams that were counted, with quantised smoothed probabilities."""
+    n_tokens, n_words = (int(x) for x in asked.head)
+    p1 = unigram(asked.word_count, n_tokens, n_words)
+    p2 = (asked.pair_count + M2 * p1[asked.pair_word]) / (asked.before_count + M2)
+    p3 = (count + M3 * p2[pair]) / (context + M3)
+    none = np.zeros(len(asked.words), np.int64)
+    known = [asked.word_count > 0, asked.pair_count > 0, count > 0]
+    levels = []
+    for keep, parent, word, p, at in zip(known, (none, asked.pair_word, pair), (asked.words, asked.before, first), (p1, p2, p3), (None, *known)):
+        place = none if at is None else np.cumsum(at) - 1
+        levels.append((place[parent[keep]], word[keep], quantised(p[keep])))
+    return Trie(levels, WORD_BITS)
+
+
+def _probabilities(bodies: list[bytes], context_bodies: list[bytes]) -> list[bytes]:
+    """The quantised probability of each trigram that was sent, by the trie."""
+    asked = Asked(bodies)
+    pair, first, count, at = asked.trigrams()
+    context = np.zeros(len(pair))
+    context[at] = np.concatenate([np.zeros(0), *(unpacked(b)[0].astype(np.float64) for b in context_bodies)])
+    trie = build(asked, pair, first, count, context)
+    none = np.zeros(len(asked.words), np.int64)
+    word = trie.children(0, none, asked.words)
+    two = trie.children(1, word[asked.pair_word], asked.before)
+    three = trie.children(2, two[pair], first)
+    n_tokens, n_words = (int(x) for x in asked.head)
+    found = lambda level, place: restored(trie.payload[level][place])
+    p1 = np.full(len(word), unigram(0, n_tokens, n_words))
+    p1[word >= 0] = found(0, word[word >= 0])
+    p2 = p1[asked.pair_word] * M2 / (asked.before_count + M2)
+    p2[two >= 0] = found(1, two[two >= 0])
+    p3 = p2[pair] * M3 / (context + M3)
+    code = quantised(p3)
+    code[three >= 0] = trie.payload[2][three[three >= 0]]
+    code = code[at]
+    return [packed(code[a:b]) for a, b in zip(asked.trigram_ends[:-1], asked.trigram_ends[1:])]
+
+
+def _scores(table: pa.Table, bodies: dict[int, bytes], told: dict[int, bytes], slots) -> pa.Table:
+    chunk = Trigrams(table, bodies, slots)
+    text = chunk.text
+    log = np.zeros(len(chunk.earlier))
+    for shard, _, _, c, d in chunk.bounds:
+        log[chunk.trigrams[c:d]] = unpacked(told[shard])[0] / -float(DECADE)
+    base = np.log10(unigram(chunk.token_count, chunk.n_tokens, chunk.n_words))
     add = lambda x, kind: np.add.reduceat(x, text.starts, dtype=kind) if len(text.starts) else np.zeros(0, kind)
-    columns = (table.column("doc_id"), pa.array(text.held_out), pa.array(text.sizes, pa.int64()), pa.array(add(c1 > 0, np.int64)), pa.array(np.full(len(text.sizes), n_tokens, np.int64)), pa.array(add(np.log10(p1), np.float64)), pa.array(add(np.log10(p3), np.float64)))
+    columns = (table.column("doc_id"), pa.array(text.held_out), pa.array(text.sizes, pa.int64()), pa.array(add(chunk.token_count > 0, np.int64)), pa.array(np.full(len(text.sizes), chunk.n_tokens, np.int64)), pa.array(add(base, np.float64)), pa.array(add(log[chunk.of], np.float64)))
     return pa.table(dict(zip([x.split()[0] for x in OUT.split(", ")], columns)))
 
 
@@ -143,13 +264,18 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score (trigram), log10, for each row of docs.
 
     Learns from rows whose crc32 of the id's digits leaves no remainder HELD_OUT by 5 (a null id counts as no digits) and scores all.
-    Nulls: a null text is empty and has the end as its one token; a null doc_id stays null. Repeated rows count and score each, an
-    empty table gives an empty table, without training rows every probability is 1, other columns are left behind.
+    Nulls: a null text is empty and has the end as its one token; a null doc_id stays null. Repeated rows and ties count and score each.
+    Very long texts are scored whole, in the memory of their chunk. An empty table gives an empty table, without training rows every
+    probability is 1, other columns are left behind.
     """
-    slots = shards(docs.sparkSession)
-    chunks = in_chunks(docs)
-    answers = answer(ask(chunks, lambda t: _questions(t, slots)), _answers)
-    return hear(chunks, answers, lambda t, b: _scores(t, b, slots), OUT)
+    x = Exchange(docs)
+    slots, n = x.slots, x.n
+    words = x.answer(x.ask(lambda t: _word_questions(t, slots)), lambda b, shard: _word_answers(b, n, slots.index(shard)))
+    trigrams = x.ask_again([words], lambda t, w: _trigram_questions(t, w, slots))
+    pairs = x.answer(trigrams, lambda b, shard: _pair_answers(b))
+    contexts = x.ask_again([words, pairs], lambda t, w, p: _context_questions(t, w, p, slots))
+    found = x.answer_both(trigrams, contexts, _probabilities)
+    return x.hear([words, found], lambda t, w, f: _scores(t, w, f, slots), OUT)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,37 @@ def test_language_model_by_brute_force(spark, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_trie_holds_what_was_counted():
+    """Every n-gram and no other is found, among its parent's children alone, with its payload."""
+    rng = np.random.default_rng(5)
+    grams = np.unique(rng.integers(1, 40, (3000, 3)), axis=0)
+    levels, parents = [], {(): 0}
+    for k in range(3):
+        nodes = sorted({tuple(g[: k + 1]) for g in grams.tolist()})
+        levels.append((np.array([parents[x[:-1]] for x in nodes]), np.array([x[-1] for x in nodes]), np.arange(len(nodes), dtype=np.uint16)))
+        parents = {x: n for n, x in enumerate(nodes)}
+    trie = elias_fano.Trie(levels, 40)
+    asked = np.array([(a, b, c) for a in range(0, 42, 3) for b in range(41) for c in range(41)])
+    at = np.zeros(len(asked), np.int64)
+    for k in range(3):
+        at = trie.children(k, at, asked[:, k])
+    assert [None if x < 0 else int(trie.payload[2][x]) for x in at] == [parents.get(tuple(x)) for x in asked.tolist()]
+
+
+def test_a_context_of_very_many_followers(spark):
+    """After a word with 200,000 followers no word that never followed it is taken for one that did."""
+    ids = [i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1)][:1] + [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    texts = [" ".join(f"the x{k}" for k in range(3000)), " ".join(f"the w{k}" for k in range(100_000)), " ".join(f"the w{k}" for k in range(100_000, 200_000))]
+    row = ngram_lm.score(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).where(F.col("held_out")).first()
+    n, v, the = 400_002, 200_002, 200_000
+    p1 = lambda c: (c + 0.5) / (n + 0.5 * (v + 1))
+    unseen = ngram_lm.M2 * p1(0) / (the + ngram_lm.M2)  # no context that ends in a word never seen adds to the next
+    first = (2 + ngram_lm.M3 * (2 + ngram_lm.M2 * p1(the)) / (2 + ngram_lm.M2)) / (2 + ngram_lm.M3)
+    second = ngram_lm.M3 * unseen / (2 + ngram_lm.M3)
+    score = math.log10(first) + math.log10(second) + 2999 * (math.log10(p1(the)) + math.log10(unseen)) + math.log10(p1(2))
+    assert (row["n_known"], row["n_tokens"]) == (3001, 6001) and abs(row["score"] - score) < 6001 / ngram_lm.DECADE
+
+
 def near(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) <= 1
