@@ -79,6 +79,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Slots of a sieve: a megabyte or so that is sent with a plan, whatever goes in.
+SIEVE_SLOTS = 1 << 20
+
+
+def sieve(keys: DataFrame):
+    """A test for a column of hashes that all of keys (one column of hashes, no nulls) pass and most others fail.
+
+    It spares a join rows that have no partner; the join itself still decides. With more keys than slots it lets most rows through.
+    """
+    import numpy as np
+
+    slot = F.pmod(F.col(keys.columns[0]), F.lit(SIEVE_SLOTS))
+    slots = keys.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, cast(slot & 63 AS int)) AS bit")
+    table = np.zeros(SIEVE_SLOTS // 64, np.int64)
+    for word, bits in slots.groupBy("word").agg(F.bit_or("bit")).collect():
+        table[word] = bits
+    flags = bytes(np.unpackbits(table.view(np.uint8), bitorder="little"))
+    return lambda x: F.substring(F.lit(flags), (F.pmod(x, F.lit(SIEVE_SLOTS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+
+
 def give_back() -> None:
     """Returns what this worker has freed to the system, as it lives on beside the next stage's."""
     import ctypes

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cut, give_back, read_table, whole_texts, with_id
+from .common import cut, give_back, read_table, sieve, whole_texts, with_id
 from .exchange import mix, word_hashes
 from .tokens import ragged, slices
 
@@ -29,7 +29,8 @@ ODD, ODD_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Kinds of keys: K the line itself, D the line less a word; S stands under keys of its own.
 K, D, S = 0, 1, 2
 LINES = "id long, none boolean, hash long, number int, k1 long, k2 long, halves array<long>"
-VARIANTS = "v1 long, v2 long, kind int, id long, none boolean, number int, k1 long, k2 long"
+#: The hash of a variant, and four times the rank of its line and its kind.
+VARIANTS = "variant long, code long"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -115,38 +116,35 @@ def _lines(batches):
         give_back()
 
 
-def _wanted(part: pa.RecordBatch) -> tuple[Lines, np.ndarray]:
-    """The lines of rows (id, none, hash, text, numbers) that numbers asks for, and their places among Lines."""
-    lines, numbers = Lines(part.column("text")), part.column("numbers")
-    asked = np.repeat(np.arange(part.num_rows, dtype=np.int64), np.diff(numbers.offsets.to_numpy())) << 32 | numbers.flatten().to_numpy().astype(np.int64)
-    return lines, np.flatnonzero(np.isin(lines.row << 32 | lines.number, asked))
+def _wanted(part: pa.RecordBatch) -> tuple[Lines, np.ndarray, np.ndarray]:
+    """Of rows (text, asked: their lines' numbers and ranks) the lines that are asked for, as places among Lines, and their ranks."""
+    lines, asked = Lines(part.column("text")), part.column("asked")
+    number, rank = (asked.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
+    key = np.repeat(np.arange(part.num_rows, dtype=np.int64), np.diff(asked.offsets.to_numpy())) << 32 | number
+    order = np.argsort(key)
+    at = np.searchsorted(lines.row << 32 | lines.number, key[order])
+    return lines, at, rank[order]
 
 
 def _variants(batches):
     """VARIANTS of the lines that are asked for."""
     for batch in batches:
         for part in slices(batch):
-            lines, asked = _wanted(part)
-            k1, k2 = lines.whole(), lines.whole(1)
-            line, place, d1 = lines.without(asked, 0)
-            d2, at = lines.without(asked, 1)[2], place.astype(np.uint64) + np.uint64(1 << 40)
-            kinds = ((k1[asked], k2[asked], K, asked), (d1, d2, D, line), (mix(d1 + at), mix(d2 + at), S, line))
-            of = np.concatenate([x[3] for x in kinds])
-            row = pa.array(lines.row[of])
-            columns = [
-                _longs(np.concatenate([x[0] for x in kinds])), _longs(np.concatenate([x[1] for x in kinds])), pa.array(np.concatenate([np.full(len(x[3]), x[2], np.int32) for x in kinds])),
-                part.column("id").take(row), part.column("none").take(row), pa.array(lines.number[of], pa.int32()), _longs(k1[of]), _longs(k2[of]),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in VARIANTS.split(", ")])
+            lines, asked, rank = _wanted(part)
+            line, place, rest = lines.without(asked, 0)
+            of_line = np.repeat(rank, lines.size[asked])
+            with_place = mix(rest + place.astype(np.uint64) + np.uint64(1 << 40))
+            code = np.concatenate([4 * x + k for k, x in ((K, rank), (D, of_line), (S, of_line))])
+            yield pa.RecordBatch.from_arrays([_longs(np.concatenate([lines.whole()[asked], rest, with_place])), pa.array(code)], ["variant", "code"])
         give_back()
 
 
 def _texts_of_lines(batches):
-    """(k1, k2, line) of the lines that are asked for."""
+    """(rank, line) of the lines that are asked for."""
     for batch in batches:
         for part in slices(batch):
-            lines, asked = _wanted(part)
-            yield pa.RecordBatch.from_arrays([_longs(lines.whole()[asked]), _longs(lines.whole(1)[asked]), lines.strings.take(pa.array(lines.used[asked]))], ["k1", "k2", "line"])
+            lines, asked, rank = _wanted(part)
+            yield pa.RecordBatch.from_arrays([pa.array(rank), lines.strings.take(pa.array(lines.used[asked]))], ["rank", "line"])
 
 
 def within_one(a: list, b: list) -> bool:
@@ -158,10 +156,10 @@ def within_one(a: list, b: list) -> bool:
 
 
 def _verified(batches):
-    """Of rows (k1, k2, least, a, b) those whose lines a and b are within the bound."""
+    """Of rows (rank, other, a, b) those whose lines a and b are within the bound."""
     for batch in batches:
         words = (([w for w in x.encode().split() if w] for x in batch.column(c).to_pylist()) for c in ("a", "b"))
-        yield batch.select(["k1", "k2", "least"]).filter(pa.array([within_one(a, b) for a, b in zip(*words)], pa.bool_()))
+        yield batch.select(["rank", "other"]).filter(pa.array([within_one(a, b) for a, b in zip(*words)], pa.bool_()))
 
 
 #: Where a line stands, rows without an id last.
@@ -180,28 +178,31 @@ def line_dedup(docs: DataFrame, carry: bool = False) -> DataFrame:
     told by 128 bits of hash.
     """
     texts = with_id(whole_texts(docs, carry)).withColumn("hash", F.xxhash64("text"))
-    lines = cut(texts.select("id", "none", "hash", "text").mapInArrow(_lines, LINES))
-    place = F.struct(*PLACE)
+    row, place = ["id", "none", "hash"], F.struct(*PLACE)
+    lines = cut(texts.select(*row, "text").mapInArrow(_lines, LINES))
     first = lines.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE, "hash")).alias("first"))
     halves = lines.select(F.explode("halves").alias("half"), "k1", "k2")
-    shared = halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half")
-    live = first.join(halves.join(shared, "half", "left_semi").select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-    numbers = cut(live.select("first.*").groupBy("id", "none", "hash").agg(F.collect_set("number").alias("numbers")))
-    asked = texts.select("id", "none", "hash", "text").join(numbers, ["id", "none", "hash"]).select("id", "none", "text", "numbers")
-    variants = asked.mapInArrow(_variants, VARIANTS)
-    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct(*PLACE, "k1", "k2")))
-    least = variants.groupBy("v1", "v2").agg(of(K).alias("k"), of(D).alias("d"), of(S).alias("s"), F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    shared = cut(halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half"))
+    with_shared = halves.where(sieve(shared)(F.col("half"))).join(shared, "half", "left_semi").select("k1", "k2").distinct()
+    # Distinct lines by place: their ranks order as the lines do, and stand for them from here on.
+    live = cut(first.join(with_shared, ["k1", "k2"], "left_semi").select("k1", "k2", "first.*").orderBy(*PLACE).withColumn("rank", F.monotonically_increasing_id()))
+    asked = live.groupBy(*row).agg(F.collect_list(F.struct("number", "rank")).alias("asked"))
+    asked = texts.where(sieve(live.select("hash"))(F.col("hash"))).select(*row, "text").join(asked.hint("shuffle_hash"), row).select("text", "asked")
+    variants = asked.mapInArrow(_variants, VARIANTS).select("variant", F.shiftright("code", 2).alias("rank"), F.expr("code & 3").alias("kind"))
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("rank")))
+    least = variants.groupBy("variant").agg(of(K).alias("k"), of(D).alias("d"), of(S).alias("s"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo <> hi").drop("lo", "hi")
     other = F.when(F.col("kind") == K, F.col("d")).when(F.col("kind") == D, F.col("k")).otherwise(F.col("s"))
-    met = variants.join(least, ["v1", "v2"]).select("k1", "k2", place.alias("place"), other.alias("o"))
-    earlier = met.where(F.struct(*[F.col("o")[c].alias(c) for c in PLACE]) < F.col("place"))
-    pairs = earlier.select("k1", "k2", F.struct(*[F.col("o")[c].alias(c) for c in PLACE]).alias("least"), F.col("o.k1").alias("o1"), F.col("o.k2").alias("o2")).distinct()
-    words = cut(asked.mapInArrow(_texts_of_lines, "k1 long, k2 long, line string").dropDuplicates(["k1", "k2"]))
-    told = cut(pairs).join(words.withColumnRenamed("line", "a"), ["k1", "k2"])
-    told = told.join(words.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("line").alias("b")), ["o1", "o2"]).select("k1", "k2", "least", "a", "b")
-    near = told.mapInArrow(_verified, "k1 long, k2 long, least struct<none:boolean,id:bigint,number:int>")
+    pairs = cut(variants.join(least, "variant").select("rank", other.alias("other")).where("other < rank").distinct())
+    words = cut(asked.mapInArrow(_texts_of_lines, "rank long, line string").dropDuplicates(["rank"]))
+    told = pairs.join(words.withColumnRenamed("line", "a"), "rank").join(words.select(F.col("rank").alias("other"), F.col("line").alias("b")), "other")
+    near = told.select("rank", "other", "a", "b").mapInArrow(_verified, "rank long, other long").groupBy("rank").agg(F.min("other").alias("other"))
+    earlier = live.select(F.col("rank").alias("other"), place.alias("least"))
+    near = live.select("k1", "k2", "rank").join(near, "rank").join(earlier, "other").select("k1", "k2", "least")
     bound = first.select("k1", "k2", F.struct(*[F.col("first")[c].alias(c) for c in PLACE]).alias("least")).unionByName(near).groupBy("k1", "k2").agg(F.min("least").alias("least"))
-    gone = lines.join(bound, ["k1", "k2"]).where(F.col("least") < place).groupBy("id", "none", "hash").agg(F.array_sort(F.collect_set("number")).alias("dropped"))
-    return _rebuilt(texts.join(gone, ["id", "none", "hash"], "left"), carry)
+    gone = cut(lines.join(bound, ["k1", "k2"]).where(F.col("least") < place).groupBy(*row).agg(F.array_sort(F.collect_set("number")).alias("dropped")))
+    hit = sieve(gone.select("hash"))(F.col("hash"))
+    whole = texts.where(~hit).withColumn("dropped", F.lit(None).cast("array<int>"))
+    return _rebuilt(whole.unionByName(texts.where(hit).join(gone.hint("shuffle_hash"), row, "left")), carry)
 
 
 def _rebuilt(told: DataFrame, carry: bool) -> DataFrame:
