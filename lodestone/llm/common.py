@@ -79,24 +79,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Slots of a sieve: a megabyte or so that is sent with a plan, whatever goes in.
-SIEVE_SLOTS = 1 << 20
+#: Slots of a sieve, 64 to a row of what is sent to all machines: a megabyte, whatever goes in.
+SIEVE_SLOTS = 1 << 22
 
 
-def sieve(keys: DataFrame):
-    """A test for a column of hashes that all of keys (one column of hashes, no nulls) pass and most others fail.
+def sieved(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df with ``_hit``: true where the hash in column is one of keys (one column of hashes, no nulls), and for few others.
 
-    It spares a join rows that have no partner; the join itself still decides. With more keys than slots it lets most rows through.
+    It spares a join rows that have no partner; the join itself still decides. With more keys than slots most others are hit too.
     """
-    import numpy as np
-
-    slot = F.pmod(F.col(keys.columns[0]), F.lit(SIEVE_SLOTS))
-    slots = keys.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS word", "shiftleft(1L, cast(slot & 63 AS int)) AS bit")
-    table = np.zeros(SIEVE_SLOTS // 64, np.int64)
-    for word, bits in slots.groupBy("word").agg(F.bit_or("bit")).collect():
-        table[word] = bits
-    flags = bytes(np.unpackbits(table.view(np.uint8), bitorder="little"))
-    return lambda x: F.substring(F.lit(flags), (F.pmod(x, F.lit(SIEVE_SLOTS)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+    slot = lambda x: F.pmod(F.col(x), F.lit(SIEVE_SLOTS))
+    bit = F.expr("shiftleft(1L, cast(_slot & 63 as int))")
+    bits = keys.select(slot(keys.columns[0]).alias("_slot")).select(F.shiftright("_slot", 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    told = df.withColumn("_slot", slot(column)).withColumns({"_at": F.shiftright("_slot", 6), "_bit": bit})
+    told = told.join(F.broadcast(bits), F.col("_at") == F.col("_word"), "left")
+    return told.withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).select(*df.columns, "_hit")
 
 
 def give_back() -> None:
