@@ -2,7 +2,8 @@
 
 Places of matches come from cutting the text at the matches: lengths of what lies between, added up. The entropy of a window of
 ``WINDOW`` characters is log2(WINDOW) - S / WINDOW with S the sum of c*log2(c) over its character counts c; sliding by one character
-changes S by two terms, which is how it is kept.
+takes one off a count and adds one to another, and changes S by their terms. The counts go along in a string, a character for each of
+ALPHABET and one for all others.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import bind, read_table, whole_texts
+from .common import LOWER, UPPER, bind, read_table, whole_texts
 
 #: kind, pattern, group that is measured, characters it needs. The order breaks ties of a common start.
 BASE = [
@@ -24,6 +25,7 @@ WINDOW = 20
 #: Matches laid out at a time: what has been laid is copied for each match, so a text's many matches go in blocks.
 BLOCK = 256
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+ALPHABET = UPPER + LOWER + "0123456789+/_=-"
 #: Character class (kind, what a candidate must match): bits of entropy that some window must reach. The first that matches counts.
 CLASSES = [
     ("entropy_hex", r"^[0-9A-Fa-f]+$", 3.0), ("entropy_base64", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", 3.9), ("entropy_lower", r"^(?=.*[0-9])(?=.*[a-z])", 3.7),
@@ -63,21 +65,28 @@ def _term(count: Column) -> Column:
 
 
 def peak_entropy(candidate: Column) -> Column:
-    """The greatest entropy in bits of any window of the candidate (at least WINDOW characters), by incremental counts."""
+    """The greatest entropy in bits of any window of the candidate (at least WINDOW characters of ALPHABET), by incremental counts."""
+    slot = lambda x: F.call_function("locate", x, F.lit(ALPHABET)) + 1
 
-    def among(chars: Column, start: Column, n: int, x: Column) -> Column:
-        return F.size(F.filter(F.slice(chars, start, n), lambda y: y == x))
+    def changed(state: Column, x: Column, by: int) -> Column:
+        """The state (counts, S) with one more or less of x."""
+
+        def put(at: Column) -> Column:
+            count = lambda counts: F.ascii(F.substring(counts, at, F.lit(1))) - 48
+            return bind(count(state["counts"]), lambda c: F.struct(F.overlay(state["counts"], F.char(c + 48 + by), at).alias("counts"), (state["s"] - _term(c) + _term(c + by)).alias("s")))
+
+        return bind(slot(x), put)
 
     def slid(chars: Column) -> Column:
-        first = F.aggregate(F.array_distinct(F.slice(chars, 1, WINDOW)), F.lit(0.0), lambda s, x: s + _term(among(chars, F.lit(1), WINDOW, x)))
+        none = F.struct(F.lit("0" * (len(ALPHABET) + 1)).alias("counts"), F.lit(0.0).alias("s"))
+        first = F.aggregate(F.slice(chars, 1, WINDOW), none, lambda state, x: changed(state, x, 1))
 
-        def step(acc: Column, i: Column) -> Column:  # the window moves from starting at i to starting at i + 1; WINDOW - 1 characters stay
-            gone, new = F.get(chars, i - 1), F.get(chars, i + WINDOW - 1)
-            left, came = among(chars, i + 1, WINDOW - 1, gone), among(chars, i + 1, WINDOW - 1, new)
-            return bind(acc["s"] - _term(left + 1) + _term(left) + _term(came + 1) - _term(came), lambda s: F.struct(s.alias("s"), F.least(acc["least"], s).alias("least")))
+        def step(acc: Column, i: Column) -> Column:  # the window moves from starting at i to starting at i + 1
+            moved = bind(changed(acc["state"], F.get(chars, i - 1), -1), lambda state: changed(state, F.get(chars, i + WINDOW - 1), 1))
+            return bind(moved, lambda state: F.struct(state.alias("state"), F.least(acc["least"], state["s"]).alias("least")))
 
         moves = F.when(F.size(chars) > WINDOW, F.sequence(F.lit(1), F.size(chars) - WINDOW)).otherwise(F.array().cast("array<int>"))
-        least = bind(first, lambda s: F.aggregate(moves, F.struct(s.alias("s"), s.alias("least")), step, lambda acc: acc["least"]))
+        least = bind(first, lambda state: F.aggregate(moves, F.struct(state.alias("state"), state["s"].alias("least")), step, lambda acc: acc["least"]))
         return F.lit(math.log2(WINDOW)) - least / WINDOW
 
     return bind(F.filter(F.split(candidate, ""), lambda x: x != ""), slid)
@@ -113,7 +122,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """doc_id, text and ``base`` and ``added``: arrays of (start, k, end, kind), by start, in code points with the end exclusive.
 
     Nulls: a null text is empty and has no spans; a null doc_id stays null. Repeated rows are scanned row by row, spans that start
-    together are told apart by the order of kinds, an empty table gives an empty table, and other columns are left behind.
+    together are told apart by the order of kinds, very long texts are scanned whole, their spans laid out in blocks, an empty table gives
+    an empty table, and other columns are left behind.
     """
     one = lambda k, kind, pattern, group, least: F.transform(
         F.filter(_matches(F.col("text"), pattern, group), lambda x: F.length(x["found"]) >= least),
