@@ -1,13 +1,20 @@
-"""An updatable nearest-neighbour index kept as a table of records (level, bucket, vec_id, embedding).
+"""An updatable nearest-neighbour index kept as Parquet folders of records (level, bucket, vec_id, embedding).
 
-Levels grow by ``arity``; each has a router that names likely buckets. The buffer is level -1. All verbs work on DataFrames; an index
-is immutable state that each verb replaces, so a reader never sees half a change.
+Levels grow by ``arity``; each has a router that names likely buckets. The buffer is level -1. A level is a list of parts, folders that
+are written once: a verb writes parts for the rows it moves, and the levels it doesn't touch keep theirs. How many rows a bucket holds
+is known without a scan. Levels from ``cold_threshold_level`` on lie in ``cold_storage_dir``, a folder a bucket, from the start.
+
+Parts that a verb replaces are removed when the next one has been done, so what was asked of the index before can still be read then.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,44 +24,126 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from .config import IndexConfig, TrainParams
 from .functions import distance
 from .operators import leveling
-from .operators.exact import matrix
+from .operators.exact import matrix, nearest
 from .operators.router import Router, packed, train_mlp, unpacked
-from .sources.storage import numbered, read_text, settled, shared_folder, write_text
+from .sources.storage import numbered, read_text, removed, shared_folder, write_text
 
 BUFFER = -1
 RECORDS = "level int, bucket int, vec_id long, embedding array<float>"
 DEFAULT_K, DEFAULT_CANDIDATES = 10, 30_000
 #: Ways to choose the buckets of a search: by the routers' predictions.
 STRATEGIES = ("model",)
-#: Bucket pairs listed as a partition filter of a cold scan; beyond that the join alone selects.
+#: Buckets of a level listed as a filter of its scan; beyond that the level is read.
 MOST_LISTED = 200
+#: Rows of a bucket that a search compares in one task, and cells (queries by buckets) that it ranks at a time.
+PIECE, CELLS = 1 << 17, 1 << 22
 
 Factory = Callable[[DataFrame, int, int, IndexConfig], Router]
 
 
 def prepared(vectors: DataFrame, config: IndexConfig) -> DataFrame:
-    """vec_id and embedding; another number of elements raises when rows are read."""
+    """vec_id and embedding; rows that lack either are left out, another number of elements raises when rows are read."""
     wrong = F.raise_error(F.lit(f"vectors must have {config.input_shape} elements"))
     checked = F.when(F.size("embedding") == config.input_shape, F.col("embedding").cast("array<float>")).otherwise(wrong)
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), checked.alias("embedding"))
+    out = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), checked.alias("embedding"))
     return out.withColumn("embedding", half_column(F.col("embedding"))) if config.half else out
 
 
 def half_column(a):
     @F.pandas_udf("array<float>")
     def rounded(s):
-        return s.map(lambda x: distance.half(np.asarray(x, np.float32)))
+        return s.map(lambda x: None if x is None else distance.half(np.asarray(x, np.float32)))
 
     return rounded(a)
 
 
+@dataclass(frozen=True)
+class Part:
+    """A folder of records of one level; cold ones have a folder a bucket."""
+
+    path: str
+    cold: bool = False
+
+
 class VectorIndex:
     def __init__(self, spark: SparkSession, config: IndexConfig, factory: Factory = train_mlp):
         self.spark, self.config, self.factory = spark, config, factory
         self.routers: list[Router] = []
-        self.records = spark.createDataFrame([], RECORDS)
-        self.levels: list[int] = []
-        self.buffered = 0
+        self.parts: dict[int, list[Part]] = {}
+        #: Rows of each bucket of each level; the buffer has one bucket.
+        self.counts: dict[int, np.ndarray] = {BUFFER: np.zeros(1, np.int64)}
+        self._own: set[Part] = set()
+        self._replaced: list[Part] = []
+        self._cold_cache: OrderedDict[tuple[int, int], None] = OrderedDict()
+        self._cached: DataFrame | None = None
+
+    def copy(self, **changes) -> VectorIndex:
+        """An index of the same rows, with changes of the configuration, that leaves this one's folders alone."""
+        out = VectorIndex(self.spark, self.config.with_(**changes), self.factory)
+        out.routers, out.parts = list(self.routers), {k: list(v) for k, v in self.parts.items()}
+        out.counts = {k: v.copy() for k, v in self.counts.items()}
+        return out
+
+    @property
+    def levels(self) -> list[int]:
+        """Rows of each level."""
+        return [int(self.counts[i].sum()) for i in range(len(self.routers))]
+
+    @property
+    def buffered(self) -> int:
+        return int(self.counts[BUFFER].sum())
+
+    # -- parts
+
+    def is_cold(self, level: int) -> bool:
+        c = self.config
+        return c.cold_storage_dir is not None and c.cold_threshold_level is not None and level >= c.cold_threshold_level
+
+    def level_rows(self, level: int, buckets: list[int] | None = None) -> DataFrame:
+        """The level's records, of the named buckets alone if there are few."""
+        rows = [self.spark.read.schema("bucket int, vec_id long, embedding array<float>").option("basePath", p.path).parquet(p.path) for p in self.parts.get(level, [])]
+        out = reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], "bucket int, vec_id long, embedding array<float>")
+        if buckets is not None and len(buckets) <= MOST_LISTED:
+            out = out.where(F.col("bucket").isin([int(b) for b in buckets]))
+        return out.select(F.lit(level).alias("level"), "bucket", "vec_id", "embedding")
+
+    @property
+    def records(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.level_rows(i) for i in (*range(len(self.routers)), BUFFER)])
+
+    def _write(self, rows: DataFrame, levels: list[int]) -> None:
+        """Adds rows (level, bucket, vec_id, embedding) to their levels, which are among levels: hot ones in one job, cold ones in another."""
+        for cold in (False, True):
+            own = [i for i in levels if self.is_cold(i) == cold]
+            if not own:
+                continue
+            path = f"{(self.config.cold_storage_dir if cold else shared_folder(self.spark)).rstrip('/')}/index-{uuid.uuid4().hex}"
+            some = rows.where(F.col("level").isin(own))
+            # a rebalance, not a repartition: a bucket of many rows is split over several tasks and files
+            (some.hint("rebalance", "level", "bucket") if cold else some).write.partitionBy("level", *["bucket"] * cold).parquet(path)
+            held = self.spark.read.schema("vec_id long, bucket int, level int").parquet(path).groupBy("level", "bucket").agg(F.count(F.lit(1)).alias("n"))
+            for r in held.collect():
+                self.counts[r["level"]][r["bucket"]] += r["n"]
+                part = Part(f"{path}/level={r['level']}", cold)
+                if part not in self.parts.setdefault(r["level"], []):
+                    self.parts[r["level"]].append(part)
+                    self._own.add(part)
+
+    def _emptied(self, levels) -> list[Part]:
+        """Forgets the rows of levels, whose parts it returns."""
+        gone = [p for i in levels for p in self.parts.pop(i, [])]
+        for i in levels:
+            self.counts[i] = np.zeros_like(self.counts[i])
+        return gone
+
+    def _done(self, gone: list[Part]) -> VectorIndex:
+        """Ends a verb that replaced parts."""
+        for p in self._replaced:
+            removed(self.spark, p.path)
+        self._replaced = [p for p in gone if p in self._own]
+        self._own -= set(gone)
+        self.invalidate_cold_cache()
+        return self
 
     # -- inserting
 
@@ -75,66 +164,79 @@ class VectorIndex:
         return rows.select("level", "vec_id", "embedding").mapInArrow(route, RECORDS)
 
     def insert(self, vectors: DataFrame, order: list[str] | None = None) -> VectorIndex:
-        """Appends rows in the given order. Placement depends on counts alone, so every row moves once, straight to its last level."""
+        """Appends rows in the given order. Placement depends on counts alone, so every row moves once, straight to its last level.
+
+        Rows that lack an id or a vector are left out. What fits into the buffer is written there, and nothing else is.
+        """
         rows, n = numbered(prepared(vectors, self.config), order or ["vec_id"])
         if not n:
             return self
-        state = leveling.State.of(self.config, self.levels, self.buffered)
+        had = self.levels
+        state = leveling.State.of(self.config, had, self.buffered)
         state.insert(n)
-        origin = {"old": {}, "new": []}
+        stays: dict[int, int] = {}
+        news = []
         for level, segments in [*enumerate(state.levels), (BUFFER, state.buffer)]:
             for o, size in segments:
                 if o[0] == "new":
-                    origin["new"].append((o[1], o[1] + size, level))
+                    news.append((o[1], o[1] + size, level))
                 else:
-                    origin["old"][o[1] if o[0] == "level" else BUFFER] = level
+                    stays[o[1] if o[0] == "level" else BUFFER] = level
+        of_new = lambda parts: reduce(lambda a, b: a | b, [F.col("seq").between(o[1], o[1] + size - 1) for o, size in parts if o[0] == "new"], F.lit(False))
         for level in sorted(state.trained_on):
             parts = state.trained_on[level]
-            old = [o[1] if o[0] == "level" else BUFFER for o, _ in parts if o[0] != "new"]
-            news = F.lit(False)
-            for o, size in parts:
-                if o[0] == "new":
-                    news = news | F.col("seq").between(o[1], o[1] + size - 1)
-            founding = self.records.where(F.col("level").isin(old)).select("vec_id", "embedding").unionByName(rows.where(news).select("vec_id", "embedding"))
+            founding = self._founding([o[1] if o[0] == "level" else BUFFER for o, _ in parts if o[0] != "new"], rows.where(of_new(parts)))
             self.routers.append(self.factory(founding, sum(s for _, s in parts), level, self.config))
+            self.counts[level] = np.zeros(self.config.n_buckets(level), np.int64)
+        moved = [k for k, v in stays.items() if k != v]
+        if self.config.train.retrain_strategy == "from_scratch":  # a level that was empty is trained on what it gets
+            for level in range(len(had)):
+                if not had[level] and (parts := state.levels[level]):
+                    founding = self._founding([k for k in moved if stays[k] == level], rows.where(of_new(parts)))
+                    self.routers[level] = self.factory(founding, sum(s for _, s in parts), level, self.config)
         target = F.lit(None).cast("int")
-        for a, b, level in origin["new"]:
+        for a, b, level in news:
             target = F.when(F.col("seq").between(a, b - 1), F.lit(level)).otherwise(target)
-        moved = [k for k, v in origin["old"].items() if k != v]
-        place = F.col("level")
-        for k in moved:
-            place = F.when(F.col("level") == k, F.lit(origin["old"][k])).otherwise(place)
-        stay = self.records.where(~F.col("level").isin(moved)) if moved else self.records
-        coming = rows.withColumn("level", target).select("level", "vec_id", "embedding")
-        if moved:
-            coming = coming.unionByName(self.records.where(F.col("level").isin(moved)).withColumn("level", place.cast("int")).select("level", "vec_id", "embedding"))
-        return self._replaced(stay.unionByName(self._routed(coming)), [state.occupied(i) for i in range(len(state.levels))], state.buffered())
+        coming = [rows.withColumn("level", target).select("level", "vec_id", "embedding")]
+        coming += [self.level_rows(k).select(F.lit(stays[k]).alias("level"), "vec_id", "embedding") for k in moved]
+        routed = self._routed(reduce(DataFrame.unionByName, coming))
+        gone = self._emptied(moved)
+        self._write(routed, sorted({level for _, _, level in news} | {stays[k] for k in moved}))
+        return self._done(gone)
 
     insert_bulk = insert
 
+    def _founding(self, levels: list[int], rows: DataFrame) -> DataFrame:
+        """vec_id and embedding of the rows and of those in levels."""
+        return reduce(DataFrame.unionByName, [self.level_rows(k).select("vec_id", "embedding") for k in levels], rows.select("vec_id", "embedding"))
+
     def upsert(self, vectors: DataFrame, order: list[str] | None = None) -> VectorIndex:
+        """Replaces rows by id. Of rows that name an id twice the last by order counts, of equals the greatest vector."""
+        named = vectors.where("vec_id is not null and embedding is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id"))
+        others = [c for c in order or [] if c != "vec_id"]
+        last = named.agg(F.max(F.struct(*others, F.col("embedding"))).alias("last"))
         self.delete(vectors.select("vec_id"))
-        return self.insert(vectors, order)
-
-    def _replaced(self, records: DataFrame, levels: list[int] | None = None, buffered: int | None = None) -> VectorIndex:
-        self.records = settled(records)
-        if levels is None:
-            counts = {r["level"]: r["n"] for r in self.records.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
-            levels, buffered = [counts.get(i, 0) for i in range(len(self.routers))], counts.get(BUFFER, 0)
-        self.levels, self.buffered = levels, buffered
-        return self
+        return self.insert(last.select("vec_id", *[F.col("last")[c].alias(c) for c in others], F.col("last.embedding").alias("embedding")), order)
 
     # -- deleting
 
     def delete(self, ids: DataFrame) -> int:
-        """Removes all rows whose vec_id is among ids, then rebuilds levels that became underutilized. Returns how many went."""
-        before = sum(self.levels) + self.buffered
-        had = list(self.levels)
-        self._replaced(self.records.join(ids.select("vec_id").distinct(), "vec_id", "left_anti").select("level", "bucket", "vec_id", "embedding"))
-        for level in range(len(self.levels)):
-            if self.levels[level] < had[level] and leveling.underutilized(self.config, level, self.levels[level]):
+        """Removes all rows whose vec_id is among ids, then rebuilds levels that became underutilized. Returns how many went.
+
+        Only levels that hold such rows are written anew.
+        """
+        ids = ids.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
+        there = {r["level"]: r["n"] for r in self.records.select("level", "vec_id").join(ids, "vec_id", "left_semi").groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not there:
+            return 0
+        left = reduce(DataFrame.unionByName, [self.level_rows(i) for i in sorted(there)]).join(ids, "vec_id", "left_anti").select("level", "bucket", "vec_id", "embedding")
+        gone = self._emptied(there)
+        self._write(left, sorted(there))
+        self._done(gone)
+        for level in sorted(x for x in there if x != BUFFER):
+            if leveling.underutilized(self.config, level, self.levels[level]):
                 self.rebuild(level)
-        return before - sum(self.levels) - self.buffered
+        return sum(there.values())
 
     def rebuild(self, level: int) -> None:
         strategy = self.config.rebuild_strategy
@@ -147,21 +249,23 @@ class VectorIndex:
                 moves = [(BUFFER, 0)]
         else:
             moves = leveling.greedy_moves(self.config, self.levels, level)
-        if not moves:
-            return
-        to = dict(moves)
-        place = F.col("level")
-        for a, b in moves:
-            place = F.when(F.col("level") == a, F.lit(b)).otherwise(place)
-        coming = self.records.where(F.col("level").isin(list(to))).withColumn("level", place.cast("int"))
-        self._replaced(self.records.where(~F.col("level").isin(list(to))).unionByName(self._routed(coming)))
+        if moves:
+            coming = reduce(DataFrame.unionByName, [self.level_rows(a).withColumn("level", F.lit(b)) for a, b in moves])
+            routed = self._routed(coming)
+            gone = self._emptied([a for a, _ in moves])
+            self._write(routed, sorted({b for _, b in moves}))
+            self._done(gone)
 
     def retrain(self, level: int) -> None:
-        """Trains the level's router anew on its rows and routes them again."""
-        if self.levels[level]:
-            own = self.records.where(F.col("level") == level)
-            self.routers[level] = self.factory(own.select("vec_id", "embedding"), self.levels[level], level, self.config)
-            self._replaced(self.records.where(F.col("level") != level).unionByName(self._routed(own)))
+        """With the strategy from_scratch, trains the level's router anew on its rows and routes them again; else does nothing."""
+        if self.config.train.retrain_strategy != "from_scratch" or not self.levels[level]:
+            return
+        own = self.level_rows(level)
+        self.routers[level] = self.factory(own.select("vec_id", "embedding"), self.levels[level], level, self.config)
+        routed = self._routed(own)
+        gone = self._emptied([level])
+        self._write(routed, [level])
+        self._done(gone)
 
     # -- searching
 
@@ -177,60 +281,145 @@ class VectorIndex:
                     p = shipped.value[i].probabilities(vectors) if len(qid) else np.zeros((0, 1))
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, p.shape[1])), pa.array(np.full(p.size, i, np.int32)), pa.array(np.tile(np.arange(p.shape[1], dtype=np.int32), len(qid))), pa.array(p.ravel())], ["qid", "level", "bucket", "prob"])
 
-        return queries.select("qid", "qv").mapInArrow(predict, "qid long, level int, bucket int, prob double")
+        return _asked(queries).mapInArrow(predict, "qid long, level int, bucket int, prob double")
 
-    def bucket_counts(self) -> DataFrame:
-        return self.records.groupBy("level", "bucket").agg(F.count(F.lit(1)).alias("occ"))
+    def _ranked(self, queries: DataFrame, n_candidates: int | None, found, schema: str) -> DataFrame:
+        """found(batch, rows, places, priority, occ, before) for the buckets of each query, best first, that the budget reaches.
 
-    def candidates(self, queries: DataFrame) -> DataFrame:
+        rows are places in the batch, places among (levels, buckets), both of them shipped with what each bucket holds.
+        """
+        used = [i for i, n in enumerate(self.levels) if n]
+        shipped = self.spark.sparkContext.broadcast({i: self.routers[i] for i in used})
+        occ = np.concatenate([np.zeros(0, np.int64), *(self.counts[i] for i in used), *([self.counts[BUFFER]] if self.buffered else [])])
+        scale = np.repeat([float(self.config.arity) ** i for i in used], [len(self.counts[i]) for i in used])
+
+        def rank(batches):
+            for whole in batches:
+                for at in range(0, whole.num_rows, max(1, CELLS // max(1, len(occ)))):
+                    batch = whole.slice(at, max(1, CELLS // max(1, len(occ))))
+                    vectors = matrix(batch.column("qv"))
+                    p = [shipped.value[i].probabilities(vectors) for i in used]
+                    priority = np.round(np.concatenate([np.zeros((len(vectors), 0)), *p], axis=1).clip(0) * scale, 9)
+                    priority = np.concatenate([priority, np.ones((len(vectors), len(occ) - len(scale)))], axis=1)
+                    order = np.argsort(-np.where(occ > 0, priority, -1), axis=1, kind="stable")
+                    held = occ[order]
+                    before = np.cumsum(held, axis=1) - held
+                    row, k = np.nonzero((held > 0) & (before < (np.inf if n_candidates is None else n_candidates)))
+                    yield found(batch, row, order[row, k], priority[row, order[row, k]], held[row, k], before[row, k])
+
+        return _asked(queries).mapInArrow(rank, schema)
+
+    def _places(self, stored: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Levels and buckets in the order that ``_ranked`` has them; the buffer as it is stored, or as the level after the last."""
+        used = [i for i, n in enumerate(self.levels) if n]
+        end = (BUFFER, 0) if stored else (len(self.levels), sum(self.config.n_buckets(i) for i in range(len(self.levels))))
+        sizes = [len(self.counts[i]) for i in used]
+        return np.append(np.repeat(used, sizes), end[0]).astype(np.int32), np.append(np.concatenate([np.zeros(0), *map(np.arange, sizes)]), end[1]).astype(np.int32)
+
+    def candidates(self, queries: DataFrame, n_candidates: int | None = None) -> DataFrame:
         """(qid, level, bucket, priority, occ, before): non-empty buckets, and the rows that come before each. The buffer stands as the level after the last."""
-        last, n = len(self.levels), sum(self.config.n_buckets(i) for i in range(len(self.levels)))
-        counts = self.bucket_counts()
-        priority = F.pow(F.lit(float(self.config.arity)), F.col("level")) * F.greatest("prob", F.lit(0.0))
-        routed = self.predictions(queries).join(counts.where(f"level <> {BUFFER}"), ["level", "bucket"]).select("qid", "level", "bucket", F.round(priority, 9).alias("priority"), "occ")
-        if self.buffered:
-            routed = routed.unionByName(queries.select("qid", F.lit(last).alias("level"), F.lit(n).alias("bucket"), F.lit(1.0).alias("priority"), F.lit(self.buffered).cast("long").alias("occ")))
-        order = Window.partitionBy("qid").orderBy(F.col("priority").desc(), "level", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-        return routed.withColumn("before", F.coalesce(F.sum("occ").over(order), F.lit(0)).cast("long"))
+        level, bucket = self._places(False)
+
+        def found(batch, row, place, priority, occ, before):
+            columns = [batch.column("qid").take(pa.array(row)), pa.array(level[place]), pa.array(bucket[place]), pa.array(priority), pa.array(occ), pa.array(before)]
+            return pa.RecordBatch.from_arrays(columns, ["qid", "level", "bucket", "priority", "occ", "before"])
+
+        return self._ranked(queries, n_candidates, found, "qid long, level int, bucket int, priority double, occ long, before long")
 
     def selected(self, queries: DataFrame, n_candidates: int) -> DataFrame:
-        return self.candidates(queries).where(F.col("before") < n_candidates)
+        return self.candidates(queries, n_candidates)
 
     def search(self, queries: DataFrame, k: int = DEFAULT_K, n_candidates: int = DEFAULT_CANDIDATES, search_strategy: str = "model") -> DataFrame:
-        """(qid, rank, vec_id, score) for each of queries (qid, qv): the k nearest among the buckets that the budget reaches, ties by vec_id."""
+        """(qid, rank, vec_id, score) for each of queries (qid, qv): the k nearest among the buckets that the budget reaches, ties by vec_id.
+
+        Only buckets that some query chose are read. Queries meet a bucket's rows in one task a piece of PIECE rows, as products of
+        matrices, and k rows a query leave it. Queries that lack an id or a vector find nothing.
+        """
         if search_strategy not in STRATEGIES:
             raise ValueError(f"unknown search strategy {search_strategy!r}")
-        last, n = len(self.levels), sum(self.config.n_buckets(i) for i in range(len(self.levels)))
-        stored = F.when(F.col("level") == last, F.lit(BUFFER)).otherwise(F.col("level")).alias("level"), F.when(F.col("level") == last, F.lit(0)).otherwise(F.col("bucket")).alias("bucket")
-        chosen = self.selected(queries, n_candidates).select("qid", *stored)
-        near = distance.dot if self.config.distance_fn == "dot" else distance.l2
-        pairs = self.records.join(chosen, ["level", "bucket"]).join(queries.select("qid", "qv"), "qid")
-        scored = pairs.select("qid", "vec_id", near(F.col("embedding"), F.col("qv")).alias("score"))
-        nearest = F.col("score").desc() if self.config.distance_fn == "dot" else F.col("score")
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(nearest, "vec_id")).cast("long")
-        return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "score")
+        level, bucket = self._places(True)
+        counts = np.array([self.counts[i][b] for i, b in zip(level.tolist(), bucket.tolist())])
+        pieces = np.maximum(1, -(-counts // PIECE)).astype(np.int32)
+
+        def found(batch, row, place, *_):
+            n = pieces[place]
+            row, place = np.repeat(row, n), np.repeat(place, n)
+            piece = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            columns = [pa.array(level[place]), pa.array(bucket[place]), pa.array(piece), *(batch.column(c).take(pa.array(row)) for c in ("qid", "qv"))]
+            return pa.RecordBatch.from_arrays(columns, ["level", "bucket", "piece", "qid", "qv"])
+
+        chosen = self._ranked(queries, n_candidates, found, "level int, bucket int, piece int, qid long, qv array<double>")
+        by_level: dict[int, list[int]] = {}
+        for r in chosen.select("level", "bucket").distinct().collect():  # as many as the index has buckets, at most
+            by_level.setdefault(r["level"], []).append(r["bucket"])
+        if not by_level:
+            return self.spark.createDataFrame([], "qid long, rank long, vec_id long, score double")
+        rows = self._read(by_level)
+        large = [(int(i), int(b), int(n)) for i, b, n in zip(level, bucket, pieces) if n > 1]
+        if large:
+            dealt = self.spark.createDataFrame(large, "level int, bucket int, pieces int")
+            rows = rows.join(F.broadcast(dealt), ["level", "bucket"], "left").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+        else:
+            rows = rows.withColumn("piece", F.lit(0))
+        metric = self.config.distance_fn
+
+        def near(key, left, right):
+            out = [nearest(metric, right["vec_id"].to_numpy(), matrix(right["embedding"].combine_chunks()), part["qid"].to_numpy(), matrix(part["qv"].combine_chunks()), k) for part in (left.slice(a, 1024) for a in range(0, left.num_rows, 1024)) if right.num_rows]
+            return pa.table(dict(zip(["qid", "vec_id", "near"], (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((np.int64, np.int64, np.float64), list(zip(*out)) or [[]] * 3)))))
+
+        keys = ["level", "bucket", "piece"]
+        met = chosen.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(near, "qid long, vec_id long, near double")
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("near").desc(), "vec_id")).cast("long")
+        return met.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "vec_id", (F.col("near") if metric == "dot" else -F.col("near")).alias("score"))
 
     search_bulk = search
 
-    def search_one(self, vector, k: int = DEFAULT_K, n_candidates: int = DEFAULT_CANDIDATES) -> list[int]:
-        query = self.spark.createDataFrame([(0, [float(x) for x in vector])], "qid long, qv array<float>")
-        return [r["vec_id"] for r in self.search(query, k, n_candidates).orderBy("rank").collect()]
+    def search_one(self, vector, k: int = DEFAULT_K, n_candidates: int = DEFAULT_CANDIDATES, search_strategy: str = "model") -> list[int]:
+        query = self.spark.createDataFrame([(0, [float(x) for x in vector])], "qid long, qv array<double>")
+        return [r["vec_id"] for r in self.search(query, k, n_candidates, search_strategy).orderBy("rank").collect()]
+
+    def _read(self, by_level: dict[int, list[int]]) -> DataFrame:
+        """The rows of the chosen buckets. Cold ones that the cache has room for are read from it, the last used ones stay."""
+        cold = [(i, b) for i, buckets in by_level.items() for b in sorted(buckets) if any(p.cold for p in self.parts.get(i, []))]
+        room = distance.cached_buckets(self.config.cold_cache_size_bytes, self.config.bucket_size, self.config.input_shape) if self.config.cold_cache_size_bytes else 0
+        wanted, kept = cold[:room], set(self._cold_cache)
+        if wanted:
+            for x in wanted:
+                self._cold_cache[x] = None
+                self._cold_cache.move_to_end(x)
+            while len(self._cold_cache) > room:
+                self._cold_cache.popitem(last=False)
+            if not set(wanted) <= kept or self._cached is None:
+                before, self._cached = self._cached, self.scan(list(self._cold_cache)).persist()
+                if before is not None:
+                    before.unpersist()
+        left = {i: [b for b in buckets if (i, b) not in set(wanted)] for i, buckets in by_level.items()}
+        rows = [self.level_rows(i, buckets) for i, buckets in left.items() if buckets]
+        if wanted:
+            rows.append(self._cached.where(_any_of(wanted)))
+        return reduce(DataFrame.unionByName, rows)
+
+    def invalidate_cold_cache(self) -> None:
+        self._cold_cache.clear()
+        if self._cached is not None:
+            self._cached.unpersist()
+            self._cached = None
 
     # -- statistics
 
+    def bucket_counts(self) -> DataFrame:
+        """(level, bucket, occ) of buckets that hold rows."""
+        held = [(i, int(b), int(n[b])) for i, n in self.counts.items() for b in np.flatnonzero(n)]
+        return self.spark.createDataFrame(held, "level int, bucket int, occ long")
+
     def level_stats(self) -> DataFrame:
         """(level, n_buckets, capacity, occupied, n_empty) of every level, empty ones too."""
-        c = self.config
-        sizes = self.spark.createDataFrame([(i, c.n_buckets(i), c.capacity(i)) for i in range(len(self.levels))], "level int, n_buckets long, capacity long")
-        held = self.bucket_counts().groupBy("level").agg(F.sum("occ").alias("occupied"), F.count(F.lit(1)).alias("used"))
-        out = sizes.join(held, "level", "left").fillna(0, ["occupied", "used"])
-        return out.select("level", "n_buckets", "capacity", "occupied", (F.col("n_buckets") - F.col("used")).alias("n_empty"))
+        rows = [(i, self.config.n_buckets(i), self.config.capacity(i), n, int((self.counts[i] == 0).sum())) for i, n in enumerate(self.levels)]
+        return self.spark.createDataFrame(rows, "level int, n_buckets long, capacity long, occupied long, n_empty long")
 
     def bucket_stats(self) -> DataFrame:
         """(level, bucket, occupied) of every bucket, empty ones too."""
-        sizes = self.spark.createDataFrame([(i, self.config.n_buckets(i)) for i in range(len(self.levels))], "level int, n int")
-        frame = sizes.select("level", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bucket"))
-        return frame.join(self.bucket_counts(), ["level", "bucket"], "left").select("level", "bucket", F.coalesce("occ", F.lit(0)).cast("long").alias("occupied"))
+        return self.spark.createDataFrame([(i, b, int(n)) for i in range(len(self.routers)) for b, n in enumerate(self.counts[i])], "level int, bucket int, occupied long")
 
     def stats(self) -> DataFrame:
         """One row: n_levels, n_buckets, size (capacity with the buffer's), occupied, buffer_occupied, n_empty_buckets."""
@@ -239,57 +428,61 @@ class VectorIndex:
 
     def memory_usage(self) -> int:
         """Logical bytes of hot rows, the buffer and the routers; cold levels count nothing."""
-        cold = self.config.cold_threshold_level
-        hot = sum(n for i, n in enumerate(self.levels) if cold is None or self.config.cold_storage_dir is None or i < cold) + self.buffered
-        return hot * (4 * self.config.input_shape + 4) + sum(a.nbytes for r in self.routers for a in r.arrays().values())
+        hot = sum(n for i, n in enumerate(self.levels) if not self.is_cold(i)) + self.buffered
+        return hot * (4 * self.config.input_shape + 4) + sum(a.nbytes for r in self.routers for a in r.arrays().values() if a.dtype.kind in "fiu")
 
     # -- storage
 
     def cool(self) -> VectorIndex:
-        """Moves levels from ``cold_threshold_level`` on to Parquet by level and bucket; scans of few buckets then read few folders."""
-        c = self.config
-        if c.cold_storage_dir is None or c.cold_threshold_level is None:
+        """Moves levels that the configuration makes cold and that aren't yet, as after a change of it."""
+        warm = [i for i in range(len(self.routers)) if self.is_cold(i) and any(not p.cold for p in self.parts.get(i, []))]
+        if not warm:
             return self
-        import uuid
-
-        path = f"{c.cold_storage_dir.rstrip('/')}/{uuid.uuid4().hex}"
-        cold = F.col("level") >= c.cold_threshold_level
-        # a rebalance, not a repartition: a bucket of many rows is split over several tasks and files
-        self.records.where(cold).hint("rebalance", "level", "bucket").write.partitionBy("level", "bucket").parquet(path)
-        read = self.spark.read.schema("vec_id long, embedding array<float>, level int, bucket int").parquet(path).select("level", "bucket", "vec_id", "embedding")
-        self.records = settled(self.records.where(~cold)).unionByName(read)
-        return self
+        rows = reduce(DataFrame.unionByName, [self.level_rows(i) for i in warm])
+        gone = self._emptied(warm)
+        self._write(rows, warm)
+        return self._done(gone)
 
     def scan(self, buckets: list[tuple[int, int]]) -> DataFrame:
-        """The rows of the named buckets, as a partition filter if there are few."""
-        if len(buckets) > MOST_LISTED:
-            return self.records.join(self.spark.createDataFrame(buckets, "level int, bucket int"), ["level", "bucket"]).select("level", "bucket", "vec_id", "embedding")
-        chosen = F.lit(False)
+        """The rows of the named buckets (level, bucket); of cold levels only their folders are read."""
+        by_level: dict[int, list[int]] = {}
         for level, bucket in buckets:
-            chosen = chosen | ((F.col("level") == level) & (F.col("bucket") == bucket))
-        return self.records.where(chosen)
-
-    def invalidate_cold_cache(self) -> None:
-        self.records.unpersist()
+            by_level.setdefault(level, []).append(bucket)
+        rows = [self.level_rows(i, b).where(F.col("bucket").isin([int(x) for x in b])) for i, b in by_level.items()]
+        return reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], RECORDS)
 
     def save(self, path: str) -> None:
-        """A new folder with the records and what else there is to know; one that exists raises."""
-        meta = {"config": _config_json(self.config), "levels": self.levels, "buffered": self.buffered, "routers": [packed(r) for r in self.routers]}
-        self.records.write.mode("errorifexists").partitionBy("level").parquet(f"{path}/records")
+        """A new folder with the hot records and what else there is to know, that points at cold parts where they lie; one that exists raises."""
+        cold = {i: [p.path for p in parts if p.cold] for i, parts in self.parts.items()}
+        meta = {"config": _config_json(self.config), "counts": {i: n.tolist() for i, n in self.counts.items()}, "cold": cold, "routers": [packed(r) for r in self.routers]}
+        warm = [self.level_rows(i) for i, parts in self.parts.items() if parts and not parts[0].cold]
+        hot = reduce(DataFrame.unionByName, warm, self.spark.createDataFrame([], RECORDS))
+        hot.write.mode("errorifexists").partitionBy("level").parquet(f"{path}/records")
         write_text(self.spark, json.dumps(meta), f"{path}/meta")
+        self._own -= {p for parts in self.parts.values() for p in parts if p.cold}  # the copy needs them
 
     dump = save
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, factory: Factory = train_mlp) -> VectorIndex:
         meta = json.loads(read_text(spark, f"{path}/meta"))
-        shared_folder(spark)
         out = cls(spark, _config_of(meta["config"]), factory)
-        out.records = spark.read.schema("bucket int, vec_id long, embedding array<float>, level int").parquet(f"{path}/records").select("level", "bucket", "vec_id", "embedding")
-        out.levels, out.buffered, out.routers = meta["levels"], meta["buffered"], [unpacked(r) for r in meta["routers"]]
+        out.routers = [unpacked(r) for r in meta["routers"]]
+        out.counts = {int(i): np.array(n, np.int64) for i, n in meta["counts"].items()}
+        for i, n in out.counts.items():
+            cold = [Part(p, True) for p in meta["cold"].get(str(i), [])]
+            out.parts[i] = cold or ([Part(f"{path}/records/level={i}")] if n.any() else [])
         return out
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.where("qid is not null and qv is not null").select(F.col("qid").cast("long").alias("qid"), F.col("qv").cast("array<double>").alias("qv"))
+
+
+def _any_of(buckets: list[tuple[int, int]]):
+    return reduce(lambda a, b: a | b, [(F.col("level") == int(i)) & (F.col("bucket") == int(b)) for i, b in buckets])
+
+
 def _config_json(config: IndexConfig) -> dict:
     from dataclasses import asdict
 

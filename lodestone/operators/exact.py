@@ -14,7 +14,7 @@ BLOCK = 1024
 
 def _query_blocks(queries: DataFrame):
     ids, vectors = [], []
-    for row in queries.select("qid", "qv").toLocalIterator():
+    for row in queries.select("qid", "qv").where("qid is not null and qv is not null").toLocalIterator():
         ids.append(row["qid"])
         vectors.append(row["qv"])
         if len(ids) == BLOCK:
@@ -30,6 +30,27 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def nearest(metric: str, ids: np.ndarray, rows: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(qid, id, nearness) of the k nearest rows of each query, ties by id.
+
+    Candidates come of one product of matrices, with room for what that rounds away; then each pair's value is worked out alone, so
+    it doesn't depend on what else was in the batch.
+    """
+    near = scores(metric, rows, queries)
+    if exclude_self:
+        near[ids[:, None] == qids[None, :]] = -np.inf
+    slack = 1e-9 * (1 + np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) * rows.shape[1] + (0 if metric == "dot" else (rows**2).sum(1).max(initial=0) + (queries**2).sum(1).max(initial=0)))
+    least = np.partition(near, len(ids) - k, axis=0)[len(ids) - k] - slack if len(ids) > k else np.full(len(qids), -np.inf)
+    row, column = np.nonzero((near >= least) & (near > -np.inf))
+    a, b = rows[row], queries[column]
+    value = np.round((a * b).sum(1) if metric == "dot" else -((a - b) ** 2).sum(1), 12)
+    order = np.lexsort((ids[row], -value, column))
+    row, column, value = row[order], column[order], value[order]
+    begin = np.searchsorted(column, np.arange(len(qids)))
+    first = np.arange(len(column)) - begin[column] < k
+    return qids[column[first]], ids[row[first]], value[first]
+
+
 def knn(records: DataFrame, queries: DataFrame, k: int, metric: str = "dot", exclude_self: bool = False) -> DataFrame:
     """(qid, rank, vec_id, score): the k nearest records (vec_id, embedding) of each query (qid, qv), ties by vec_id. For l2 score is the squared distance."""
     rows, out = records.select("vec_id", "embedding").where("embedding is not null"), None
@@ -41,21 +62,13 @@ def knn(records: DataFrame, queries: DataFrame, k: int, metric: str = "dot", exc
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                own = batch.column("vec_id").to_numpy()
-                near = scores(metric, matrix(batch.column("embedding")), vectors)
-                if exclude_self:
-                    near[own[:, None] == ids[None, :]] = -np.inf
-                if len(own) > k:
-                    least = np.partition(near, len(own) - k, axis=0)[len(own) - k]
-                    row, column = np.nonzero((near >= least) & (near > -np.inf))
-                else:
-                    row, column = np.nonzero(near > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[column]), pa.array(own[row]), pa.array(near[row, column])], ["qid", "vec_id", "near"])
+                out = nearest(metric, batch.column("vec_id").to_numpy(), matrix(batch.column("embedding")), ids, vectors, k, exclude_self)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["qid", "vec_id", "near"])
 
         part = rows.mapInArrow(best, "qid long, vec_id long, near double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = rows.limit(0).select(F.lit(0).cast("long").alias("qid"), "vec_id", F.lit(0.0).alias("near"))
-    order = Window.partitionBy("qid").orderBy(F.round("near", 12).desc(), "vec_id")
+    order = Window.partitionBy("qid").orderBy(F.col("near").desc(), "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", "vec_id", (F.col("near") if metric == "dot" else -F.col("near")).alias("score"))

@@ -53,9 +53,7 @@ def fixture(spark: SparkSession, sf_dir: str, **changes) -> VectorIndex:
     vectors = embeddings(spark, sf_dir)
     if key not in _built:
         _built[key] = VectorIndex(spark, CONFIG, first_rows_router(vectors)).insert(vectors)
-    done, out = _built[key], VectorIndex(spark, CONFIG.with_(**changes), first_rows_router(vectors))
-    out.records, out.levels, out.buffered, out.routers = done.records, list(done.levels), done.buffered, list(done.routers)
-    return out
+    return _built[key].copy(**changes)
 
 
 def _rounded(found: DataFrame, digits: int = 6) -> DataFrame:

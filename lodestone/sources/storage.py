@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is named."""
+    """The folder that the cluster names for checkpoints. Where none is named, a temporary one if all runs on this machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -40,6 +42,12 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq") -> tuple[DataFr
     return placed.withColumn(name, F.element_at(base, part) + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at"), total
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder, wherever Spark keeps it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
