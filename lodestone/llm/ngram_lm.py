@@ -5,13 +5,13 @@ p1(w) = (c(w) + 1/2) / (N + (V + 1) / 2), p(w | v) = (c(vw) + m2 p1(w)) / (c(v)
 They add up to one over V words and one unknown word.
 
 A chunk of documents first asks shards for the numbers and counts of its distinct words (told apart by 64 bits); frequent words have
-small numbers. Then it sends its distinct trigrams, as numbers and so exactly, to the shard of their last two words, with what its
+small numbers. Then it sends its distinct trigrams, as numbers and so exactly, to the shard of their last word, with what its
 training documents count of them, and hears the counts of the bigrams, which are the contexts of other trigrams; those it sends after.
 A shard then builds its trie: last words, the words before them, the words before those. A node holds the quantised log10 of
 its n-gram's smoothed probability. Each trigram that was asked for goes down the trie as far as it leads, and takes the payload found
 there, times m / (c + m) of each context that is longer. The chunk hears one quantised probability a distinct trigram, and adds up.
 
-A frequent word's trigrams are dealt by the word before it too, and a chunk sends each distinct one once, so none makes a hot shard.
+A chunk sends each distinct trigram once, and those of a frequent word are dealt by the word before it too, so none makes a hot shard.
 """
 
 from __future__ import annotations
@@ -81,32 +81,40 @@ class Tokens:
 
 
 class Trigrams:
-    """The distinct bigrams and trigrams of a chunk, whose words are known by number, in the order they are sent to shards."""
+    """The distinct bigrams and trigrams of a chunk that has heard what its words count, in the order they are sent to shards.
+
+    A trigram goes to the shard of its last word, or where that is more frequent than a quarter of a shard's tokens, of its last two.
+    """
 
     def __init__(self, table: pa.Table, bodies: dict[int, bytes], slots: tuple[int, ...]):
         self.text = text = Tokens(table)
-        told = {shard: unpacked(b) for shard, b in bodies.items()}
-        head = np.array([t[0] for t in told.values()], np.int64).reshape(-1, 3)
+        self.told = {shard: unpacked(b) for shard, b in bodies.items()}
+        head = np.array([t[0] for t in self.told.values()], np.int64).reshape(-1, 3)
         self.n_docs, self.n_tokens, self.n_words = int(head[:, 0].max(initial=0)), int(head[:, 1].max(initial=0)), int(head[:, 2].sum())
-        bounds = split_by_shard(text.words, slots)
-        number, count = (np.concatenate([np.zeros(0, np.int64), *(told[shard][k][: b - a].astype(np.int64) for shard, a, b in bounds if b > a)]) for k in (1, 2))
-        order = np.argsort(number)  # words by number, START first
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(1, len(order) + 1)
-        self.number, self.count = np.append(START, number[order]), np.append(self.n_docs, count[order])
-        last = rank[text.place]
+        self.shards = split_by_shard(text.words, slots)
+        count = self.heard(1)
+        self.token_count, d, n = count[text.place], len(text.words) + 1, len(slots)
+        last = text.place + 1  # 0 is what stands before a text
         before = np.append(0, last)[: len(last)]
         before[text.starts] = 0
         earlier = np.append(0, before)[: len(last)]
         earlier[text.starts] = 0
-        self.token_count, d = self.count[last], len(self.number)
-        pairs, self.pair_of = _distinct(last * d + before)
-        trigrams, self.of = _distinct(self.pair_of * d + earlier)
+        if d < 1 << 21:
+            trigrams, self.of = _distinct((last * d + before) * d + earlier)
+            pair_of = trigrams // d
+            new = np.append(True, np.diff(pair_of) != 0)[: len(pair_of)]
+            pairs, pair_of = pair_of[new], np.cumsum(new) - 1
+            self.pair_of = pair_of[self.of]
+        else:
+            pairs, self.pair_of = _distinct(last * d + before)
+            trigrams, self.of = _distinct(self.pair_of * d + earlier)
+            pair_of = trigrams // d
         self.last, self.before, self.earlier = pairs // d, pairs % d, trigrams % d
         self.counted = np.bincount(self.of, text.train, len(trigrams)).astype(np.uint32)
-        begin = np.searchsorted(trigrams // d, np.arange(len(pairs) + 1))
-        n = len(slots)
-        place = mix(self.number[self.last].astype(np.uint64) * ODD + self.number[self.before].astype(np.uint64))
+        begin = np.searchsorted(pair_of, np.arange(len(pairs) + 1))
+        words = np.append(np.uint64(0), text.words)
+        spread = np.append(0, count)[self.last] * 4 * n > self.n_tokens
+        place = mix(words[self.last] * ODD + np.where(spread, words[self.before], np.uint64(0)))
         shard = ((place >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
         self.pairs = np.argsort(shard, kind="stable")  # in the order they are sent
         self.sizes = np.diff(begin)[self.pairs]
@@ -115,6 +123,10 @@ class Trigrams:
         of_trigram = np.append(0, np.cumsum(self.sizes))[of_pair]
         self.bounds = [(slots[k], *of_pair[k : k + 2].tolist(), *of_trigram[k : k + 2].tolist()) for k in range(n)]
 
+    def heard(self, k: int) -> np.ndarray:
+        """The k-th array that shards sent for the chunk's distinct words."""
+        return np.concatenate([np.zeros(0, np.int64), *(self.told[shard][k][: b - a].astype(np.int64) for shard, a, b in self.shards if b > a)])
+
     def contexts(self, bodies: dict[int, bytes]) -> np.ndarray:
         """For each distinct trigram the count of its first two words."""
         count = np.zeros(len(self.pairs), np.int64)
@@ -135,58 +147,85 @@ def _word_questions(table: pa.Table, slots):
         yield shard, packed(head, steps(text.words[a:b]), counts[a:b])
 
 
-def _word_answers(bodies: list[bytes], n_shards: int, shard: int) -> list[bytes]:
-    """Totals, and of each word its number, the smaller the more frequent in this shard and no other shard's, and count."""
-    parts = [unpacked(b) for b in bodies]
-    asked = [np.cumsum(p[1], dtype=np.uint64) for p in parts]
-    distinct, place = _distinct(np.concatenate(asked))
-    counts = np.bincount(place, np.concatenate([p[2] for p in parts]), len(distinct)).astype(np.int64)
-    number = np.empty(len(distinct), np.uint64)
-    number[np.lexsort((distinct, -counts))] = np.arange(len(distinct), dtype=np.uint64) * np.uint64(n_shards) + np.uint64(shard + 1)
-    head = np.append(sum(p[0] for p in parts), np.count_nonzero(counts))
-    out, at = [], 0
-    for keys in asked:
-        here = place[at : at + len(keys)]
-        out.append(packed(head, number[here], counts[here].astype(np.uint64)))
-        at += len(keys)
-    return out
+class Words:
+    """What all chunks asked a shard about words: the distinct ones, their counts, and where each chunk's stand among them."""
+
+    def __init__(self, bodies: list[bytes]):
+        parts = [unpacked(b) for b in bodies]
+        asked = [np.cumsum(p[1], dtype=np.uint64) for p in parts]
+        self.distinct, place = _distinct(np.concatenate(asked))
+        self.counts = np.bincount(place, np.concatenate([p[2] for p in parts]), len(self.distinct)).astype(np.int64)
+        self.head = np.append(sum(p[0] for p in parts), np.count_nonzero(self.counts))
+        self.of_chunks = np.split(place, np.cumsum([len(x) for x in asked])[:-1])
+
+
+def _count_answers(bodies: list[bytes]) -> list[bytes]:
+    """Totals, and the count of each word."""
+    words = Words(bodies)
+    return [packed(words.head, words.counts[at].astype(np.uint64)) for at in words.of_chunks]
+
+
+def _number_answers(bodies: list[bytes], n_shards: int, shard: int) -> list[bytes]:
+    """The same, and the number of each word: the smaller the more frequent in this shard, and no other shard's. So counts follow from
+    numbers by a short table (how many words have the greatest count, and so on), which goes to one chunk, for it to pass on."""
+    words = Words(bodies)
+    order = np.lexsort((words.distinct, -words.counts))
+    number = np.empty(len(order), np.uint64)
+    number[order] = np.arange(len(order), dtype=np.uint64) * np.uint64(n_shards) + np.uint64(shard + 1)
+    ranked = words.counts[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)])
+    table = [np.full(len(first), shard, np.uint32), np.append(first[1:], len(ranked))[: len(first)].astype(np.uint64), ranked[first].astype(np.uint64)]
+    none = [x[:0] for x in table]
+    carrier = shard % len(bodies)
+    return [packed(words.head, words.counts[at].astype(np.uint64), number[at], *(table if k == carrier else none)) for k, at in enumerate(words.of_chunks)]
 
 
 def _trigram_questions(table: pa.Table, bodies: dict[int, bytes], slots):
     chunk = Trigrams(table, bodies, slots)
-    head = np.array([chunk.n_tokens, chunk.n_words], np.int64)
-    last, before, number = chunk.last[chunk.pairs], chunk.before[chunk.pairs], chunk.number.astype(np.uint64)
+    head = np.array([chunk.n_docs, chunk.n_tokens, chunk.n_words], np.int64)
+    number = np.append(START, chunk.heard(2)).astype(np.uint64)
+    passed = [np.concatenate(x) for x in zip(*(t[3:6] for t in chunk.told.values()))]
+    last, before = chunk.last[chunk.pairs], chunk.before[chunk.pairs]
     for shard, a, b, c, d in chunk.bounds:
-        words, of = np.unique(last[a:b], return_inverse=True)
+        first = np.flatnonzero(np.append(True, np.diff(last[a:b]) != 0)[: b - a])
         of_trigram = chunk.trigrams[c:d]
         yield shard, packed(
-            head, steps(number[words]), chunk.count[words].astype(np.uint64), np.bincount(of, minlength=len(words)).astype(np.uint32),
-            number[before[a:b]], chunk.count[before[a:b]].astype(np.uint64), chunk.sizes[a:b].astype(np.uint32), number[chunk.earlier[of_trigram]], chunk.counted[of_trigram],
+            head, number[last[a:b][first]], np.diff(np.append(first, b - a)).astype(np.uint32), number[before[a:b]], chunk.sizes[a:b].astype(np.uint32),
+            number[chunk.earlier[of_trigram]], chunk.counted[of_trigram], *passed,
         )
 
 
 class Asked:
     """What all chunks sent a shard: distinct last words, pairs and trigrams, each with its parent's place, and where each chunk's stand among them."""
 
-    def __init__(self, bodies: list[bytes]):
+    def __init__(self, bodies: list[bytes], n_shards: int):
         parts = [unpacked(b) for b in bodies]
-        self.head = parts[0][0]
-        join = lambda arrays: np.concatenate([np.zeros(0, np.uint64), *arrays])
-        last = join(np.cumsum(p[1], dtype=np.uint64) for p in parts)
-        self.words, at = _distinct(last)
-        self.word_count = np.zeros(len(self.words), np.int64)
-        self.word_count[at] = join(p[2] for p in parts)
-        before, shift = join(p[4] for p in parts), np.uint64(WORD_BITS)
-        pairs, pair_at = _distinct((np.repeat(at, join(p[3] for p in parts).astype(np.int64)).astype(np.uint64) << shift) | before)
+        self.n_docs, self.n_tokens, self.n_words = (int(x) for x in parts[0][0])
+        join = lambda k: np.concatenate([p[k] for p in parts])
+        shift = np.uint64(WORD_BITS)
+        self.words, at = _distinct(join(1))
+        before = join(3)
+        pairs, pair_at = _distinct((np.repeat(at, join(2)).astype(np.uint64) << shift) | before)
         self.pair_word, self.before = (pairs >> shift).astype(np.int64), pairs & np.uint64((1 << WORD_BITS) - 1)
-        self.before_count = np.zeros(len(pairs), np.int64)
-        self.before_count[pair_at] = join(p[5] for p in parts)
-        sizes = join(p[6] for p in parts).astype(np.int64)
-        counted = join(p[8] for p in parts)
+        sizes, counted = join(4).astype(np.int64), join(6)
         self.pair_count = np.bincount(np.repeat(pair_at, sizes), counted, len(pairs)).astype(np.int64)
-        self.pair_at, self.pair_ends = pair_at, np.cumsum([0, *(len(p[4]) for p in parts)])
-        self.trigram_ends = np.cumsum([0, *(len(p[7]) for p in parts)])
-        self.keys, self.counted = (np.repeat(pair_at, sizes).astype(np.uint64) << shift) | join(p[7] for p in parts), counted
+        self.pair_at, self.pair_ends = pair_at, np.cumsum([0, *(len(p[3]) for p in parts)])
+        self.trigram_ends = np.cumsum([0, *(len(p[5]) for p in parts)])
+        self.keys, self.counted = (np.repeat(pair_at, sizes).astype(np.uint64) << shift) | join(5), counted
+        shard, end, count = join(7).astype(np.uint64), join(8), join(9)
+        ends = (shard << shift) | end
+        order, n = np.argsort(ends), np.uint64(n_shards)
+        ends, count = ends[order], count[order].astype(np.int64)
+
+        def counts(number: np.ndarray) -> np.ndarray:
+            """The counts of words by number; START counts the documents."""
+            out = np.full(len(number), self.n_docs)
+            word = np.flatnonzero(number != START)
+            which = number[word] - np.uint64(1)
+            out[word] = count[np.searchsorted(ends, ((which % n) << shift) | (which // n), side="right")]
+            return out
+
+        self.word_count, self.before_count = counts(self.words), counts(self.before)
 
     def trigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the distinct trigrams the pair, the first word, the count; and the place of each that was sent."""
@@ -195,9 +234,9 @@ class Asked:
         return (distinct >> shift).astype(np.int64), distinct & np.uint64((1 << WORD_BITS) - 1), np.bincount(at, self.counted, len(distinct)).astype(np.int64), at
 
 
-def _pair_answers(bodies: list[bytes]) -> list[bytes]:
+def _pair_answers(bodies: list[bytes], n_shards: int) -> list[bytes]:
     """The count of each pair."""
-    asked = Asked(bodies)
+    asked = Asked(bodies, n_shards)
     counts = asked.pair_count[asked.pair_at].astype(np.uint64)
     return [packed(counts[a:b]) for a, b in zip(asked.pair_ends[:-1], asked.pair_ends[1:])]
 
@@ -211,8 +250,7 @@ def _context_questions(table: pa.Table, bodies: dict[int, bytes], pair_bodies: d
 
 def build(asked: Asked, pair: np.ndarray, first: np.ndarray, count: np.ndarray, context: np.ndarray) -> Trie:
     """The trie of the n-grams that were counted, with quantised smoothed probabilities."""
-    n_tokens, n_words = (int(x) for x in asked.head)
-    p1 = unigram(asked.word_count, n_tokens, n_words)
+    p1 = unigram(asked.word_count, asked.n_tokens, asked.n_words)
     p2 = (asked.pair_count + M2 * p1[asked.pair_word]) / (asked.before_count + M2)
     p3 = (count + M3 * p2[pair]) / (context + M3)
     none = np.zeros(len(asked.words), np.int64)
@@ -224,9 +262,9 @@ def build(asked: Asked, pair: np.ndarray, first: np.ndarray, count: np.ndarray,
     return Trie(levels, WORD_BITS)
 
 
-def _probabilities(bodies: list[bytes], context_bodies: list[bytes]) -> list[bytes]:
+def _probabilities(bodies: list[bytes], context_bodies: list[bytes], n_shards: int) -> list[bytes]:
     """The quantised probability of each trigram that was sent, by the trie."""
-    asked = Asked(bodies)
+    asked = Asked(bodies, n_shards)
     pair, first, count, at = asked.trigrams()
     context = np.zeros(len(pair))
     context[at] = np.concatenate([np.zeros(0), *(unpacked(b)[0].astype(np.float64) for b in context_bodies)])
@@ -235,9 +273,8 @@ def _probabilities(bodies: list[bytes], context_bodies: list[bytes]) -> list[byt
     word = trie.children(0, none, asked.words)
     two = trie.children(1, word[asked.pair_word], asked.before)
     three = trie.children(2, two[pair], first)
-    n_tokens, n_words = (int(x) for x in asked.head)
     found = lambda level, place: restored(trie.payload[level][place])
-    p1 = np.full(len(word), unigram(0, n_tokens, n_words))
+    p1 = np.full(len(word), unigram(0, asked.n_tokens, asked.n_words))
     p1[word >= 0] = found(0, word[word >= 0])
     p2 = p1[asked.pair_word] * M2 / (asked.before_count + M2)
     p2[two >= 0] = found(1, two[two >= 0])
@@ -270,12 +307,14 @@ def score(docs: DataFrame) -> DataFrame:
     """
     x = Exchange(docs)
     slots, n = x.slots, x.n
-    words = x.answer(x.ask(lambda t: _word_questions(t, slots)), lambda b, shard: _word_answers(b, n, slots.index(shard)))
-    trigrams = x.ask_again([words], lambda t, w: _trigram_questions(t, w, slots))
-    pairs = x.answer(trigrams, lambda b, shard: _pair_answers(b))
-    contexts = x.ask_again([words, pairs], lambda t, w, p: _context_questions(t, w, p, slots))
-    found = x.answer_both(trigrams, contexts, _probabilities)
-    return x.hear([words, found], lambda t, w, f: _scores(t, w, f, slots), OUT)
+    words = x.ask(lambda t: _word_questions(t, slots))
+    numbers = x.answer(words, lambda b, shard: _number_answers(b, n, slots.index(shard)))
+    counts = x.answer(words, lambda b, shard: _count_answers(b))
+    trigrams = x.ask_again([numbers], lambda t, w: _trigram_questions(t, w, slots))
+    pairs = x.answer(trigrams, lambda b, shard: _pair_answers(b, n))
+    contexts = x.ask_again([counts, pairs], lambda t, w, p: _context_questions(t, w, p, slots))
+    found = x.answer_both(trigrams, contexts, lambda b, c: _probabilities(b, c, n))
+    return x.hear([counts, found], lambda t, w, f: _scores(t, w, f, slots), OUT)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
