@@ -1,4 +1,4 @@
-"""python -m lodestone.cli experiment NAME DATA_FOLDER [flags] | test [DATA_FOLDER] | defaults dataset|index"""
+"""python -m lodestone.cli experiment NAME DATA_FOLDER [flags] | compare RESULTS.csv ... | test [DATA_FOLDER] | defaults dataset|index"""
 
 from __future__ import annotations
 
@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .config import IndexConfig, from_yaml, to_yaml
 from .index import DEFAULT_CANDIDATES, STRATEGIES, VectorIndex
-from .logs import LOGGER, log_init
+from .logs import LOGGER, log_init, log_time
 from .operators.evaluate import evaluate
 from .operators.exact import knn
-from .sources.datasets import catalogue, default_catalogue
+from .sources.datasets import catalogue, default_catalogue, read_results, write_results
 from .sources.storage import numbered
 
 
@@ -23,6 +23,7 @@ def _log(message: str, **fields) -> None:
     LOGGER.info(message, extra={"fields": fields})
 
 
+@log_time
 def loaded(index: VectorIndex, vectors: DataFrame, limit: int | None, validate_after: int, each: int, budgets: list[int]) -> VectorIndex:
     """Inserts the first ``limit`` vectors by id. With validate_after, so many at a time, and after each such load every row whose id
     is divisible by ``each`` is searched for among all that are in; otherwise all at once."""
@@ -67,12 +68,19 @@ def experiment(a: argparse.Namespace) -> None:
     if a.output_dir:
         index.save(a.output_dir)
     if not a.skip_search:
-        found = evaluate(index, parts["queries"], parts["ground_truth"], a.ncandidates)
+        found = evaluate(index, parts["queries"], parts["ground_truth"], a.ncandidates, search_strategy=a.search_strategy).cache()
+        write_results(found, str(folder))
         for row in found.collect():
             _log("metrics", **row.asDict())
         found.show(len(a.ncandidates) + 1)
 
 
+def compare(a: argparse.Namespace) -> None:
+    """The results of several runs, side by side."""
+    found = read_results(SparkSession.builder.getOrCreate(), a.results)
+    found.orderBy("ncandidates").show(1000, False)
+
+
 def smoke(a: argparse.Namespace) -> None:
     """The first 100 queries of a data set as vectors of a small index, validated on each of them."""
     log_init(sys.stdout, "DEBUG")
@@ -94,6 +102,8 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("of", choices=["dataset", "index"])
     t = sub.add_parser("test", help="load and validate 100 vectors")
     t.add_argument("folder", nargs="?", default="data/example")
+    c = sub.add_parser("compare", help="show the results of several experiments")
+    c.add_argument("results", nargs="+", help="CSV files that experiments left")
     e = sub.add_parser("experiment", help="load, validate, save and search")
     e.add_argument("name")
     e.add_argument("folder", help="holds dataset, queries and ground truth; config.yaml may say where")
@@ -118,7 +128,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "defaults":
         print(default_catalogue() if a.of == "dataset" else to_yaml(IndexConfig()), end="")
     else:
-        {"experiment": experiment, "test": smoke}[a.command](a)
+        {"experiment": experiment, "compare": compare, "test": smoke}[a.command](a)
 
 
 if __name__ == "__main__":

@@ -100,6 +100,8 @@ def from_dict(data: dict[str, Any]) -> IndexConfig:
         out["bucket_size"] = levels["bucket_size"]
     model = levels.get("model", {})
     _known(model, {"layers", "train_params", "quantize", "seed", "weights_path"}, "levels.model")
+    if model.get("weights_path") is not None:
+        raise ConfigError("weights_path: routers are saved and loaded with their index")
     if "layers" in model:
         out["layers"] = tuple((x["type"], int(x.get("value", 0))) for x in model["layers"])
     out |= {k: model[k] for k in ("quantize", "seed") if k in model}

@@ -16,12 +16,12 @@ def recall(results: DataFrame, truth: DataFrame, queries: DataFrame, k: int) ->
     return queries.select("qid").join(hits, "qid", "left").agg(F.avg(F.coalesce("hits", F.lit(0)) / F.lit(float(k))).alias("recall"))
 
 
-def evaluate(index: VectorIndex, queries: DataFrame, truth: DataFrame, budgets: list[int], k: int = 10) -> DataFrame:
+def evaluate(index: VectorIndex, queries: DataFrame, truth: DataFrame, budgets: list[int], k: int = 10, search_strategy: str = "model") -> DataFrame:
     """(ncandidates, total, recall1, recall5, recall10, elapsed_s, qps, avg_ms) for each budget."""
     total, rows = queries.count(), []
     for n in budgets:
         began = time.time()
-        found = index.search(queries, k, n).cache()
+        found = index.search(queries, k, n, search_strategy).cache()
         found.count()
         took = time.time() - began
         r = [recall(found, truth, queries, x).first()["recall"] for x in (1, 5, 10)]

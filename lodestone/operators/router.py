@@ -8,8 +8,6 @@ from typing import Protocol
 
 import numpy as np
 import pyspark.sql.functions as F
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 
 from ..config import IndexConfig
@@ -43,6 +41,11 @@ class CentroidRouter:
         return cls(arrays["centroids"], str(arrays["metric"]), float(arrays["scale"]))
 
 
+def class_weights(labels: np.ndarray) -> np.ndarray:
+    """For each row one over the rows of its label."""
+    return 1 / np.bincount(labels)[labels]
+
+
 class MlpRouter:
     """Linear and ReLU layers with a linear output of n_buckets, trained by Adam on class-balanced draws."""
 
@@ -94,7 +97,7 @@ class MlpRouter:
         net = cls([(rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:])], relu_after, n_buckets)
         flat = [p for layer in net.weights for p in layer]
         first, second, t = [np.zeros_like(p) for p in flat], [np.zeros_like(p) for p in flat], 0
-        weight = 1 / np.bincount(labels, minlength=n_buckets)[labels]
+        weight = class_weights(labels)
         for _ in range(config.train.epochs):
             drawn = rng.choice(len(labels), len(labels), p=weight / weight.sum())
             for at in range(0, len(drawn), config.train.batch_size):
@@ -134,25 +137,50 @@ def sample_size(rows: int, n_buckets: int, threshold: int) -> int:
 
 def sampled(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """n rows by hashed id: the same however the rows are partitioned."""
-    return rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(n)
-
-
-def cluster_labels(sample: DataFrame, k: int, config: IndexConfig) -> DataFrame:
-    """vec_id, embedding, label. k-means, Euclidean for l2 and spherical for dot."""
-    ready = sample.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    if config.distance_fn == "dot":  # cosine distance isn't defined for a zero vector: nudged to a fixed direction
-        zero = F.forall("embedding", lambda x: x == 0)
-        ready = ready.withColumn("features", F.when(zero, array_to_vector(F.transform("embedding", lambda x, i: F.when(i == 0, 1.0).otherwise(0.0)))).otherwise(F.col("features")))
-    means = KMeans(k=k, maxIter=config.train.max_iters, seed=config.seed, distanceMeasure="cosine" if config.distance_fn == "dot" else "euclidean", predictionCol="label")
-    return means.fit(ready).transform(ready).select("vec_id", "embedding", "label")
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col("vec_id").cast("string"), F.lit(str(seed))).cast("binary")), "vec_id").limit(n)
+
+
+def assigned(x: np.ndarray, centres: np.ndarray, spherical: bool) -> np.ndarray:
+    """The nearest centre of each row, the lower of equals: by the dot product, or by Euclidean distance."""
+    near = x @ centres.T
+    return np.argmax(np.round(near if spherical else 2 * near - (centres**2).sum(1), 12), axis=1)
+
+
+def centres_of(sums: np.ndarray, counts: np.ndarray, spherical: bool, before: np.ndarray) -> np.ndarray:
+    """New centres of the sums and counts of their rows: means, of length 1 if spherical. One without rows, or without a direction, stays."""
+    out = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], before)
+    if spherical:
+        length = np.linalg.norm(out, axis=1)[:, None]
+        out = np.where(length > 0, out / np.where(length > 0, length, 1), before)
+    return out
+
+
+def kmeans(x: np.ndarray, k: int, spherical: bool, rounds: int, seed: int) -> np.ndarray:
+    """Labels of at most k clusters. First centres are drawn one by one, farther rows likelier (k-means++)."""
+    rng = np.random.default_rng(seed)
+    if spherical:  # a zero vector has no direction: it gets a fixed one
+        length = np.linalg.norm(x, axis=1)[:, None]
+        x = np.where(length > 0, x / np.where(length > 0, length, 1), np.eye(1, x.shape[1]))
+    centres = x[[rng.integers(len(x))]]
+    far = ((x - centres[0]) ** 2).sum(1)
+    while len(centres) < k and far.max() > 0:
+        centres = np.concatenate([centres, x[[rng.choice(len(x), p=far / far.sum())]]])
+        far = np.minimum(far, ((x - centres[-1]) ** 2).sum(1))
+    labels = np.zeros(len(x), int)
+    for done in range(rounds):
+        now = assigned(x, centres, spherical)
+        counts, sums = np.bincount(now, minlength=len(centres)), np.zeros_like(centres)
+        np.add.at(sums, now, x)
+        centres = centres_of(sums, counts, spherical, centres)
+        if done and (now == labels).all():
+            break
+        labels = now
+    return labels
 
 
 def train_mlp(rows: DataFrame, n_rows: int, level: int, config: IndexConfig) -> MlpRouter:
     """A router for a new level, trained on a bounded sample of the rows that found it."""
     k = config.n_buckets(level)
-    sample = sampled(rows, sample_size(n_rows, k, config.train.threshold_samples), config.seed).cache()
-    table = cluster_labels(sample, min(k, n_rows), config).orderBy("vec_id").toPandas() if min(k, n_rows) > 1 else sample.orderBy("vec_id").toPandas().assign(label=0)
-    sample.unpersist()
-    return MlpRouter.fit(np.stack(table["embedding"].to_numpy()).astype(np.float64), table["label"].to_numpy(int), k, config)
-
-
+    table = sampled(rows, sample_size(n_rows, k, config.train.threshold_samples), config.seed).select("vec_id", "embedding").toPandas()
+    x = np.stack(table["embedding"].to_numpy()).astype(np.float64)
+    return MlpRouter.fit(x, kmeans(x, min(k, n_rows), config.distance_fn == "dot", config.train.max_iters, config.seed), k, config)

@@ -10,21 +10,24 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 
 from ..config import IndexConfig
 from ..functions import distance
-from ..index import VectorIndex, half_column
+from ..index import DEFAULT_CANDIDATES, VectorIndex, half_column
 from ..operators import leveling
-from ..operators.evaluate import recall
-from ..operators.exact import knn
-from ..operators.router import CentroidRouter, sample_size
+from ..operators.evaluate import evaluate, recall
+from ..operators.exact import knn, matrix
+from ..operators.router import CentroidRouter, MlpRouter, assigned, centres_of, sample_size, sampled
+from ..operators.router import class_weights as weights_of_classes
 from ..sources.storage import shared_folder
 from ..streaming.ingest import ingest
 
 CONFIG = IndexConfig(arity=3, bucket_size=30, buffer_size=30, input_shape=64)
-BUDGET, K = 100, 10
+#: A small budget, to see the cut; searches have the operator's own, at which recall is 1 on these tables.
+SMALL_BUDGET, BUDGET, K = 100, DEFAULT_CANDIDATES, 10
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,9 +199,14 @@ def priority_candidates(spark, sf_dir):
     return fixture(spark, sf_dir).candidates(queries_of(embeddings(spark, sf_dir))).drop("before")
 
 
-@query(INDEX + f"SELECT qid, CAST(level AS INTEGER) AS level, bucket, occ, before FROM cut WHERE before < {BUDGET}")
+@query(INDEX + f"SELECT qid, CAST(level AS INTEGER) AS level, bucket, occ, before FROM cut WHERE before < {SMALL_BUDGET}")
 def budget_cut(spark, sf_dir):
-    return fixture(spark, sf_dir).selected(queries_of(embeddings(spark, sf_dir)), BUDGET).drop("priority")
+    return fixture(spark, sf_dir).selected(queries_of(embeddings(spark, sf_dir)), SMALL_BUDGET).drop("priority")
+
+
+@query(_found(SMALL_BUDGET))
+def search_small_budget(spark, sf_dir):
+    return _rounded(fixture(spark, sf_dir).search(queries_of(embeddings(spark, sf_dir)), K, SMALL_BUDGET))
 
 
 @query(_found(BUDGET))
@@ -279,15 +287,24 @@ def rebuild_greedy(spark, sf_dir):
 
 
 def _lloyd(spark, sf_dir, spherical):
+    """One step of the routers' k-means from the first six vectors: batches are assigned and summed, then the sums of all."""
     vectors = embeddings(spark, sf_dir).select("vec_id", "embedding")
     first = np.array([r["embedding"] for r in vectors.where("vec_id < 6").orderBy("vec_id").collect()], np.float64)
-    centre = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in first])
-    near = (lambda c: -distance.dot(F.col("embedding"), c)) if spherical else (lambda c: distance.l2(F.col("embedding"), c))
-    best = F.array_min(F.transform(centre, lambda c, i: F.named_struct(F.lit("d"), F.round(near(c), 12), F.lit("label"), i)))["label"]
-    means = vectors.select(best.alias("label"), F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    if spherical:
-        means = means.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("label"))))
-    return means.select("label", "dim", F.round("x", 6).alias("x"))
+
+    def sums(batches):
+        for batch in batches:
+            x = matrix(batch.column("embedding"))
+            label = assigned(x, first, spherical) if len(x) else np.zeros(0, int)
+            for k in np.unique(label).tolist():
+                yield pa.RecordBatch.from_pylist([{"label": k, "n": int((label == k).sum()), "total": x[label == k].sum(0).tolist()}], pa.schema([("label", pa.int32()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))]))
+
+    parts = vectors.mapInArrow(sums, "label int, n long, total array<double>").collect()  # six rows a batch
+    counts, total = np.zeros(6, np.int64), np.zeros_like(first)
+    for r in parts:
+        counts[r["label"]] += r["n"]
+        total[r["label"]] += r["total"]
+    centres = centres_of(total, counts, spherical, first)
+    return spark.createDataFrame([(k, d, round(float(x), 6)) for k, c in enumerate(centres) if counts[k] for d, x in enumerate(c)], "label int, dim int, x double")
 
 
 def _lloyd_sql(near: str, value: str) -> str:
@@ -309,8 +326,11 @@ def kmeans_step_spherical(spark, sf_dir):
 
 @query("SELECT vec_id, label, round(CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY label), 9) AS weight FROM embeddings")
 def class_weights(spark, sf_dir):
-    counts = embeddings(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return embeddings(spark, sf_dir).join(counts, "label").select("vec_id", "label", F.round(F.lit(1.0) / F.col("n"), 9).alias("weight"))
+    """The weights of the draws that train a router, on a sample of 10,000 rows at most, which is all of these tables."""
+    rows = embeddings(spark, sf_dir)
+    table = sampled(rows, sample_size(rows.count(), CONFIG.n_buckets(0), 10_000), 0).select("vec_id", "label").toPandas()
+    table["weight"] = weights_of_classes(table["label"].to_numpy()).round(9)
+    return spark.createDataFrame(table, "vec_id long, label int, weight double")
 
 
 @query("SELECT CAST(level AS INTEGER) AS level, CAST(least((SELECT count(*) FROM embeddings), greatest(100, 40 * nb)) AS BIGINT) AS n FROM (VALUES (0, 3), (1, 9), (2, 27)) t(level, nb)")
@@ -319,35 +339,47 @@ def sample_size_rule(spark, sf_dir):
     return spark.createDataFrame([(i, sample_size(rows, CONFIG.n_buckets(i), 100)) for i in range(3)], "level int, n long")
 
 
-@query("SELECT vec_id FROM embeddings ORDER BY (vec_id * 7919) % 1009, vec_id LIMIT 100")
+@query("SELECT vec_id FROM embeddings ORDER BY md5(vec_id || ':3'), vec_id LIMIT 100")
 def deterministic_sample(spark, sf_dir):
-    return embeddings(spark, sf_dir).orderBy((F.col("vec_id") * 7919) % 1009, "vec_id").limit(100).select("vec_id")
+    return sampled(embeddings(spark, sf_dir), 100, 3).select("vec_id")
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 h AS (SELECT vec_id, list_transform(range(4), lambda j: greatest(CAST(0 AS DOUBLE), list_sum(list_transform(range(64), lambda i: v[i + 1] * ((i * 7 + j * 3) % 5 - 2))))) AS h FROM e)
 SELECT vec_id, CAST(o AS INTEGER) AS output, round(list_sum(list_transform(range(4), lambda j: h[j + 1] * ((j * 5 + o * 2) % 3 - 1))), 6) AS value FROM (SELECT vec_id, h, unnest(range(3)) AS o FROM h)""")
 def relu_mlp_forward(spark, sf_dir):
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    hidden = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.greatest(F.lit(0.0), total(F.transform("embedding", lambda x, i: x.cast("double") * ((i * 7 + j * 3) % 5 - 2)))))
-    out = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda o: total(F.transform("h", lambda x, j: x * ((j * 5 + o * 2) % 3 - 1))))
-    made = embeddings(spark, sf_dir).select("vec_id", hidden.alias("h")).select("vec_id", F.posexplode(out).alias("output", "value"))
+    i, j, o = np.arange(64)[:, None], np.arange(4), np.arange(3)
+    net = MlpRouter([((i * 7 + j * 3) % 5 - 2.0, np.zeros(4)), ((j[:, None] * 5 + o * 2) % 3 - 1.0, np.zeros(3))], [True, False], 3)
+
+    def forward(batches):
+        for batch in batches:
+            out = net.logits(matrix(batch.column("embedding"))) if batch.num_rows else np.zeros((0, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("vec_id").to_numpy(), 3)), pa.array(np.tile(o, len(out)).astype(np.int32)), pa.array(out.ravel())], ["vec_id", "output", "value"])
+
+    made = embeddings(spark, sf_dir).select("vec_id", "embedding").mapInArrow(forward, "vec_id long, output int, value double")
     return made.withColumn("value", F.round("value", 6))
 
 
-@query()
+#: A 16-bit float has 11 significant bits, of which the last is worth 2**-24 at least; ties go to the even one.
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT vec_id, CAST(d AS INTEGER) AS dim, v[d + 1] AS x FROM (SELECT vec_id, v, unnest(range(64)) AS d FROM e)),
+s AS (SELECT *, pow(CAST(2 AS DOUBLE), greatest(CASE WHEN x = 0 THEN -14 ELSE floor(log2(abs(x))) END, -14) - 10) AS unit FROM x)
+SELECT vec_id, dim, CAST(round_even(x / unit, 0) * unit AS DOUBLE) AS x FROM s""")
 def f16_round_trip(spark, sf_dir):
-    return embeddings(spark, sf_dir).select("vec_id", half_column(F.col("embedding")).alias("embedding"))
+    kept = embeddings(spark, sf_dir).select("vec_id", half_column(F.col("embedding")).alias("embedding"))
+    return kept.select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-@query("SELECT count(*) AS rows, CAST(count(*) * (4 * 64 + 4) AS BIGINT) AS bytes FROM embeddings")
+@query(INDEX + "SELECT (SELECT count(*) FROM place) AS rows, CAST((SELECT count(*) FROM place) * (4 * 64 + 4) + (SELECT sum(nb * 64 * 8 + 8) FROM lv) AS BIGINT) AS bytes")
 def memory_usage(spark, sf_dir):
-    return fixture(spark, sf_dir).records.agg(F.count(F.lit(1)).alias("rows"), F.sum(4 * F.size("embedding") + 4).alias("bytes"))
+    """What hot rows, the buffer and the routers (centres and a scale) take."""
+    index = fixture(spark, sf_dir)
+    return spark.createDataFrame([(sum(index.levels) + index.buffered, index.memory_usage())], "rows long, bytes long")
 
 
-@query("SELECT CAST(d AS BIGINT) AS dim, CAST((65536 - 4) // (d * 2 + 4) AS BIGINT) AS records, CAST(greatest(1, 1048576 // (30 * (d * 4 + 4))) AS BIGINT) AS cached FROM (SELECT unnest([3, 64, 768]) AS d)")
+@query("SELECT CAST(d AS BIGINT) AS dim, CAST((65536 - 4) // (d * 2 + 4) AS BIGINT) AS records, CAST(greatest(1, 1048576 // (30 * (d * 4 + 4))) AS BIGINT) AS cached FROM (SELECT unnest([3, (SELECT len(embedding) FROM embeddings LIMIT 1), 768]) AS d)")
 def block_capacity(spark, sf_dir):
-    return spark.createDataFrame([(d, distance.records_per_block(d), distance.cached_buckets(1 << 20, 30, d)) for d in (3, 64, 768)], "dim long, records long, cached long")
+    own = embeddings(spark, sf_dir).select(F.size("embedding").alias("d")).first()["d"]
+    return spark.createDataFrame([(d, distance.records_per_block(d), distance.cached_buckets(1 << 20, 30, d)) for d in (3, own, 768)], "dim long, records long, cached long")
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT vec_id) AS ids FROM embeddings")
@@ -372,15 +404,43 @@ def streaming_ingest(spark, sf_dir):
     return index.records.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("vec_id").alias("ids"), F.sum("vec_id").alias("id_sum"))
 
 
-@query()
+@query(_exact("list_dot_product(e.v, q.qv)", "s DESC"))
 def mlp_search(spark, sf_dir):
+    """With trained routers and the operator's own budget, which reaches all rows of these tables."""
     vectors = embeddings(spark, sf_dir)
-    return VectorIndex(spark, CONFIG).insert(vectors).search(queries_of(vectors), K, BUDGET)
+    return _rounded(VectorIndex(spark, CONFIG).insert(vectors).search(queries_of(vectors), K))
 
 
-@query("SELECT CAST(n AS BIGINT) AS ncandidates, total / elapsed AS qps, elapsed / total * 1000 AS avg_ms, r * 100 AS avg_recall FROM (VALUES (1000, CAST(10000 AS DOUBLE), CAST(20 AS DOUBLE), CAST(0.625 AS DOUBLE)), (5000, CAST(10000 AS DOUBLE), CAST(40 AS DOUBLE), CAST(0.875 AS DOUBLE))) t(n, total, elapsed, r)")
-def metrics_rollup(spark, sf_dir):
-    rows = spark.createDataFrame([(1000, 10000.0, 20.0, 0.625), (5000, 10000.0, 40.0, 0.875)], "ncandidates long, total double, elapsed double, r double")
-    return rows.select("ncandidates", (F.col("total") / F.col("elapsed")).alias("qps"), (F.col("elapsed") / F.col("total") * 1000).alias("avg_ms"), (F.col("r") * 100).alias("avg_recall"))
+@query(INDEX + "SELECT vec_id, CAST(level AS INTEGER) AS level, bucket, level >= 1 AS cold FROM asg WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id, -1, 0, false FROM asg WHERE vec_id % 7 = 0 AND vec_id < 35")
+def cold_insert_delete(spark, sf_dir):
+    """A deletion from cold levels and an insertion: what was cold lies in cold folders still."""
+    index = fixture(spark, sf_dir, cold_storage_dir=f"{shared_folder(spark)}/cold", cold_threshold_level=1).cool()
+    index.delete(_sevenths(spark, sf_dir))
+    index.insert(embeddings(spark, sf_dir).where("vec_id % 7 = 0 and vec_id < 35"))
+    cold = [i for i, parts in index.parts.items() if all(p.cold for p in parts)]
+    return index.records.select("vec_id", "level", "bucket", F.col("level").isin(cold).alias("cold"))
 
 
+@query("SELECT vec_id, round(CASE WHEN embedding[1] > 0 THEN 2 * CAST(embedding[1] AS DOUBLE) ELSE CAST(embedding[1] AS DOUBLE) END, 6) AS x FROM embeddings WHERE vec_id < 10")
+def upsert_repeats(spark, sf_dir):
+    """A batch that names each id twice leaves one row of it, with the greater vector."""
+    index, some = fixture(spark, sf_dir), embeddings(spark, sf_dir).where("vec_id < 10").select("vec_id", "embedding")
+    index.upsert(some.unionByName(some.withColumn("embedding", F.transform("embedding", lambda x: x * 2))))
+    return index.records.where("vec_id < 10").select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
+
+
+_METRICS = _RECALL.replace("SELECT CAST(b.budget AS BIGINT) AS budget, round(", "@").split("@")[0].replace(", ".join(map(str, BUDGETS)), "100, 30000")
+
+
+def _recall_sql(k: int) -> str:
+    return f"round((SELECT count(*) FROM hit JOIN gt ON gt.qid = hit.qid AND gt.vec_id = hit.vec_id WHERE hit.budget = b.budget AND hit.r <= {k} AND gt.r <= {k}) / (CAST({k} AS DOUBLE) * (SELECT count(*) FROM q)), 6) AS recall{k}"
+
+
+@query(f"{_METRICS} SELECT CAST(b.budget AS BIGINT) AS ncandidates, (SELECT count(*) FROM q) AS total, {', '.join(map(_recall_sql, (1, 5, 10)))}, true AS rates_agree FROM b")
+def metrics_rollup(spark, sf_dir):
+    """Recall of two budgets, and whether queries a second and milliseconds a query follow from queries and seconds."""
+    index, vectors = fixture(spark, sf_dir), embeddings(spark, sf_dir)
+    asked = queries_of(vectors)
+    found = evaluate(index, asked, knn(vectors, asked, K), [SMALL_BUDGET, BUDGET])
+    agree = (F.abs(F.col("qps") * F.col("elapsed_s") - F.col("total")) < 1e-6) & (F.abs(F.col("avg_ms") * F.col("total") - 1000 * F.col("elapsed_s")) < 1e-6)
+    return found.select("ncandidates", "total", *[F.round(f"recall{k}", 6).alias(f"recall{k}") for k in (1, 5, 10)], agree.alias("rates_agree"))

@@ -11,12 +11,14 @@ DEFAULTS = {"dataset": "data.parquet", "queries": "queries.parquet", "ground_tru
 
 
 def read_hdf5(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A 2-D data set as (vec_id, embedding); needs h5py on the driver."""
+    """A 2-D data set as (vec_id, embedding), or lists of neighbours (``knns``) as (qid, knns); needs h5py on the driver."""
     try:
         import h5py
     except ImportError as e:
         raise RuntimeError("reading HDF5 needs h5py; convert the file to Parquet") from e
     with h5py.File(path) as f:
+        if name == "knns":
+            return spark.createDataFrame(((i, [int(x) for x in row]) for i, row in enumerate(f[name])), "qid long, knns array<long>")
         return spark.createDataFrame(((i, [float(x) for x in row]) for i, row in enumerate(f[name])), "vec_id long, embedding array<float>")
 
 
@@ -40,6 +42,8 @@ def catalogue(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         path = part["value"]["path"]
         path = path if os.path.isabs(path) or "://" in path else f"{folder}/{path}"
         out[name] = read_hdf5(spark, path, part["value"].get("dataset_name", "emb")) if part["type"] == "h5" else spark.read.format(part["type"]).load(path)
+    if "knns" in out["ground_truth"].columns:
+        out["ground_truth"] = ranked_truth(out["ground_truth"])
     return out
 
 
@@ -53,6 +57,15 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path).where(F.col("message").isin("metrics", "time", "dataset"))
 
 
+def write_results(results: DataFrame, folder: str, name: str = "results") -> str:
+    """The (few) rows of results as folder/name.csv, or with a number where that is taken; returns the path."""
+    path, k = f"{folder}/{name}.csv", 2
+    while os.path.exists(path):
+        path, k = f"{folder}/{name}.{k}.csv", k + 1
+    results.toPandas().to_csv(path, index=False)
+    return path
+
+
 def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Results of several runs as one table; columns that a run lacks are null."""
     out = None

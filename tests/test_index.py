@@ -135,3 +135,153 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["test", str(tmp_path)])
     cli.main(["defaults", "dataset"])
     assert "ground_truth" in capsys.readouterr().out
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
+
+
+def offset_ramps():
+    return np.arange(59)[:, None] / 10 + np.arange(640) / 1000
+
+
+def unit_patterns():
+    a, b = np.arange(59)[:, None] / 59, np.arange(640) / 640
+    rows = np.where(a * 59 < 20, np.sin(a * 2 * np.pi + b * np.pi) / 2 + a, np.where(a * 59 < 40, np.cos(a * 2 * np.pi - b * np.pi) / 2 + 1 - a, a * b + (1 - a) * (1 - b)))
+    return rows / np.linalg.norm(rows, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("rows, metric, cold", [(offset_ramps, "l2", False), (unit_patterns, "dot", False), (unit_patterns, "dot", True)])
+def test_recall_at_a_budget_of_ten_rows(spark, tmp_path, rows, metric, cold):
+    """Trained routers, 59 vectors of which each looks for itself."""
+    config = IndexConfig(buffer_size=50, bucket_size=20, input_shape=640, arity=3, distance_fn=metric)
+    if cold:
+        config = config.with_(cold_storage_dir=str(tmp_path), cold_threshold_level=0, cold_cache_size_bytes=1 << 20)
+    vectors = vectors_of(spark, rows())
+    index = VectorIndex(spark, config).insert(vectors)
+    assert index.levels == [50] and index.buffered == 9 and all(p.cold == cold for p in index.parts[0])
+    for _ in range(2):  # the second time cold buckets come from the cache
+        found = index.search(vectors.selectExpr("vec_id AS qid", "embedding AS qv"), 1, 10).collect()
+        assert sum(r["qid"] == r["vec_id"] for r in found) > 0.9 * 59
+    assert bool(index._cold_cache) == cold
+
+
+def test_recall_of_trained_routers_on_clusters(spark):
+    from lodestone.operators.evaluate import evaluate
+
+    rng = np.random.default_rng(1)
+    vectors = vectors_of(spark, rng.permutation(np.repeat(rng.normal(size=(9, 16)), 80, 0) + 0.05 * rng.normal(size=(720, 16))))
+    config = IndexConfig(buffer_size=30, bucket_size=30, input_shape=16, arity=3, distance_fn="l2", train=TrainParams(epochs=60, batch_size=32))
+    asked = vectors.where("vec_id % 10 = 0").selectExpr("vec_id AS qid", "embedding AS qv")
+    found = {r["ncandidates"]: r for r in evaluate(VectorIndex(spark, config).insert(vectors), asked, knn(vectors, asked, 10, "l2"), [240, 10_000]).collect()}
+    assert found[240]["recall10"] >= 0.9 and found[10_000]["recall10"] == 1.0 and found[240]["total"] == 72
+
+
+def test_verbs_write_only_what_they_touch(spark):
+    index = VectorIndex(spark, TINY).insert(points(spark, 55))
+    before = {i: list(p) for i, p in index.parts.items()}
+    assert index.levels == [20, 30] and index.buffered == 5
+    for k in range(3):
+        index.insert(points(spark, 100 + k).where(f"vec_id = {99 + k}"))
+        assert [index.parts[i] for i in (0, 1)] == [before[0], before[1]] and len(index.parts[-1]) == len(before[-1]) + k + 1
+    assert index.delete(points(spark, 3).select("vec_id")) == 3  # of one level
+    assert sum(index.parts[i] == before[i] for i in (0, 1)) == 1 and len(index._replaced) == 1
+    gone = index._replaced[0].path
+    assert os.path.exists(gone.removeprefix("file:"))
+    index.delete(points(spark, 102).where("vec_id = 99").select("vec_id"))
+    assert not os.path.exists(gone.removeprefix("file:"))
+    assert index.delete(points(spark, 2000).where("vec_id > 1000").select("vec_id")) == 0
+    assert sorted(r["vec_id"] for r in index.records.collect()) == [*range(3, 55), 100, 101] and sum(index.levels) + index.buffered == 54
+
+
+def test_cold_levels_stay_cold(spark, tmp_path):
+    config = TINY.with_(cold_storage_dir=str(tmp_path / "cold"), cold_threshold_level=1, rebuild_strategy="no_rebuild")
+    rows = points(spark, 59)
+    index = VectorIndex(spark, config).insert(rows)
+    cold = lambda x: {i: {p.cold for p in parts} for i, parts in x.parts.items() if parts}
+    assert cold(index) == {0: {False}, 1: {True}, -1: {False}}
+    index.delete(rows.where("vec_id % 5 = 0").select("vec_id"))
+    index.insert(points(spark, 103).where("vec_id >= 101"))
+    assert cold(index) == {0: {False}, 1: {True}, -1: {False}}
+    index.save(str(tmp_path / "saved"))
+    again = VectorIndex.load(spark, str(tmp_path / "saved"))
+    assert cold(again) == cold(index) and again.parts[1] == index.parts[1] and not (tmp_path / "saved/records/level=1").exists()
+    asked = rows.selectExpr("vec_id AS qid", "embedding AS qv")
+    left = rows.where("vec_id % 5 <> 0").union(points(spark, 103).where("vec_id >= 101"))
+    assert sorted(again.search(asked, 4, 1000).collect()) == sorted(index.search(asked, 4, 1000).collect()) == sorted(knn(left, asked, 4, "l2").collect())
+    assert index.memory_usage() < VectorIndex.load(spark, str(tmp_path / "saved")).copy(cold_threshold_level=None).memory_usage()
+
+
+def test_null_rows_repeated_ids_and_one_query(spark):
+    rows = spark.createDataFrame([(1, [1.0, 1.0, 1.0]), (None, [2.0, 2.0, 2.0]), (3, None), (4, [4.0, 4.0, 4.0])], "vec_id long, embedding array<float>")
+    index = VectorIndex(spark, TINY).insert(rows)
+    assert index.buffered == 2 and index.search_one([4, 4, 4], 1) == [4]
+    index.upsert(spark.createDataFrame([(1, [7.0, 0.0, 0.0]), (1, [9.0, 0.0, 0.0]), (5, [0.0, 0.0, 1.0])], "vec_id long, embedding array<float>"))
+    assert sorted((r["vec_id"], r["embedding"][0]) for r in index.records.collect()) == [(1, 9.0), (4, 4.0), (5, 0.0)]
+    asked = spark.createDataFrame([(0, None), (None, [4.0, 4.0, 4.0]), (2, [4.0, 4.0, 4.0])], "qid long, qv array<float>")
+    assert [(r["qid"], r["vec_id"]) for r in index.search(asked, 1).collect()] == [(2, 4)]
+
+
+def test_hot_buckets_are_searched_in_pieces(spark, monkeypatch):
+    from lodestone import index as module
+
+    monkeypatch.setattr(module, "PIECE", 4)
+    rows, asked = points(spark, 59), points(spark, 59).selectExpr("vec_id as qid", "embedding as qv")
+    assert sorted(VectorIndex(spark, TINY).insert(rows).search(asked, 5, 1000).collect()) == sorted(knn(rows, asked, 5, "l2").collect())
+
+
+def test_retraining_by_strategy(spark):
+    for strategy, changes in (("no_retrain", False), ("from_scratch", True)):
+        index = VectorIndex(spark, TINY.with_(train=TrainParams(retrain_strategy=strategy))).insert(points(spark, 25))
+        before = index.routers[0]
+        index.retrain(0)
+        assert (index.routers[0] is not before) == changes and index.levels == [20]
+        index.insert(points(spark, 50).where("vec_id >= 25"))  # level 0 is emptied and filled again
+        assert sorted(r["vec_id"] for r in index.records.collect()) == list(range(50))
+
+
+def test_long_vectors_keep_their_digits(spark):
+    rows = vectors_of(spark, [[1e6 + k, 1e6, 1e6] for k in (0, 0.25, 0.5)])
+    found = knn(rows, rows.selectExpr("vec_id AS qid", "embedding AS qv"), 3, "l2").orderBy("qid", "rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found[:3]] == [(0, 0.0), (1, 0.0625), (2, 0.25)]
+
+
+def test_results_as_csv_and_truth_as_lists(spark, tmp_path, capsys):
+    from lodestone import cli
+    from lodestone.sources.datasets import catalogue, read_results, write_results
+
+    one = spark.createDataFrame([(10, 0.5)], "ncandidates long, recall1 double")
+    paths = [write_results(one, str(tmp_path)), write_results(one.selectExpr("ncandidates", "0.25 AS recall5"), str(tmp_path))]
+    assert [os.path.basename(p) for p in paths] == ["results.csv", "results.2.csv"]
+    assert sorted((r["recall1"] or 0, r["recall5"] or 0) for r in read_results(spark, [f"file:{p}" for p in paths]).collect()) == [(0, 0.25), (0.5, 0)]
+    cli.main(["compare", *paths])
+    assert "ncandidates" in capsys.readouterr().out
+    points(spark, 3).write.parquet(f"{tmp_path}/data.parquet")
+    points(spark, 3).selectExpr("vec_id AS qid", "embedding AS qv").write.parquet(f"{tmp_path}/queries.parquet")
+    spark.createDataFrame([(0, [2, 1])], "qid long, knns array<long>").write.parquet(f"{tmp_path}/gt.parquet")
+    assert sorted(map(tuple, catalogue(spark, str(tmp_path))["ground_truth"].collect())) == [(0, 1, 2), (0, 2, 1)]
+
+
+def test_half_precision_and_gradients():
+    from lodestone.functions.distance import half, softmax
+
+    x = np.array([0.1, 1 / 3, 65504.0, 2.0**-24, 1e-9], np.float32)
+    assert (half(x) == x.astype(np.float16).astype(np.float32)).all()
+    rng = np.random.default_rng(0)
+    net = MlpRouter([(rng.normal(size=(3, 4)), rng.normal(size=4)), (rng.normal(size=(4, 2)), np.zeros(2))], [True, False], 2)
+    data, labels = rng.normal(size=(50, 3)), rng.integers(0, 2, 50)
+    loss = lambda n: -np.log(softmax(n.logits(data))[np.arange(50), labels]).mean()
+    trained = MlpRouter.fit(data, (data[:, 0] > 0).astype(int), 2, IndexConfig(layers=(("linear", 8), ("relu", 0)), train=TrainParams(epochs=200, batch_size=25)))
+    assert loss(net) > 0 and (trained.probabilities(data).argmax(1) == (data[:, 0] > 0)).mean() > 0.9
+
+
+def test_kmeans_ends_at_its_nearest_centres():
+    from lodestone.operators.router import assigned, kmeans
+
+    rng = np.random.default_rng(2)
+    x = np.repeat(np.eye(4) * 3, 25, 0) + 0.1 * rng.normal(size=(100, 4))
+    for spherical in (False, True):
+        labels = kmeans(x, 4, spherical, 20, 0)
+        assert all(len(set(labels[25 * k : 25 * k + 25])) == 1 for k in range(4)) and len(set(labels)) == 4
+    assert len(set(kmeans(np.zeros((5, 3)), 3, True, 5, 0))) == 1
+    assert assigned(np.array([[1.0, 0.0]]), np.array([[0.0, 1.0], [1.0, 0.0], [1.0, 0.0]]), False)[0] == 1
