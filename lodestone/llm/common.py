@@ -79,6 +79,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def redealt(few: DataFrame) -> DataFrame:
+    """The smaller side of a join by a key that many rows of the other may share, dealt anew: so the join deals both sides itself, and
+    Spark may split the rows of such a key over several tasks, which it can't where one side lies by key already."""
+    return few.repartition(partitions(few.sparkSession))
+
+
 #: Slots of a sieve, 64 to a row of what is sent to all machines: a megabyte, whatever goes in.
 SIEVE_SLOTS = 1 << 22
 

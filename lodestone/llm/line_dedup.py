@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cut, give_back, read_table, sieved, whole_texts, with_id
+from .common import cut, give_back, read_table, redealt, sieved, whole_texts, with_id
 from .exchange import mix, word_hashes
 from .tokens import ragged, slices
 
@@ -183,7 +183,7 @@ def line_dedup(docs: DataFrame, carry: bool = False) -> DataFrame:
     first = lines.groupBy("k1", "k2").agg(F.min(F.struct(*PLACE, "hash")).alias("first"))
     halves = lines.select(F.explode("halves").alias("half"), "k1", "k2")
     shared = cut(halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("half"))
-    with_shared = sieved(halves, "half", shared).where("_hit").join(shared, "half", "left_semi").select("k1", "k2").distinct()
+    with_shared = sieved(halves, "half", shared).where("_hit").join(redealt(shared), "half", "left_semi").select("k1", "k2").distinct()
     # Distinct lines by place: their ranks order as the lines do, and stand for them from here on.
     live = cut(first.join(with_shared, ["k1", "k2"], "left_semi").select("k1", "k2", "first.*").orderBy(*PLACE).withColumn("rank", F.monotonically_increasing_id()))
     asked = live.groupBy(*row).agg(F.collect_list(F.struct("number", "rank")).alias("asked"))
@@ -192,14 +192,14 @@ def line_dedup(docs: DataFrame, carry: bool = False) -> DataFrame:
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("rank")))
     least = variants.groupBy("variant").agg(of(K).alias("k"), of(D).alias("d"), of(S).alias("s"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).where("lo <> hi").drop("lo", "hi")
     other = F.when(F.col("kind") == K, F.col("d")).when(F.col("kind") == D, F.col("k")).otherwise(F.col("s"))
-    pairs = cut(variants.join(least, "variant").select("rank", other.alias("other")).where("other < rank").distinct())
+    pairs = cut(variants.join(redealt(least), "variant").select("rank", other.alias("other")).where("other < rank").distinct())
     words = cut(asked.mapInArrow(_texts_of_lines, "rank long, line string").dropDuplicates(["rank"]))
     told = pairs.join(words.withColumnRenamed("line", "a"), "rank").join(words.select(F.col("rank").alias("other"), F.col("line").alias("b")), "other")
     near = told.select("rank", "other", "a", "b").mapInArrow(_verified, "rank long, other long").groupBy("rank").agg(F.min("other").alias("other"))
     earlier = live.select(F.col("rank").alias("other"), place.alias("least"))
     near = live.select("k1", "k2", "rank").join(near, "rank").join(earlier, "other").select("k1", "k2", "least")
     bound = first.select("k1", "k2", F.struct(*[F.col("first")[c].alias(c) for c in PLACE]).alias("least")).unionByName(near).groupBy("k1", "k2").agg(F.min("least").alias("least"))
-    gone = cut(lines.join(bound, ["k1", "k2"]).where(F.col("least") < place).groupBy(*row).agg(F.array_sort(F.collect_set("number")).alias("dropped")))
+    gone = cut(lines.join(redealt(bound), ["k1", "k2"]).where(F.col("least") < place).groupBy(*row).agg(F.array_sort(F.collect_set("number")).alias("dropped")))
     told = sieved(texts, "hash", gone.select("hash"))
     whole = told.where("not _hit").withColumn("dropped", F.lit(None).cast("array<int>"))
     return _rebuilt(whole.unionByName(told.where("_hit").join(gone.hint("shuffle_hash"), row, "left")), carry)
