@@ -1,6 +1,8 @@
 """A pipeline of five stages over the documents: quality rules, line dedup, near-copy dedup, benchmark decontamination, packing.
 
-Each stage works on what its predecessor kept, written as Parquet and read again. All but the last return the columns of documents.
+Each stage works on what its predecessor kept, written as Parquet and read again. All but the last return the columns of documents, with
+their types and whatever their names. In all stages a null text counts as empty, rows are judged by their texts and not by their ids
+(null and repeated ones too), very long texts are worked on whole, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,15 +19,19 @@ from lodestone.llm.near_copies import near_copy_components
 from lodestone.llm.packing import VOCABULARY, pack
 from lodestone.llm.quality_rules import quality_rules
 from lodestone.llm.tokens import vocabulary
+from lodestone.sources.storage import removed
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, as they stand; null and empty texts have too few words and go. Repeated rows are judged each."""
     return with_columns_of(quality_rules(docs, carry=True).where("kept"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less their near-duplicate lines; one that loses lines and keeps no word goes."""
+    """Documents less their near-duplicate lines (``n_chars`` follows, if there); one that loses lines and keeps no word goes.
+
+    The earliest line by doc_id and number stays, rows without an id come last; lines of one id and number are equally early and both stay.
+    """
     left = line_dedup(docs, carry=True).where((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     out = with_columns_of(left, docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
@@ -56,17 +62,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, as they stand; all of them if the benchmark is empty. Repeated rows are judged each."""
     return uncontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes; repeated rows are packed each."""
     return pack(docs, vocabulary(VOCABULARY))
 
 
 STAGES = [("quality rules", rules), ("line dedup", lines), ("near copies", near_copies), ("decontamination", leaks), ("packing", packed)]
-#: The stages tokenize and hash; SQL can't express them, and tests hold them against brute force.
+#: Stages tokenize, hash and pack, which SQL can't express; tests/llm/test_pipeline.py holds each against SQL or plain code.
 ORACLE_SQL = None
 
 
@@ -76,4 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # what the stage read isn't needed any more
+            removed(spark, f"{folder}/{k - 1}")
     return docs
