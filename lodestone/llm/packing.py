@@ -109,7 +109,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
     """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset for each piece of each row of docs.
 
     Nulls: a null text is empty and becomes one piece of END_ID alone; a null doc_id stays null. Repeated rows are packed each on
-    its own, equal lengths are told apart by task and rank, an empty table gives an empty table, other columns are left behind.
+    its own, ties of equal lengths are told apart by task and rank, very long texts are encoded whole and cut, an empty table gives an empty table, other columns are left behind.
     Only counts by length (at most ``capacity`` rows) reach the driver, and only the plan's runs, bounded alike, are broadcast.
     """
     spark = docs.sparkSession

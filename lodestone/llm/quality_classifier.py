@@ -178,7 +178,7 @@ def classify(docs: DataFrame, ensemble: Ensemble) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
     Nulls: a null text is empty and scored as such; a null doc_id stays null (its remainder is that of no digits). Repeated rows are
-    scored each, equal statistics score equally, an empty table gives an empty table, other columns are left behind.
+    scored each, ties of equal statistics score equally, very long texts whole, an empty table gives an empty table, other columns are left behind.
     """
     score = F.col("score")
     held_out = remainder(F.col("doc_id"), 5) == HELD_OUT

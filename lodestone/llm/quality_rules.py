@@ -35,7 +35,7 @@ def quality_rules(docs: DataFrame, rules: list[tuple] = RULES, carry: bool = Fal
     """doc_id, text, the counts, ``base_failed``, ``failed_rules`` (names) and ``kept`` for each row of docs.
 
     Nulls: a null text is empty, so it has no words and fails the base rule; a null doc_id stays null. Repeated rows and ties are
-    judged row by row; an empty table gives an empty table; columns besides doc_id and text are
+    judged row by row, very long texts whole; an empty table gives an empty table; columns besides doc_id and text are
     left behind or, with carry, go along in the struct ``_row``, so none can clash.
     """
     counted = with_counts(whole_texts(docs, carry), {"n_stop_words": stop_word_count(F.col("_words"))})
