@@ -173,24 +173,38 @@ def split_by_shard(keys: np.ndarray, slots: tuple[int, ...]) -> list[tuple[int,
     return [(slots[p], int(bounds[p]), int(bounds[p + 1])) for p in range(n)]
 
 
+#: Bytes that are white space, bytes with A-Z as a-z, a random number for each byte; and bytes hashed at a time (whole texts, or one).
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD6E8FEB86659FD93
+HASHED = 1 << 22
+
+
 def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of each word of all texts in a row, and where each text's begin."""
-    import pyarrow.compute as pc
-    import xxhash
-
-    runs = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
-    offsets = runs.offsets.to_numpy()
-    coded = runs.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(w.encode()) for w in words), np.uint64, len(words))
-    place = coded.indices.to_numpy()
-    begins = offsets - offsets[0]
-    if not len(place):
-        return np.zeros(0, np.uint64), begins
-    empty = np.fromiter((not w for w in words), bool, len(words))
-    if empty.any():  # white space at either end leaves an empty word
-        real = ~empty[place]
-        begins = np.concatenate([[0], np.cumsum(real)])[begins]
-        place = place[real]
-    return hashes[place], begins
+    """A 64-bit hash of each word of all texts in a row (sums of its bytes' numbers times powers by place), and where each text's begin."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    if offsets[-1] == offsets[0]:
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    data, offsets = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    hashes, counts, at = [], [], 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + HASHED, side="right")) - 1)
+        part, own = data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+        space = _SPACE[part]
+        begins = ~space
+        begins[1:] &= space[:-1]
+        first = own[:-1][own[:-1] < len(part)]
+        begins[first] = ~space[first]
+        start = np.flatnonzero(begins)
+        counts.append(np.diff(np.searchsorted(start, own)))
+        if len(start):
+            length = np.diff(np.append(start, len(part)))
+            place = np.arange(start[0], len(part)) - np.repeat(start, length)
+            powers = np.cumprod(np.append(np.uint64(1), np.full(int(length.max()), _BASE, np.uint64)))
+            values = (_BYTES[_LOWER[part]] if lower else _BYTES[part])[start[0] :] * powers[place]
+            values[space[start[0] :]] = 0
+            hashes.append(mix(np.add.reduceat(values, start - start[0])))
+        at = end
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.append(0, np.cumsum(np.concatenate(counts)))
