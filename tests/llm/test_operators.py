@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pyspark.sql.functions as F
 import pytest
-from lodestone.llm import decontamination, elias_fano, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, registry, secret_scan, simhash, substring_dedup, suffix_array, token_counts
+from lodestone.llm import decontamination, elias_fano, exchange, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, registry, secret_scan, simhash, substring_dedup, suffix_array, token_counts
 from lodestone.llm.tokens import vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -128,6 +128,50 @@ def test_substrings_by_brute_force(spark, docs):
         assert (found[i]["n_bytes"], found[i]["n_removed"], found[i]["n_spans"], found[i]["kept_sha256"]) == (len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
+def _stretches(*rows):
+    """A chunk's message of stretches (key, place of the anchor, text, least document)."""
+    texts = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+    return exchange.packed(np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.uint8), np.array([len(r[2]) for r in rows], np.uint8), texts, np.array([r[3] for r in rows]))
+
+
+def test_strings_share_a_suffix_array_by_core(monkeypatch):
+    symbols, lanes = [], suffix_array._suffix_array_lanes
+    monkeypatch.setattr(suffix_array, "_suffix_array_lanes", lambda table, sizes: (symbols.append(int(sizes.sum())), lanes(table, sizes))[1])
+    gram, other, tail = b"0123456789abcdef", b"fedcba9876543210", bytes(range(97, 131))
+
+    def told(*rows):
+        n, least = exchange.unpacked(substring_dedup._stretch_answers([_stretches(*rows)])[0])
+        return np.repeat(least, n).tolist()
+
+    # Two anchors with a string each, alike but for the gram: no document takes the other's.
+    assert told((1, 0, gram + tail, 5), (2, 0, other + tail, 3)) == [5, 3]
+    # One key with two grams, as if its bits had met by chance.
+    assert told((1, 0, gram + tail, 5), (1, 0, other + tail, 3)) == [5, 3]
+    # A string, and a longer stretch that begins with it.
+    assert told((1, 10, b"x" * 10 + gram + tail[:24], 5), (1, 10, b"x" * 10 + gram + tail[:30], 3)) == [3] * 8
+    symbols.clear()
+    rng = random.Random(3)
+    n = 18  # strings of a stretch
+    rows = [(k, n - 1, bytes(rng.randrange(256) for _ in range(n + 49)), k) for k in range(300)]
+    assert told(*rows) == [k for k in range(300) for _ in range(n)]
+    assert sum(symbols) <= 300 * 2 * n
+
+
+def test_distinct_stretches(monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), rng.randrange(3), bytes(rng.choices(b"ab", k=rng.choice([50, 51, 58]))[:4] + [97] * rng.choice([46, 47])), 0) for _ in range(400)]
+    key, place = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows])
+    size = np.array([len(r[2]) for r in rows])
+    data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+    for met_by_chance in (False, True):
+        if met_by_chance:
+            monkeypatch.setattr(substring_dedup, "mix", lambda x: x & np.uint64(0))
+        first, which = substring_dedup.distinct_stretches(key, place, data, np.cumsum(size) - size, size)
+        seen = {}
+        assert which.tolist() == [seen.setdefault(r[:3], len(seen)) for r in rows]
+        assert [rows[k][:3] for k in first.tolist()] == list(seen)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 1000):
