@@ -178,7 +178,7 @@ _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
-HASHED = 1 << 22
+HASHED = 1 << 19
 
 
 def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:

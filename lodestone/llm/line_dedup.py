@@ -25,6 +25,8 @@ from .tokens import ragged, slices
 
 #: Fewest words of a line that an edit may join to another.
 EDIT_WORDS = 5
+#: Lines are hashed so many bytes of text at a time (a longer text alone): their words, variants and what those are made of take some 20 times that.
+LINE_BYTES = 1 << 21
 ODD, ODD_2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Kinds of keys: K the line itself, D the line less a word; S stands under keys of its own.
 K, D, S = 0, 1, 2
@@ -104,7 +106,7 @@ def _longs(a: np.ndarray) -> pa.Array:
 def _lines(batches):
     """LINES of rows (id, none, hash, text)."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=LINE_BYTES):
             lines = Lines(part.column("text"))
             of = pa.array(lines.row)
             line, key = lines.halves()
@@ -129,7 +131,7 @@ def _wanted(part: pa.RecordBatch) -> tuple[Lines, np.ndarray, np.ndarray]:
 def _variants(batches):
     """VARIANTS of the lines that are asked for."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=LINE_BYTES):
             lines, asked, rank = _wanted(part)
             line, place, rest = lines.without(asked, 0)
             of_line = np.repeat(rank, lines.size[asked])
@@ -142,7 +144,7 @@ def _variants(batches):
 def _texts_of_lines(batches):
     """(rank, line) of the lines that are asked for."""
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=LINE_BYTES):
             lines, asked, rank = _wanted(part)
             yield pa.RecordBatch.from_arrays([pa.array(rank), lines.strings.take(pa.array(lines.used[asked]))], ["rank", "line"])
 

@@ -3,11 +3,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 from lodestone.llm import decontamination, elias_fano, exchange, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, registry, secret_scan, simhash, substring_dedup, suffix_array, token_counts
@@ -172,6 +174,17 @@ def test_distinct_stretches(monkeypatch):
         assert [rows[k][:3] for k in first.tolist()] == list(seen)
 
 
+def test_memory_of_hashed_lines():
+    n = 3000
+    texts = pa.array(["\n".join(f"{k} {j} " + LINE for j in range(40)) for k in range(n)])
+    batch = pa.record_batch({"id": pa.array(range(n)), "none": pa.array([False] * n), "hash": pa.array(range(n)), "text": texts})
+    tracemalloc.start()
+    lines = sum(b.num_rows for b in line_dedup._lines(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lines == 40 * n and batch.nbytes > 1 << 22 and peak < 80 << 20
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n in (0, 1, 5, 1000):
