@@ -10,17 +10,27 @@ import numpy as np
 ONE, SIX, LAST = np.uint64(1), np.uint64(6), np.uint64(63)
 
 
+#: The lowest and the highest bit of each byte, and by byte and rank the place of that set bit.
+_LOWS, _HIGHS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_IN_BYTE = np.zeros((256, 8), np.uint64)
+for _byte in range(256):
+    _set = [k for k in range(8) if _byte >> k & 1]
+    _IN_BYTE[_byte, : len(_set)] = _set
+_IN_BYTE = _IN_BYTE.ravel()
+
+
 def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Place of the rank-th set bit of each word, halving the word six times."""
-    place = np.zeros(len(word), np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        width = np.uint64(width)
-        below = np.bitwise_count(word & ((ONE << width) - ONE))
-        up = rank >= below
-        rank = rank - np.where(up, below, 0).astype(rank.dtype)
-        word = np.where(up, word >> width, word)
-        place += np.where(up, width, np.uint64(0))
-    return place.astype(np.int64)
+    """Place of the rank-th set bit of each word: its byte by the running counts of all eight at once, then by table."""
+    two, four, eight = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+    rank = rank.astype(np.uint64)
+    s = word - ((word >> ONE) & two)
+    s = (s & four) + ((s >> np.uint64(2)) & four)
+    s = ((s + (s >> np.uint64(4))) & eight) * _LOWS  # in each byte the set bits up to its end
+    place = np.bitwise_count((((rank * _LOWS) | _HIGHS) - s) & _HIGHS).astype(np.uint64) << np.uint64(3)
+    place = np.minimum(place, np.uint64(56))
+    rank -= ((s << np.uint64(8)) >> place) & np.uint64(255)
+    within = (((word >> place) & np.uint64(255)) << np.uint64(3)) | (rank & np.uint64(7))
+    return (place + _IN_BYTE[within.astype(np.int64)]).astype(np.int64)
 
 
 def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
@@ -79,13 +89,24 @@ class EliasFano:
         high = 64 * word + bit - i
         return (high.astype(np.uint64) << np.uint64(self.l)) | self.lows(i)
 
-    def smaller(self, high: np.ndarray) -> np.ndarray:
-        """How many values have high bits below each: the place of the zero that ends the bucket before, less the zeros."""
-        zero = np.maximum(high - 1, 0)
+    def _zeros(self, zero: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words and bits of those zeros."""
         zeros = 64 * np.arange(len(self.ones), dtype=np.int64) - self.ones
         word = np.searchsorted(zeros, zero, side="right") - 1
-        at = 64 * word + _select_in_word(~self.words[word], zero - zeros[word])
-        return np.where(high == 0, 0, at - zero)
+        return word, _select_in_word(~self.words[word], zero - zeros[word])
+
+    def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many values have high bits below each, and how many at most these: places of the zeros that end the bucket before and
+        this one, less the zeros. The second zero mostly lies in the first one's word."""
+        zero = np.maximum(high - 1, 0)
+        word, bit = self._zeros(zero)
+        first = np.where(high == 0, 0, 64 * word + bit - zero)
+        rest = ~self.words[word] & ((~np.uint64(0) << bit.astype(np.uint64)) << ONE)
+        last = 64 * word + np.bitwise_count((rest & (~rest + ONE)) - ONE) - high
+        beyond = np.flatnonzero((rest == 0) | (high == 0))
+        word, bit = self._zeros(high[beyond])
+        last[beyond] = 64 * word + bit - high[beyond]
+        return first, last
 
     def successor(self, x: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Place of the first value of at least x among [begin, end), and whether it is x."""
@@ -93,8 +114,8 @@ class EliasFano:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         high = (x >> np.uint64(self.l)).astype(np.int64)
         low = x & np.uint64((1 << self.l) - 1)
-        first, last = np.maximum(self.smaller(high), begin), self.smaller(high + 1)
-        last = np.minimum(last, self.n if end is None else end)
+        first, last = self.bucket(high)
+        first, last = np.maximum(first, begin), np.minimum(last, self.n if end is None else end)
         a, b = first.copy(), last.copy()
         while (open_ := np.flatnonzero(a < b)).size:
             middle = (a[open_] + b[open_]) // 2
@@ -134,7 +155,9 @@ class Trie:
         out = np.full(len(word), -1, np.int64)
         q = np.flatnonzero(parent >= 0)
         if len(q):
-            begin, end = (self.pointers[level].access(parent[q] + k).astype(np.int64) for k in (0, 1))
+            new = np.append(True, np.diff(parent[q]) != 0)  # neighbours mostly share a parent
+            of, run = parent[q][new], np.cumsum(new) - 1
+            begin, end = (self.pointers[level].access(of + k).astype(np.int64)[run] for k in (0, 1))
             at, hit = self.words[level].successor((parent[q].astype(np.uint64) << np.uint64(self.bits)) | word[q].astype(np.uint64), begin, end)
             out[q[hit]] = at[hit]
         return out

@@ -116,7 +116,7 @@ class Trigrams:
         spread = np.append(0, count)[self.last] * 4 * n > self.n_tokens
         place = mix(words[self.last] * ODD + np.where(spread, words[self.before], np.uint64(0)))
         shard = ((place >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-        self.pairs = np.argsort(shard, kind="stable")  # in the order they are sent
+        self.pairs = np.argsort(shard.astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")  # in the order they are sent
         self.sizes = np.diff(begin)[self.pairs]
         self.trigrams = ragged(begin[:-1][self.pairs], self.sizes)
         of_pair = np.searchsorted(shard[self.pairs], np.arange(n + 1))

@@ -197,6 +197,23 @@ def test_elias_fano():
         assert not n or ((at == np.searchsorted(v, q)).all() and (hit == np.isin(q, v)).all())
 
 
+def test_selected_bits(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = np.concatenate([rng.integers(0, 1 << 63, 200).astype(np.uint64) * np.uint64(2), np.array([1, 1 << 63, (1 << 64) - 1], np.uint64)])
+    for w in words.tolist():
+        places = [k for k in range(64) if w >> k & 1]
+        assert elias_fano._select_in_word(np.full(len(places), w, np.uint64), np.arange(len(places))).tolist() == places
+    # A word sought among its parent's children costs little more than one selection, the parent's others being known.
+    selected, select = [], elias_fano._select_in_word
+    monkeypatch.setattr(elias_fano, "_select_in_word", lambda w, r: (selected.append(len(w)), select(w, r))[1])
+    n = 2000
+    child = np.arange(1, n + 1, dtype=np.uint64) * np.uint64((1 << 40) // (n + 2))
+    trie = elias_fano.Trie([(np.zeros(1, np.int64), np.array([5], np.uint64), np.zeros(1, np.uint16)), (np.zeros(n, np.int64), child, np.zeros(n, np.uint16))], 40)
+    assert trie.children(1, np.zeros(n, np.int64), child).tolist() == list(range(n))
+    assert (trie.children(1, np.zeros(n, np.int64), child + np.uint64(1)) == -1).all()
+    assert sum(selected) < 2 * 2 * n
+
+
 def test_language_model_by_brute_force(spark, docs):
     texts = {i: ["<s>", "<s>", *WORD.findall(t.translate(LOWER)), "</s>"] for i, t in docs}
     c1, c2, c3, n_docs = collections.Counter(), collections.Counter(), collections.Counter(), 0
