@@ -666,3 +666,14 @@ def test_secrets_of_other_classes_and_what_is_left_beside_allowed_parts(spark):
     ]
     found = secret_scan.secret_scan(spark.createDataFrame([(k, f"\u00e9 {t} x") for k, (t, _) in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [[(x["kind"], x["start"] - 2, x["end"] - 2) for x in r["added"]] for r in found] == [spans for _, spans in rows]
+
+
+def test_chunks_stay_small_in_few_partitions_and_give_the_same_rows(spark, monkeypatch):
+    for gb in (1, 6, 30):
+        assert (gb << 30) / exchange.chunks_of(gb << 30, 24) <= 12 << 20
+    assert exchange.chunks_of(1, 24) == exchange.chunks_of(1 << 60, 24) == 24
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    wide = sorted(substring_dedup.substring_dedup(docs).collect())
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 30_000)
+    assert exchange.Exchange(docs).n > 4
+    assert sorted(substring_dedup.substring_dedup(docs).collect()) == wide
