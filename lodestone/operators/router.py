@@ -46,6 +46,12 @@ def class_weights(labels: np.ndarray) -> np.ndarray:
     return 1 / np.bincount(labels)[labels]
 
 
+def weighted(rows: DataFrame, label: str) -> DataFrame:
+    """rows with ``weight``: class_weights of a whole table; rows without label are a class too."""
+    sizes = rows.groupBy(F.col(label).alias("_label")).agg((1 / F.count(F.lit(1))).alias("weight"))
+    return rows.join(sizes, F.col(label).eqNullSafe(F.col("_label"))).drop("_label")
+
+
 class MlpRouter:
     """Linear and ReLU layers with a linear output of n_buckets, trained by Adam on class-balanced draws."""
 

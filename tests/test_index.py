@@ -285,3 +285,13 @@ def test_kmeans_ends_at_its_nearest_centres():
         assert all(len(set(labels[25 * k : 25 * k + 25])) == 1 for k in range(4)) and len(set(labels)) == 4
     assert len(set(kmeans(np.zeros((5, 3)), 3, True, 5, 0))) == 1
     assert assigned(np.array([[1.0, 0.0]]), np.array([[0.0, 1.0], [1.0, 0.0], [1.0, 0.0]]), False)[0] == 1
+
+
+def test_class_weights_of_every_row(spark, tmp_path):
+    """Also beyond 10,000 rows, and where a weight ends in five."""
+    n = 10_600
+    spark.range(n).selectExpr("id AS vec_id", "CAST(IF(id < 1024, 0, IF(id < 1100, NULL, 1)) AS INT) AS label", "array(1f) AS embedding").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    expected = sorted(db.sql(registry.SQL["class_weights"]).fetchall())
+    assert sorted(tuple(r) for r in registry.QUERIES["class_weights"](spark, str(tmp_path)).collect()) == expected and len(expected) == n
