@@ -14,6 +14,10 @@ from ..config import IndexConfig
 from ..functions.distance import half, scores, softmax
 
 
+#: Rows by buckets that are worked out at a time; rows and numbers of the sample that trains a router.
+CELLS, TRAINED, NUMBERS = 1 << 20, 1 << 16, 1 << 24
+
+
 class Router(Protocol):
     n_buckets: int
 
@@ -147,9 +151,12 @@ def sampled(rows: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def assigned(x: np.ndarray, centres: np.ndarray, spherical: bool) -> np.ndarray:
-    """The nearest centre of each row, the lower of equals: by the dot product, or by Euclidean distance."""
-    near = x @ centres.T
-    return np.argmax(np.round(near if spherical else 2 * near - (centres**2).sum(1), 12), axis=1)
+    """The nearest centre of each row, the lower of equals: by the dot product, or by Euclidean distance. CELLS of rows by centres at a time."""
+    out, n = np.empty(len(x), np.int64), max(1, CELLS // max(1, len(centres)))
+    for at in range(0, len(x), n):
+        near = x[at : at + n] @ centres.T
+        out[at : at + n] = np.argmax(np.round(near if spherical else 2 * near - (centres**2).sum(1), 12), axis=1)
+    return out
 
 
 def centres_of(sums: np.ndarray, counts: np.ndarray, spherical: bool, before: np.ndarray) -> np.ndarray:
@@ -167,11 +174,15 @@ def kmeans(x: np.ndarray, k: int, spherical: bool, rounds: int, seed: int) -> np
     if spherical:  # a zero vector has no direction: it gets a fixed one
         length = np.linalg.norm(x, axis=1)[:, None]
         x = np.where(length > 0, x / np.where(length > 0, length, 1), np.eye(1, x.shape[1]))
-    centres = x[[rng.integers(len(x))]]
-    far = ((x - centres[0]) ** 2).sum(1)
-    while len(centres) < k and far.max() > 0:
-        centres = np.concatenate([centres, x[[rng.choice(len(x), p=far / far.sum())]]])
-        far = np.minimum(far, ((x - centres[-1]) ** 2).sum(1))
+    square, drawn, far = (x**2).sum(1), [], np.full(len(x), np.inf)
+    while len(drawn) < k and far.max() > 0:
+        upto = np.cumsum(far) if drawn else None
+        drawn.append(min(int(np.searchsorted(upto, rng.random() * upto[-1], side="right")), len(x) - 1) if drawn else int(rng.integers(len(x))))
+        both = square + square[drawn[-1]]
+        away = both - 2 * (x @ x[drawn[-1]])
+        far = np.minimum(far, np.where(away > 1e-12 * both, away, 0))  # less is what rounding leaves of equal rows
+        far[drawn[-1]] = 0
+    centres = x[drawn]
     labels = np.zeros(len(x), int)
     for done in range(rounds):
         now = assigned(x, centres, spherical)
@@ -185,8 +196,9 @@ def kmeans(x: np.ndarray, k: int, spherical: bool, rounds: int, seed: int) -> np
 
 
 def train_mlp(rows: DataFrame, n_rows: int, level: int, config: IndexConfig) -> MlpRouter:
-    """A router for a new level, trained on a bounded sample of the rows that found it."""
+    """A router for a new level, trained on the driver on a sample of the rows that found it: 40 a bucket, TRAINED rows and NUMBERS numbers at most."""
     k = config.n_buckets(level)
-    table = sampled(rows, sample_size(n_rows, k, config.train.threshold_samples), config.seed).select("vec_id", "embedding").toPandas()
-    x = np.stack(table["embedding"].to_numpy()).astype(np.float64)
-    return MlpRouter.fit(x, kmeans(x, min(k, n_rows), config.distance_fn == "dot", config.train.max_iters, config.seed), k, config)
+    n = min(sample_size(n_rows, k, config.train.threshold_samples), TRAINED, max(1, NUMBERS // config.input_shape))
+    table = sampled(rows, n, config.seed).select("embedding").toArrow()
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("embedding").chunks]).astype(np.float64).reshape(table.num_rows, -1)
+    return MlpRouter.fit(x, kmeans(x, min(k, len(x)), config.distance_fn == "dot", config.train.max_iters, config.seed), k, config)

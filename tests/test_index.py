@@ -1,5 +1,6 @@
 import glob
 import os
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -295,3 +296,14 @@ def test_class_weights_of_every_row(spark, tmp_path):
     db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     expected = sorted(db.sql(registry.SQL["class_weights"]).fetchall())
     assert sorted(tuple(r) for r in registry.QUERIES["class_weights"](spark, str(tmp_path)).collect()) == expected and len(expected) == n
+
+
+def test_training_is_bounded_in_memory():
+    from lodestone.operators.router import kmeans
+
+    x = np.random.default_rng(0).normal(size=(12_000, 8))
+    tracemalloc.start()
+    labels = kmeans(x, 2000, True, 2, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(labels)) > 1500 and peak < 64 << 20  # rows by centres alone would be 192 MB
