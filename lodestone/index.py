@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from .config import IndexConfig, TrainParams
 from .functions import distance
-from .operators import leveling
-from .operators.exact import matrix, nearest
-from .operators.router import Router, packed, train_mlp, unpacked
+from .operators import exact, leveling
+from .operators.exact import matrix
+from .operators.router import CELLS, Router, packed, train_mlp, unpacked
 from .sources.storage import numbered, read_text, removed, shared_folder, write_text
 
 BUFFER = -1
@@ -35,8 +35,8 @@ DEFAULT_K, DEFAULT_CANDIDATES = 10, 30_000
 STRATEGIES = ("model",)
 #: Buckets of a level listed as a filter of its scan; beyond that the level is read.
 MOST_LISTED = 200
-#: Rows of a bucket that a search compares in one task, and cells (queries by buckets) that it ranks at a time.
-PIECE, CELLS = 1 << 17, 1 << 22
+#: Rows that a search compares in one task, at most (buckets share a task, larger ones are split), and at least if there are so many.
+PIECE, FEW = 1 << 17, 1 << 13
 
 Factory = Callable[[DataFrame, int, int, IndexConfig], Router]
 
@@ -65,6 +65,84 @@ class Part:
     cold: bool = False
 
 
+@dataclass(frozen=True)
+class Parts:
+    """Which part of a search has the rows of a place (a bucket): first[place], or pieces[place] from there on. In it places have numbers of their own."""
+
+    first: np.ndarray
+    pieces: np.ndarray
+    local: np.ndarray
+    #: Places of each part.
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray, partitions: int) -> Parts:
+        size = max(1, min(PIECE, max(FEW, -(-int(counts.sum()) // partitions))))
+        pieces = np.maximum(1, -(-counts // PIECE))
+        small = np.where(pieces == 1, counts, 0)
+        first = (np.cumsum(small) - small) // size
+        n = int(first[-1]) + 1
+        large = np.flatnonzero(pieces > 1)
+        first[large] = n + np.cumsum(pieces[large]) - pieces[large]
+        total = n + int(pieces[large].sum())
+        local = np.zeros(len(counts), np.int64)
+        few = np.flatnonzero(pieces == 1)
+        local[few] = np.arange(len(few)) - np.searchsorted(first[few], first[few])
+        return cls(first, pieces, local, np.maximum(1, np.bincount(first[few], minlength=total)))
+
+    def find(self, place: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows with these places and ids their parts, and the places' numbers there."""
+        return self.first[place] + exact.dealt(ids, self.pieces[place].astype(np.uint64)), self.local[place].astype(np.int32)
+
+    def questions(self, batch: pa.RecordBatch, row: np.ndarray, place: np.ndarray, groups: int) -> pa.RecordBatch:
+        """A row for each part and group of queries that chose places of it: ids, vectors, and for each query a bit for each place."""
+        n = self.pieces[place]
+        part = np.repeat(self.first[place] + n - np.cumsum(n), n) + np.arange(int(n.sum()))
+        row, local = np.repeat(row, n), np.repeat(self.local[place], n)
+        qid, vectors = batch.column("qid").to_numpy(), matrix(batch.column("qv"))
+        cell = part * groups + exact.dealt(qid, groups)[row]
+        order = np.argsort(cell, kind="stable")
+        begin = np.flatnonzero(np.append(True, np.diff(cell[order]) != 0))
+        out = []
+        for own in np.split(order, begin[1:]):
+            asking, which = np.unique(row[own], return_inverse=True)
+            bits = np.zeros((len(asking), int(self.sizes[part[own[0]]])), bool)
+            bits[which, local[own]] = True
+            out.append((int(part[own[0]]), qid[asking].tobytes(), vectors[asking].tobytes(), np.packbits(bits, axis=1).tobytes(), False, int(cell[own[0]])))
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["part", "ids", "vectors", "bits", "single", "cell"])
+
+    def nearest(self, metric: str, left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(qid, id, nearness) of the k nearest rows of each query among the places that it chose."""
+        (qids, queries), (ids, rows) = exact.unpacked(left), exact.unpacked(right)
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if len(qids) and len(ids):
+            width = int(self.sizes[left.column("part")[0].as_py()])
+            bits = np.frombuffer(b"".join(left.column("bits").to_pylist()), np.uint8).reshape(len(qids), -1)
+            place = np.frombuffer(b"".join(right.column("places").to_pylist()), np.int32)
+            order = np.argsort(place, kind="stable")
+            ids, rows, place = ids[order], rows[order], place[order]
+            held = np.bincount(place, minlength=width)
+            for a in range(0, len(qids), exact.QUERIES):
+                some = slice(a, a + exact.QUERIES)
+                chosen = np.unpackbits(bits[some], axis=1, count=width).astype(bool)
+                found = []
+                if 8 * int((chosen * held).sum()) > len(chosen) * len(ids):  # one product of matrices, whose other cells don't count
+                    for b in range(0, len(ids), exact.ROWS):
+                        own = slice(b, b + exact.ROWS)
+                        found.append(exact.nearest(metric, ids[own], rows[own], qids[some], queries[some], k, allowed=None if chosen[:, place[own]].all() else chosen[:, place[own]].T))
+                else:
+                    ends = np.cumsum(held)
+                    for p in np.flatnonzero((held > 0) & chosen.any(0)).tolist():
+                        own, asking = slice(int(ends[p] - held[p]), int(ends[p])), np.flatnonzero(chosen[:, p])
+                        column, *other = exact.nearest(metric, ids[own], rows[own], qids[some][asking], queries[some][asking], k)
+                        found.append((asking[column], *other))
+                column, *other = exact.best(found, k)
+                for x, y in zip(out, (qids[some][column], *other)):
+                    x.append(y)
+        return tuple(np.concatenate(x) for x in out)
+
+
 class VectorIndex:
     def __init__(self, spark: SparkSession, config: IndexConfig, factory: Factory = train_mlp):
         self.spark, self.config, self.factory = spark, config, factory
@@ -157,8 +235,10 @@ class VectorIndex:
                 bucket = np.zeros(len(level), np.int32)
                 vectors = matrix(batch.column("embedding"))
                 for i in np.unique(level[level >= 0]).tolist():
-                    of = np.flatnonzero(level == i)
-                    bucket[of] = np.argmax(np.round(shipped.value[i].probabilities(vectors[of]), 15), axis=1)
+                    router, whole = shipped.value[i], np.flatnonzero(level == i)
+                    n = max(1, CELLS // router.n_buckets)
+                    for of in (whole[a : a + n] for a in range(0, len(whole), n)):
+                        bucket[of] = np.argmax(np.round(router.probabilities(vectors[of]), 15), axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column("level"), pa.array(bucket), batch.column("vec_id"), batch.column("embedding")], ["level", "bucket", "vec_id", "embedding"])
 
         return rows.select("level", "vec_id", "embedding").mapInArrow(route, RECORDS)
@@ -276,38 +356,38 @@ class VectorIndex:
 
         def predict(batches):
             for batch in batches:
-                qid, vectors = batch.column("qid").to_numpy(), matrix(batch.column("qv"))
-                for i in used:
-                    p = shipped.value[i].probabilities(vectors) if len(qid) else np.zeros((0, 1))
+                whole, vectors = batch.column("qid").to_numpy(), matrix(batch.column("qv"))
+                for i, a, n in ((i, a, n) for i in used for n in [max(1, CELLS // shipped.value[i].n_buckets)] for a in range(0, len(whole), n)):
+                    qid, p = whole[a : a + n], shipped.value[i].probabilities(vectors[a : a + n])
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, p.shape[1])), pa.array(np.full(p.size, i, np.int32)), pa.array(np.tile(np.arange(p.shape[1], dtype=np.int32), len(qid))), pa.array(p.ravel())], ["qid", "level", "bucket", "prob"])
 
         return _asked(queries).mapInArrow(predict, "qid long, level int, bucket int, prob double")
 
-    def _ranked(self, queries: DataFrame, n_candidates: int | None, found, schema: str) -> DataFrame:
-        """found(batch, rows, places, priority, occ, before) for the buckets of each query, best first, that the budget reaches.
+    def _ranking(self, n_candidates: int | None):
+        """A function that gives for a batch of queries, some at a time, (those, row, place, priority, occ, before) of the buckets that the budget reaches, best first.
 
-        rows are places in the batch, places among (levels, buckets), both of them shipped with what each bucket holds.
+        rows are places among those queries, places among (levels, buckets).
         """
         used = [i for i, n in enumerate(self.levels) if n]
         shipped = self.spark.sparkContext.broadcast({i: self.routers[i] for i in used})
-        occ = np.concatenate([np.zeros(0, np.int64), *(self.counts[i] for i in used), *([self.counts[BUFFER]] if self.buffered else [])])
+        occ = np.concatenate([np.zeros(0, np.int64), *(self.counts[i] for i in used), self.counts[BUFFER]])
         scale = np.repeat([float(self.config.arity) ** i for i in used], [len(self.counts[i]) for i in used])
-
-        def rank(batches):
-            for whole in batches:
-                for at in range(0, whole.num_rows, max(1, CELLS // max(1, len(occ)))):
-                    batch = whole.slice(at, max(1, CELLS // max(1, len(occ))))
-                    vectors = matrix(batch.column("qv"))
-                    p = [shipped.value[i].probabilities(vectors) for i in used]
-                    priority = np.round(np.concatenate([np.zeros((len(vectors), 0)), *p], axis=1).clip(0) * scale, 9)
-                    priority = np.concatenate([priority, np.ones((len(vectors), len(occ) - len(scale)))], axis=1)
-                    order = np.argsort(-np.where(occ > 0, priority, -1), axis=1, kind="stable")
-                    held = occ[order]
-                    before = np.cumsum(held, axis=1) - held
-                    row, k = np.nonzero((held > 0) & (before < (np.inf if n_candidates is None else n_candidates)))
-                    yield found(batch, row, order[row, k], priority[row, order[row, k]], held[row, k], before[row, k])
-
-        return _asked(queries).mapInArrow(rank, schema)
+        n = max(1, CELLS // len(occ))
+
+        def rank(whole):
+            for batch in (whole.slice(at, n) for at in range(0, whole.num_rows, n)):
+                vectors = matrix(batch.column("qv"))
+                p = [shipped.value[i].probabilities(vectors) for i in used]
+                priority = np.round(np.concatenate([np.zeros((len(vectors), 0)), *p], axis=1).clip(0) * scale, 9)
+                priority = np.concatenate([priority, np.ones((len(vectors), 1))], axis=1)
+                order = np.argsort(-np.where(occ > 0, priority, -1), axis=1, kind="stable")
+                held = occ[order]
+                before = np.cumsum(held, axis=1) - held
+                row, k = np.nonzero((held > 0) & (before < (np.inf if n_candidates is None else n_candidates)))
+                place = order[row, k]
+                yield batch, row, place, priority[row, place], held[row, k], before[row, k]
+
+        return rank
 
     def _places(self, stored: bool) -> tuple[np.ndarray, np.ndarray]:
         """Levels and buckets in the order that ``_ranked`` has them; the buffer as it is stored, or as the level after the last."""
@@ -319,58 +399,74 @@ class VectorIndex:
     def candidates(self, queries: DataFrame, n_candidates: int | None = None) -> DataFrame:
         """(qid, level, bucket, priority, occ, before): non-empty buckets, and the rows that come before each. The buffer stands as the level after the last."""
         level, bucket = self._places(False)
+        rank = self._ranking(n_candidates)
 
-        def found(batch, row, place, priority, occ, before):
-            columns = [batch.column("qid").take(pa.array(row)), pa.array(level[place]), pa.array(bucket[place]), pa.array(priority), pa.array(occ), pa.array(before)]
-            return pa.RecordBatch.from_arrays(columns, ["qid", "level", "bucket", "priority", "occ", "before"])
+        def listed(batches):
+            for batch, row, place, *numbers in (x for whole in batches for x in rank(whole)):
+                columns = [batch.column("qid").take(pa.array(row)), pa.array(level[place]), pa.array(bucket[place]), *map(pa.array, numbers)]
+                yield pa.RecordBatch.from_arrays(columns, ["qid", "level", "bucket", "priority", "occ", "before"])
 
-        return self._ranked(queries, n_candidates, found, "qid long, level int, bucket int, priority double, occ long, before long")
+        return _asked(queries).mapInArrow(listed, "qid long, level int, bucket int, priority double, occ long, before long")
 
     def selected(self, queries: DataFrame, n_candidates: int) -> DataFrame:
         return self.candidates(queries, n_candidates)
 
-    def search(self, queries: DataFrame, k: int = DEFAULT_K, n_candidates: int = DEFAULT_CANDIDATES, search_strategy: str = "model") -> DataFrame:
-        """(qid, rank, vec_id, score) for each of queries (qid, qv): the k nearest among the buckets that the budget reaches, ties by vec_id.
+    def search(self, queries: DataFrame, k: int = DEFAULT_K, n_candidates: int | None = DEFAULT_CANDIDATES, search_strategy: str = "model") -> DataFrame:
+        """(qid, rank, vec_id, score) for each of queries (qid, qv): the k nearest among the buckets that the budget reaches (None: all), ties by vec_id.
 
-        Only buckets that some query chose are read. Queries meet a bucket's rows in one task a piece of PIECE rows, as products of
-        matrices, and k rows a query leave it. Queries that lack an id or a vector find nothing.
+        Only buckets that some query chose are read. Buckets are put together in parts of at most PIECE rows, or 2 * PIECE with the last
+        one; larger ones are split. A query goes once to each part that it chose buckets of, with a bit for each bucket, and k rows a query
+        leave it. Queries that lack an id or a vector find nothing.
         """
         if search_strategy not in STRATEGIES:
             raise ValueError(f"unknown search strategy {search_strategy!r}")
+        rank, asked = self._ranking(n_candidates), _asked(queries)
         level, bucket = self._places(True)
-        counts = np.array([self.counts[i][b] for i, b in zip(level.tolist(), bucket.tolist())])
-        pieces = np.maximum(1, -(-counts // PIECE)).astype(np.int32)
 
-        def found(batch, row, place, *_):
-            n = pieces[place]
-            row, place = np.repeat(row, n), np.repeat(place, n)
-            piece = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            columns = [pa.array(level[place]), pa.array(bucket[place]), pa.array(piece), *(batch.column(c).take(pa.array(row)) for c in ("qid", "qv"))]
-            return pa.RecordBatch.from_arrays(columns, ["level", "bucket", "piece", "qid", "qv"])
-
-        chosen = self._ranked(queries, n_candidates, found, "level int, bucket int, piece int, qid long, qv array<double>")
-        by_level: dict[int, list[int]] = {}
-        for r in chosen.select("level", "bucket").distinct().collect():  # as many as the index has buckets, at most
-            by_level.setdefault(r["level"], []).append(r["bucket"])
-        if not by_level:
+        def reach(batches):
+            n, met = 0, np.zeros(len(level), bool)
+            for whole in batches:
+                n += whole.num_rows
+                for _, _, place, *_ in rank(whole):
+                    met[place] = True
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.packbits(met).tobytes()])], ["n", "places"])
+
+        told = asked.mapInArrow(reach, "n long, places binary").collect()  # a bit a bucket from each task
+        met = np.zeros(len(level), bool)
+        for r in told:
+            met |= np.unpackbits(np.frombuffer(r["places"], np.uint8), count=len(level)).astype(bool)
+        if not met.any():
             return self.spark.createDataFrame([], "qid long, rank long, vec_id long, score double")
-        rows = self._read(by_level)
-        large = [(int(i), int(b), int(n)) for i, b, n in zip(level, bucket, pieces) if n > 1]
-        if large:
-            dealt = self.spark.createDataFrame(large, "level int, bucket int, pieces int")
-            rows = rows.join(F.broadcast(dealt), ["level", "bucket"], "left").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
-        else:
-            rows = rows.withColumn("piece", F.lit(0))
+        by_level: dict[int, list[int]] = {}
+        for i, b in zip(level[met].tolist(), bucket[met].tolist()):
+            by_level.setdefault(i, []).append(b)
+        counts = np.where(met, np.concatenate([self.counts[i] for i in dict.fromkeys(level.tolist())]), 0)
+        parts = Parts.of(counts, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        start = {int(i): int(np.flatnonzero(level == i)[0]) for i in np.unique(level)}
+        groups = exact.grid(1, sum(r["n"] for r in told), self.config.input_shape, 1)[1]
         metric = self.config.distance_fn
 
-        def near(key, left, right):
-            out = [nearest(metric, right["vec_id"].to_numpy(), matrix(right["embedding"].combine_chunks()), part["qid"].to_numpy(), matrix(part["qv"].combine_chunks()), k) for part in (left.slice(a, 1024) for a in range(0, left.num_rows, 1024)) if right.num_rows]
-            return pa.table(dict(zip(["qid", "vec_id", "near"], (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((np.int64, np.int64, np.float64), list(zip(*out)) or [[]] * 3)))))
+        def ask(batches):
+            for batch, row, place, *_ in (x for whole in batches for x in rank(whole)):
+                if len(row):
+                    yield parts.questions(batch, row, place, groups)
+
+        def deal(batches):
+            for batch in batches:
+                at = batch.column("bucket").to_numpy() + np.array([start[i] for i in batch.column("level").to_pylist()], np.int64)
+                kept = np.flatnonzero(met[at])
+                part, local = parts.find(at[kept], batch.column("vec_id").to_numpy()[kept])
+                yield exact.packed(batch.take(pa.array(kept)), part, "vec_id", "embedding", places=local)
 
-        keys = ["level", "bucket", "piece"]
-        met = chosen.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(near, "qid long, vec_id long, near double")
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("near").desc(), "vec_id")).cast("long")
-        return met.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "vec_id", (F.col("near") if metric == "dot" else -F.col("near")).alias("score"))
+        def near(key, left, right):
+            found = parts.nearest(metric, left, right, k)
+            return pa.table(dict(zip(["qid", "vec_id", "near"], found)))
+
+        chosen = asked.mapInArrow(ask, exact.PACKED + ", bits binary, single boolean, cell int")
+        cell = F.explode(F.expr(f"transform(sequence(0, {groups - 1}), x -> part * {groups} + x)"))
+        rows = self._read(by_level).mapInArrow(deal, exact.PACKED + ", places binary, single boolean").withColumn("cell", cell)
+        found = chosen.groupBy("cell").cogroup(rows.groupBy("cell")).applyInArrow(near, "qid long, vec_id long, near double")
+        return exact.ranked(found, k, metric)
 
     search_bulk = search
 

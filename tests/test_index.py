@@ -4,6 +4,7 @@ import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.config import ConfigError, IndexConfig, TrainParams, from_dict
@@ -307,3 +308,43 @@ def test_training_is_bounded_in_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(set(labels)) > 1500 and peak < 64 << 20  # rows by centres alone would be 192 MB
+
+
+def test_exact_search_in_groups_keeps_queries_off_the_driver(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from lodestone.operators import exact
+
+    monkeypatch.setattr(exact, "NUMBERS", 1 << 9)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    x = np.random.default_rng(1).normal(size=(500, 8)).astype(np.float32)
+    x[300:] = x[:200]
+    rows = vectors_of(spark, x.tolist())
+    for k, alone in ((1, True), (7, False)):
+        found = knn(rows, rows.selectExpr("vec_id AS qid", "embedding AS qv"), k, exclude_self=alone).collect()
+        near = np.round(x.astype(float) @ x.astype(float).T, 9)
+        if alone:
+            np.fill_diagonal(near, -np.inf)
+        best = np.argsort(-near, axis=1, kind="stable")[:, :k]
+        assert sorted((r["qid"], r["rank"] - 1, r["vec_id"]) for r in found) == [(i, j, best[i, j]) for i in range(500) for j in range(k)]
+
+
+def test_search_parts_are_bounded_and_ask_once_a_query(spark, monkeypatch):
+    from lodestone import index as module
+    from lodestone.operators import exact
+
+    parts = module.Parts.of(np.full(20_000, 30), 200)
+    rows_of = np.bincount(parts.first, weights=np.full(20_000, 30))
+    assert rows_of.max() <= 2 * module.PIECE and len(parts.sizes) <= 200
+    batch = pa.RecordBatch.from_pydict({"qid": np.arange(40), "qv": [[1.0] * 64] * 40})
+    asked = parts.questions(batch, np.repeat(np.arange(40), 20_000), np.tile(np.arange(20_000), 40), 1)
+    assert asked.num_rows == len(parts.sizes) and asked.nbytes < 40 * len(parts.sizes) * 1000  # 400 MB with vectors beside each bucket
+    monkeypatch.setattr(module, "FEW", 16)
+    monkeypatch.setattr(exact, "NUMBERS", 30)
+    rows, asked = points(spark, 159), points(spark, 159).selectExpr("vec_id AS qid", "embedding AS qv")
+    index = VectorIndex(spark, TINY).insert(rows)
+    assert sorted(index.search(asked, 5, None).collect()) == sorted(knn(rows, asked, 5, "l2").collect())
+    chosen = {(r["qid"], r["level"], r["bucket"]) for r in index.candidates(asked, 40).collect()}
+    at = {r["vec_id"]: (r["level"], r["bucket"]) if r["level"] >= 0 else (len(index.levels), sum(2 ** (i + 1) for i in range(len(index.levels)))) for r in index.records.collect()}
+    for r in index.search(asked, 5, 40).collect():
+        assert (r["qid"], *at[r["vec_id"]]) in chosen
