@@ -4,6 +4,7 @@ import tracemalloc
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -289,6 +290,53 @@ def test_kmeans_ends_at_its_nearest_centres():
     assert assigned(np.array([[1.0, 0.0]]), np.array([[0.0, 1.0], [1.0, 0.0], [1.0, 0.0]]), False)[0] == 1
 
 
+@pytest.fixture(scope="module")
+def third(tmp_path_factory):
+    """1207 rows: neither of the sizes that the SQL has the placement of."""
+    folder = tmp_path_factory.mktemp("third")
+    duckdb.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.1/embeddings.parquet' WHERE vec_id < 1207) TO '{folder}/embeddings.parquet'")
+    return str(folder)
+
+
+def inserted(n: int) -> tuple[list[list[int]], list[int]]:
+    """Levels and buffer of the fixture after n rows, one by one."""
+    levels, buffer = [], []
+    for i in range(n):
+        buffer.append(i)
+        if len(buffer) == 30:
+            target = next((j for j, x in enumerate(levels) if 90 * 3**j - len(x) >= 30 + sum(map(len, levels[:j]))), len(levels))
+            levels += [[]] * (target == len(levels))
+            levels[: target + 1] = [*[[] for _ in range(target)], levels[target] + sum(levels[:target], []) + buffer]
+            buffer = []
+    return levels, buffer
+
+
+def sql_with_placement(db, name: str, n: int) -> str:
+    """The query's SQL with the placement of n rows in place of the literals of 500 and 2000."""
+    levels, buffer = inserted(n)
+    placed = pd.DataFrame([(i, level) for level, x in [*enumerate(levels), (-1, buffer)] for i in x], columns=["vec_id", "level"])
+    sizes = pd.DataFrame([(i, 3 ** (i + 1)) for i in range(len(levels))], columns=["level", "nb"])
+    db.register("placed_of", placed)
+    db.register("lv_of", sizes)
+    head, rest = registry.SQL[name].split("lv AS (", 1)
+    own = "lv AS (SELECT * FROM lv_of),\nplace AS (SELECT vec_id, v, level FROM e JOIN placed_of USING (vec_id)),\ncen AS"
+    return head + own + rest.split("\ncen AS", 1)[1]
+
+
+#: The SQL of the rebuilds says which level moves where as well, which depends on the size.
+PLACED = sorted(name for name, text in registry.SQL.items() if "lv AS (" in text and not name.startswith("rebuild"))
+
+
+@pytest.mark.parametrize("name", PLACED)
+def test_query_equals_sql_with_another_placement(spark, third, name):
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{third}/embeddings.parquet'")
+    a, b = registry.QUERIES[name](spark, third).toPandas(), db.sql(sql_with_placement(db, name, 1207)).df()
+    cols = sorted(a.columns)
+    a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (a, b))
+    pd.testing.assert_frame_equal(a, b, check_dtype=False, check_exact=True)
+
+
 def test_class_weights_of_every_row(spark, tmp_path):
     """Also beyond 10,000 rows, and where a weight ends in five."""
     n = 10_600
