@@ -117,6 +117,8 @@ def knn(records: DataFrame, queries: DataFrame, k: int, metric: str = "dot", exc
     left = asked.mapInArrow(packer("qid", "qv", n_queries), schema).withColumn("cell", cell)
     cell = F.explode(F.expr(f"transform(sequence(0, {n_queries - 1}), x -> x * {n_rows} + part)"))
     right = rows.mapInArrow(packer("vec_id", "embedding", n_rows), schema).withColumn("cell", cell)
+    # by number, as Spark would put small partitions together by their bytes, which say little of the work
+    left, right = (x.repartition(partitions, "cell") for x in (left, right))
     found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(meet, "qid long, vec_id long, near double")
     return ranked(found, k, metric)
 
