@@ -42,7 +42,7 @@ def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
     fd, path = tempfile.mkstemp(prefix="lodestone-trie-")
     try:
         os.ftruncate(fd, max(8, at))
-        whole = np.memmap(path, np.uint8, "r+", shape=(max(8, at),))
+        whole = np.asarray(np.memmap(path, np.uint8, "r+", shape=(max(8, at),)))
     finally:
         os.close(fd)
         os.unlink(path)
@@ -68,19 +68,17 @@ class EliasFano:
         words = np.packbits(raw, bitorder="little").view(np.uint64)
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)]).astype(np.uint32)
         width = max(1, -(-self.l // 8))
-        low = (values & np.uint64((1 << self.l) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        low = np.zeros((self.n + 8, width), np.uint8)  # some more, as a number is read as eight bytes
+        low[: self.n] = (values & np.uint64((1 << self.l) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
         self.width = width
-        self.parts = [words, ones, np.ascontiguousarray(low).ravel()]
+        self.parts = [words, ones, low.ravel()]
 
     def place(self, parts: list[np.ndarray]) -> None:
         self.words, self.ones, low = parts
-        self.low = low.reshape(-1, self.width)
+        self.low = np.ndarray((self.n + 1,), "<u8", low, 0, (self.width,))  # the next numbers' bytes are cut off
 
     def lows(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for k in range(self.width):
-            out |= self.low[i, k].astype(np.uint64) << np.uint64(8 * k)
-        return out
+        return self.low[i] & np.uint64((1 << self.l) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""
@@ -108,24 +106,34 @@ class EliasFano:
         last[beyond] = 64 * word + bit - high[beyond]
         return first, last
 
-    def successor(self, x: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Place of the first value of at least x among [begin, end), and whether it is x."""
+    def successor(self, x: np.ndarray, begin: np.ndarray | int = 0, end: np.ndarray | None = None, guess: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the first value of at least x among [begin, end), and whether it is x. With a guess of
+        the place these are distinct and all have x's high bits."""
         if not self.n or not len(x):
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        high = (x >> np.uint64(self.l)).astype(np.int64)
         low = x & np.uint64((1 << self.l) - 1)
-        first, last = self.bucket(high)
-        first, last = np.maximum(first, begin), np.minimum(last, self.n if end is None else end)
-        a, b = first.copy(), last.copy()
-        while (open_ := np.flatnonzero(a < b)).size:
-            middle = (a[open_] + b[open_]) // 2
-            less = self.lows(middle) < low[open_]
-            a[open_[less]] = middle[less] + 1
-            b[open_[~less]] = middle[~less]
-        inside = np.flatnonzero(a < last)
-        hit = np.zeros(len(x), bool)
-        hit[inside] = self.lows(a[inside]) == low[inside]
-        return a, hit
+        if guess is not None:
+            first, last = begin, end
+        else:
+            first, last = self.bucket((x >> np.uint64(self.l)).astype(np.int64))
+            first, last = np.maximum(first, begin), np.minimum(last, self.n if end is None else end)
+        place, hit = np.array(first), np.zeros(len(x), bool)
+        open_ = np.flatnonzero(first < last)
+        a, b, wanted = first[open_], last[open_], low[open_]
+        middle = (a + b) >> 1 if guess is None else np.minimum(guess[open_], b - 1)
+        while len(open_):  # those still sought stand side by side
+            found = self.lows(middle)
+            less, same = found < wanted, found == wanted
+            hit[open_[same]] = True
+            if guess is not None:
+                a = np.where(same, middle, a)
+            a, b = np.where(less, middle + 1, a), np.where(less, b, middle)  # of equal ones the first is sought
+            going = a < b
+            done = ~going
+            place[open_[done]] = a[done]
+            open_, a, b, wanted = open_[going], a[going], b[going], wanted[going]
+            middle = (a + b) >> 1
+        return place, hit
 
 
 class Trie:
@@ -139,8 +147,9 @@ class Trie:
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], word_bits: int):
         """Of each level the parents' places (0 in the first), words below 2**word_bits and payloads, distinct and sorted by parent and word."""
         self.bits, n, parts = word_bits, 1, []
-        self.words, self.pointers = [], []
+        self.words, self.pointers, self.most = [], [], []
         for parent, word, _ in levels:
+            self.most.append(int(word.max(initial=0)))
             self.pointers.append(EliasFano(np.searchsorted(parent, np.arange(n + 1)), max(1, len(word).bit_length())))
             self.words.append(EliasFano((parent.astype(np.uint64) << np.uint64(word_bits)) | word.astype(np.uint64), word_bits + max(1, n.bit_length())))
             n = len(word)
@@ -157,7 +166,14 @@ class Trie:
         if len(q):
             new = np.append(True, np.diff(parent[q]) != 0)  # neighbours mostly share a parent
             of, run = parent[q][new], np.cumsum(new) - 1
-            begin, end = (self.pointers[level].access(of + k).astype(np.int64)[run] for k in (0, 1))
-            at, hit = self.words[level].successor((parent[q].astype(np.uint64) << np.uint64(self.bits)) | word[q].astype(np.uint64), begin, end)
+            near = np.append(of[1:] == of[:-1] + 1, False)  # where the next one's children begin, this one's end
+            begin = self.pointers[level].access(of).astype(np.int64)
+            end = np.append(begin[1:], 0)
+            end[~near] = self.pointers[level].access(of[~near] + 1).astype(np.int64)
+            words = self.words[level]
+            alike = max(self.most[level], int(word.max())) >> min(words.l, self.bits) == 0  # then siblings differ in their low bits alone
+            begin, end = begin[run], end[run]
+            nth = np.arange(len(q)) - np.flatnonzero(new)[run]  # mostly all children of a parent are sought, in order
+            at, hit = words.successor((parent[q].astype(np.uint64) << np.uint64(self.bits)) | word[q].astype(np.uint64), begin, end, begin + nth if alike else None)
             out[q[hit]] = at[hit]
         return out

@@ -28,26 +28,58 @@ CHUNK_BYTES = 12 << 20
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes: the bytes of like weight together, then compressed."""
+    """Arrays as bytes: the bytes of like weight together, without those that are 0 in all numbers, then compressed."""
     out = []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        planes = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-        out.append(a.dtype.str.encode().ljust(4) + len(a).to_bytes(8, "little") + planes)
+        width = a.itemsize
+        if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
+            width = max(1, -(-int(a.max()).bit_length() // 8))
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T[:width])  # tobytes() of a view takes an element at a time
+        out += [a.dtype.str.encode().ljust(4) + bytes([width]) + len(a).to_bytes(7, "little"), planes.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unpacked(body: bytes) -> list[np.ndarray]:
     data, at, out = zstandard.ZstdDecompressor().decompress(body), 0, []
     while at < len(data):
-        kind, n = np.dtype(data[at : at + 4].strip().decode()), int.from_bytes(data[at + 4 : at + 12], "little")
+        kind, width, n = np.dtype(data[at : at + 4].strip().decode()), data[at + 4], int.from_bytes(data[at + 5 : at + 12], "little")
         at += 12
-        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
-        at += n * kind.itemsize
+        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        whole = np.zeros((n, kind.itemsize), np.uint8)
+        for k in range(width):
+            whole[:, k] = planes[k]
+        out.append(whole.reshape(-1).view(kind))
+        at += n * width
     return out
 
 
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of 64-bit keys that aren't negative, and the keys in it. NumPy sorts numbers much faster than places by numbers, so
+    each key is sorted with its place as its last bits; of keys that leave no room for that the last bits are looked at after."""
+    n = len(keys)
+    if n < 1 << 10:
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    keys, kind = keys.view(np.uint64), keys.dtype
+    bits = n.bit_length()
+    drop = max(0, int(keys.max()).bit_length() + bits - 64)
+    order = ((keys >> np.uint64(drop)) << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
+    order.sort()
+    if drop:
+        order = (order & np.uint64((1 << bits) - 1)).view(np.int64)
+        ranked = keys[order]
+        if (ranked[1:] < ranked[:-1]).any():  # the bits left out matter: by the lower halves, then by the upper ones
+            half = np.uint64(32)
+            order = in_order(keys & np.uint64((1 << 32) - 1))[0]
+            order = order[in_order(keys[order] >> half)[0]]
+            ranked = keys[order]
+        return order, ranked.view(kind)
+    ranked = order >> np.uint64(bits)
+    order &= np.uint64((1 << bits) - 1)
+    return order.view(np.int64), ranked.view(kind)
+
+
 def steps(keys: np.ndarray) -> np.ndarray:
     """Sorted keys as differences; np.cumsum gives them back."""
     return np.diff(keys, prepend=keys.dtype.type(0))
@@ -177,12 +209,26 @@ def split_by_shard(keys: np.ndarray, slots: tuple[int, ...]) -> list[tuple[int,
     return [(slots[p], int(bounds[p]), int(bounds[p + 1])) for p in range(n)]
 
 
-#: Bytes that are white space, bytes with A-Z as a-z, a random number for each byte; and bytes hashed at a time (whole texts, or one).
+#: Bytes that are white space, bytes with A-Z as a-z, a random number for each byte (0 for white space; the second with A-Z as a-z); and
+#: bytes hashed at a time (whole texts, or one).
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTES[_SPACE] = 0
+_LOWER_BYTES = _BYTES[_LOWER]
 _BASE = 0xD6E8FEB86659FD93
 HASHED = 1 << 19
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of _BASE, and of its inverse. They are kept as far as HASHED."""
+    if n <= len(_POWERS[0]):
+        return [x[:n] for x in _POWERS]
+    made = [np.cumprod(np.append(np.uint64(1), np.full(max(n, HASHED) - 1, base, np.uint64))) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+    if n <= HASHED:
+        _POWERS[:] = made
+    return [x[:n] for x in made]
 
 
 def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -204,11 +250,9 @@ def word_hashes(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
         start = np.flatnonzero(begins)
         counts.append(np.diff(np.searchsorted(start, own)))
         if len(start):
-            length = np.diff(np.append(start, len(part)))
-            place = np.arange(start[0], len(part)) - np.repeat(start, length)
-            powers = np.cumprod(np.append(np.uint64(1), np.full(int(length.max()), _BASE, np.uint64)))
-            values = (_BYTES[_LOWER[part]] if lower else _BYTES[part])[start[0] :] * powers[place]
-            values[space[start[0] :]] = 0
-            hashes.append(mix(np.add.reduceat(values, start - start[0])))
+            powers, inverse = _powers(len(part))  # of all bytes by their place in the part, for a word taken back by its own
+            values = (_LOWER_BYTES if lower else _BYTES)[part]
+            values *= powers
+            hashes.append(mix(np.add.reduceat(values, start) * inverse[start]))
         at = end
     return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.append(0, np.cumsum(np.concatenate(counts)))

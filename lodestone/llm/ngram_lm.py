@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .elias_fano import Trie
-from .exchange import Exchange, mix, packed, split_by_shard, steps, unpacked, word_hashes
+from .exchange import Exchange, in_order, mix, packed, split_by_shard, steps, unpacked, word_hashes
 from .tokens import ragged
 
 #: Weight, in counts, of the order below.
@@ -35,7 +35,9 @@ HELD_OUT = 1
 END = np.uint64(0xC949D7C7509E6557)
 #: The number of what stands before a text; words have greater ones, below 2**WORD_BITS.
 START, WORD_BITS = 0, 40
-ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD, ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+#: Numbers of words whose counts a shard looks up in a table.
+FREQUENT = 1 << 16
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -58,8 +60,7 @@ def unigram(count: np.ndarray, n_tokens: int, n_words: int) -> np.ndarray:
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, and the place of each key among them."""
-    order = np.argsort(keys, kind="stable" if len(keys) < 1 << 16 else None)
-    ranked = keys[order]
+    order, ranked = in_order(keys)
     new = np.ones(len(keys), bool)
     new[1:] = ranked[1:] != ranked[:-1]
     place = np.empty(len(keys), np.int64)
@@ -99,19 +100,13 @@ class Trigrams:
         before[text.starts] = 0
         earlier = np.append(0, before)[: len(last)]
         earlier[text.starts] = 0
-        if d < 1 << 21:
-            trigrams, self.of = _distinct((last * d + before) * d + earlier)
-            pair_of = trigrams // d
-            new = np.append(True, np.diff(pair_of) != 0)[: len(pair_of)]
-            pairs, pair_of = pair_of[new], np.cumsum(new) - 1
-            self.pair_of = pair_of[self.of]
-        else:
-            pairs, self.pair_of = _distinct(last * d + before)
-            trigrams, self.of = _distinct(self.pair_of * d + earlier)
-            pair_of = trigrams // d
-        self.last, self.before, self.earlier = pairs // d, pairs % d, trigrams % d
+        bits = d.bit_length()
+        pairs, self.pair_of = _distinct((last << bits) | before)
+        trigrams, self.of = _distinct((self.pair_of << bits) | earlier)
+        pair_of = trigrams >> bits
+        self.last, self.before, self.earlier = pairs >> bits, pairs & ((1 << bits) - 1), trigrams & ((1 << bits) - 1)
         self.counted = np.bincount(self.of, text.train, len(trigrams)).astype(np.uint32)
-        begin = np.searchsorted(pair_of, np.arange(len(pairs) + 1))
+        begin = np.append(np.flatnonzero(np.append(True, pair_of[1:] != pair_of[:-1])[: len(pair_of)]), len(pair_of))
         words = np.append(np.uint64(0), text.words)
         spread = np.append(0, count)[self.last] * 4 * n > self.n_tokens
         place = mix(words[self.last] * ODD + np.where(spread, words[self.before], np.uint64(0)))
@@ -201,37 +196,53 @@ class Asked:
     def __init__(self, bodies: list[bytes], n_shards: int):
         parts = [unpacked(b) for b in bodies]
         self.n_docs, self.n_tokens, self.n_words = (int(x) for x in parts[0][0])
-        join = lambda k: np.concatenate([p[k] for p in parts])
-        shift = np.uint64(WORD_BITS)
-        self.words, at = _distinct(join(1))
-        before = join(3)
-        pairs, pair_at = _distinct((np.repeat(at, join(2)).astype(np.uint64) << shift) | before)
-        self.pair_word, self.before = (pairs >> shift).astype(np.int64), pairs & np.uint64((1 << WORD_BITS) - 1)
-        sizes, counted = join(4).astype(np.int64), join(6)
-        self.pair_count = np.bincount(np.repeat(pair_at, sizes), counted, len(pairs)).astype(np.int64)
-        self.pair_at, self.pair_ends = pair_at, np.cumsum([0, *(len(p[3]) for p in parts)])
+        self.parts, self.n_shards = parts, np.uint64(n_shards)
+        before, first = self.join(3), self.join(5)
+        self.bits = np.uint64(int(max(before.max(initial=0), first.max(initial=0))).bit_length())
+        self.words, at = _distinct(self.join(1))
+        pairs, pair_at = _distinct((np.repeat(at, self.join(2)).astype(np.uint64) << self.bits) | before)
+        self.pair_word, self.before = (pairs >> self.bits).astype(np.int64), pairs & ((ONE << self.bits) - ONE)
+        of, self.first, self.counted = np.repeat(pair_at, self.join(4)), first, self.join(6)
+        self.pair_count = np.bincount(of, self.counted, len(pairs)).astype(np.int64)
+        self.pair_at, self.pair_ends, self.of = pair_at, np.cumsum([0, *(len(p[3]) for p in parts)]), of
         self.trigram_ends = np.cumsum([0, *(len(p[5]) for p in parts)])
-        self.keys, self.counted = (np.repeat(pair_at, sizes).astype(np.uint64) << shift) | join(5), counted
-        shard, end, count = join(7).astype(np.uint64), join(8), join(9)
-        ends = (shard << shift) | end
-        order, n = np.argsort(ends), np.uint64(n_shards)
-        ends, count = ends[order], count[order].astype(np.int64)
-
-        def counts(number: np.ndarray) -> np.ndarray:
-            """The counts of words by number; START counts the documents."""
+
+    def join(self, k: int) -> np.ndarray:
+        return np.concatenate([p[k] for p in self.parts])
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of the last words, and of the words of the pairs before them; START counts the documents."""
+        shift, n = np.uint64(WORD_BITS), self.n_shards
+        ends, count = (self.join(7).astype(np.uint64) << shift) | self.join(8), self.join(9)
+        order, ends = in_order(ends)
+        count = count[order].astype(np.int64)
+
+        def sought(number: np.ndarray) -> np.ndarray:
             out = np.full(len(number), self.n_docs)
             word = np.flatnonzero(number != START)
-            which = number[word] - np.uint64(1)
-            out[word] = count[np.searchsorted(ends, ((which % n) << shift) | (which // n), side="right")]
+            which = number[word] - ONE
+            shard = which % n
+            at = np.searchsorted(ends, (shard << shift) | (which // n), side="right")
+            out[word] = count[np.minimum(at, len(count) - 1)]
+            return out
+
+        frequent = sought(np.arange(min(FREQUENT, len(self.before)), dtype=np.uint64)) if len(count) else np.zeros(0, np.int64)
+
+        def counts_of(number: np.ndarray) -> np.ndarray:
+            """By table for most, as frequent words have small numbers."""
+            rare = np.flatnonzero(number >= np.uint64(len(frequent)))
+            if len(rare) == len(number):
+                return sought(number)
+            out = frequent[np.minimum(number, np.uint64(len(frequent) - 1)).astype(np.int64)]
+            out[rare] = sought(number[rare])
             return out
 
-        self.word_count, self.before_count = counts(self.words), counts(self.before)
+        return counts_of(self.words), counts_of(self.before)
 
     def trigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the distinct trigrams the pair, the first word, the count; and the place of each that was sent."""
-        distinct, at = _distinct(self.keys)
-        shift = np.uint64(WORD_BITS)
-        return (distinct >> shift).astype(np.int64), distinct & np.uint64((1 << WORD_BITS) - 1), np.bincount(at, self.counted, len(distinct)).astype(np.int64), at
+        distinct, at = _distinct((self.of.astype(np.uint64) << self.bits) | self.first)
+        return (distinct >> self.bits).astype(np.int64), distinct & ((ONE << self.bits) - ONE), np.bincount(at, self.counted, len(distinct)).astype(np.int64), at
 
 
 def _pair_answers(bodies: list[bytes], n_shards: int) -> list[bytes]:
@@ -248,13 +259,14 @@ def _context_questions(table: pa.Table, bodies: dict[int, bytes], pair_bodies: d
         yield shard, packed(context[c:d])
 
 
-def build(asked: Asked, pair: np.ndarray, first: np.ndarray, count: np.ndarray, context: np.ndarray) -> Trie:
+def build(asked: Asked, counts: tuple[np.ndarray, np.ndarray], pair: np.ndarray, first: np.ndarray, count: np.ndarray, context: np.ndarray) -> Trie:
     """The trie of the n-grams that were counted, with quantised smoothed probabilities."""
-    p1 = unigram(asked.word_count, asked.n_tokens, asked.n_words)
-    p2 = (asked.pair_count + M2 * p1[asked.pair_word]) / (asked.before_count + M2)
+    word_count, before_count = counts
+    p1 = unigram(word_count, asked.n_tokens, asked.n_words)
+    p2 = (asked.pair_count + M2 * p1[asked.pair_word]) / (before_count + M2)
     p3 = (count + M3 * p2[pair]) / (context + M3)
     none = np.zeros(len(asked.words), np.int64)
-    known = [asked.word_count > 0, asked.pair_count > 0, count > 0]
+    known = [word_count > 0, asked.pair_count > 0, count > 0]
     levels = []
     for keep, parent, word, p, at in zip(known, (none, asked.pair_word, pair), (asked.words, asked.before, first), (p1, p2, p3), (None, *known)):
         place = none if at is None else np.cumsum(at) - 1
@@ -268,7 +280,8 @@ def _probabilities(bodies: list[bytes], context_bodies: list[bytes], n_shards: i
     pair, first, count, at = asked.trigrams()
     context = np.zeros(len(pair))
     context[at] = np.concatenate([np.zeros(0), *(unpacked(b)[0].astype(np.float64) for b in context_bodies)])
-    trie = build(asked, pair, first, count, context)
+    counts = asked.counts()
+    trie = build(asked, counts, pair, first, count, context)
     none = np.zeros(len(asked.words), np.int64)
     word = trie.children(0, none, asked.words)
     two = trie.children(1, word[asked.pair_word], asked.before)
@@ -276,7 +289,7 @@ def _probabilities(bodies: list[bytes], context_bodies: list[bytes], n_shards: i
     found = lambda level, place: restored(trie.payload[level][place])
     p1 = np.full(len(word), unigram(0, asked.n_tokens, asked.n_words))
     p1[word >= 0] = found(0, word[word >= 0])
-    p2 = p1[asked.pair_word] * M2 / (asked.before_count + M2)
+    p2 = p1[asked.pair_word] * M2 / (counts[1] + M2)
     p2[two >= 0] = found(1, two[two >= 0])
     p3 = p2[pair] * M3 / (context + M3)
     code = quantised(p3)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
+import zstandard
 from lodestone.llm import decontamination, elias_fano, exchange, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, registry, secret_scan, simhash, substring_dedup, suffix_array, token_counts
 from lodestone.llm.tokens import vocabulary
 
@@ -98,6 +99,33 @@ def test_a_very_long_text(spark):
             assert max(r["n_removed"] for r in rows) > 0.99 * len(long)
 
 
+def test_orders_and_messages():
+    """Orders are stable whether or not keys leave room for places, and messages carry no bytes that are 0 in all numbers."""
+    rng = np.random.default_rng(3)
+    for top in (3, 1 << 20, 1 << 50, 1 << 63):
+        for keys in (rng.integers(0, top, 5000), rng.integers(0, top, 5000, np.uint64), rng.integers(0, top, 9), np.append(rng.integers(0, top, 3000), (1 << 63) - 1 - rng.integers(0, 9, 3000))):
+            order, ranked = exchange.in_order(keys)
+            assert (order == np.argsort(keys, kind="stable")).all() and (ranked == np.sort(keys)).all() and ranked.dtype == keys.dtype
+    arrays = [np.arange(300, dtype=np.uint64), np.array([-1, 5]), np.array([1 << 62, 7]), np.zeros(3, np.uint32), np.zeros(0, np.int64), np.array([True, False]), np.array([0.5, -2.0])]
+    for a, b in zip(arrays, exchange.unpacked(exchange.packed(*arrays))):
+        assert a.dtype == b.dtype and a.tolist() == b.tolist()
+    assert len(zstandard.ZstdDecompressor().decompress(exchange.packed(arrays[0]))) < 3 * 300
+
+
+def test_few_probes_of_a_trie(monkeypatch):
+    """Where all children of a parent are sought in order, each is found at once."""
+    probed, lows = [], elias_fano.EliasFano.lows
+    monkeypatch.setattr(elias_fano.EliasFano, "lows", lambda self, i: (probed.append(len(i)), lows(self, i))[1])
+    n = 3000
+    parent, child = np.repeat(np.arange(3), n), np.tile(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(7), 3)
+    trie = elias_fano.Trie([(np.zeros(3, np.int64), np.arange(3, dtype=np.uint64), np.zeros(3, np.uint16)), (parent, child, np.zeros(3 * n, np.uint16))], 40)
+    probed.clear()
+    assert trie.children(1, parent, child).tolist() == list(range(3 * n))
+    assert sum(probed) < 2 * 3 * n
+    assert (trie.children(1, parent, child + np.uint64(1)) == -1).all()
+    assert trie.children(1, parent[::-7], child[::-7]).tolist() == list(range(3 * n))[::-7]
+
+
 def test_suffix_arrays():
     rng = random.Random(1)
     for _ in range(800):
