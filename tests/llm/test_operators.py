@@ -140,6 +140,17 @@ def test_suffix_arrays_side_by_side():
         assert found.tolist() == sorted(range(len(a)), key=lambda i: a[i:])
 
 
+def test_groups_are_ordered_in_few_rounds(monkeypatch):
+    """Texts side by side take a few sorts for all their groups, not a step a suffix, also where one Lyndon prefix follows another."""
+    rounds, in_order = [], suffix_array.in_order
+    monkeypatch.setattr(suffix_array, "in_order", lambda keys: (rounds.append(len(keys)), in_order(keys))[1])
+    rng = random.Random(4)
+    texts = [[1] * (900 + k) + [-1] for k in range(30)] + [[rng.randint(0, 2) for _ in range(900)] + [-1] for _ in range(30)] + [[1, 2, 1] * 300 + [-1]] * 30
+    for a, found in zip(texts, suffix_array.suffix_arrays([np.array(x, np.int16) for x in texts])):
+        assert found.tolist() == sorted(range(len(a)), key=lambda i: a[i:])
+    assert 0 < len(rounds) < 20 and sum(rounds) < 12 * sum(map(len, texts))
+
+
 def test_substrings_by_brute_force(spark, docs):
     first = {}
     for i, t in docs:
